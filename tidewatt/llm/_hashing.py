@@ -40,16 +40,19 @@ def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A hash of each word of `text`, A-Z lower-cased."""
-    raw = _LOWER[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)]
+def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of each word of some bytes, A-Z lower-cased; the lower-cased bytes; starts and ends of the words."""
+    raw = _LOWER[np.frombuffer(data, dtype=np.uint8)]
     starts, ends = word_spans(raw)
-    if not len(starts):
-        return np.empty(0, dtype=np.uint64)
     p, q = _power_table(len(raw) + 1)
     prefix = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * p[: len(raw)], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * q[starts] + (ends - starts).astype(np.uint64))
+    return mix((prefix[ends] - prefix[starts]) * q[starts] + (ends - starts).astype(np.uint64)), raw, starts, ends
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A hash of each word of `text`, A-Z lower-cased."""
+    return hashed_words((text or "").encode("utf-8", "surrogatepass"))[0]
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:

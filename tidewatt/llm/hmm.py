@@ -13,9 +13,9 @@ Scoring is the scaled forward recursion over the whole text.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import written
+from ._hashing import hashed_words
 
 STATES = 4
 CLASS_WORDS = 1024
@@ -35,33 +36,39 @@ ROUNDS = 4
 HOT_WORDS = 50_000
 SMOOTH = 0.1
 #: A training sequence is cut after so many tokens; a scored text never is.
-CUT = 1024
-BATCH_TOKENS = 200_000
+CUT = 256
+#: Work in step is done for so many tokens of training sequences, and so many scored texts, at once.
+BATCH_TOKENS = 400_000
+BATCH_TEXTS = 4096
 
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def encoded(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
-class Classes(dict):
-    """Class of each word, worked out when first met; forgotten when there are many."""
+class Classes:
+    """Class of each word of a text: its own for the most frequent words, else one by its last three bytes."""
 
     def __init__(self, top: list[bytes]):
-        super().__init__()
-        self.top = {w: i for i, w in enumerate(top)}
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        found = self.top.get(word)
-        if found is None:
-            found = self[word] = CLASS_WORDS + zlib.crc32(word[-3:]) % HASH_CLASSES
-        else:
-            self[word] = found
-        return found
-
-    def of(self, tokens: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, tokens), dtype=np.int16, count=len(tokens))
+        hashes = hashed_words(b" ".join(top))[0]
+        order = np.argsort(hashes)
+        self.hashes, self.place = np.append(hashes[order], np.uint64(0)), np.append(order, -1).astype(np.int16)
+        self.sorted = self.hashes[:-1]
+
+    def of(self, data: bytes) -> np.ndarray:
+        """The classes of the words of some bytes."""
+        hashes, raw, starts, ends = hashed_words(data)
+        tail = raw[ends - 1].astype(np.uint32)
+        for back in (2, 3):
+            tail = tail * np.uint32(257) + np.where(ends - back >= starts, raw[np.maximum(ends - back, 0)], 0).astype(np.uint32)
+        other = (tail * np.uint32(2654435761) >> np.uint32(8)) % np.uint32(HASH_CLASSES) + np.uint32(CLASS_WORDS)
+        at = np.searchsorted(self.sorted, hashes)
+        known = (self.hashes[at] == hashes) & (at < len(self.sorted))
+        return np.where(known, self.place[at], other.astype(np.int16))
+
+    def of_text(self, data: bytes) -> np.ndarray:
+        """The classes of the tokens of a text, the end included."""
+        return np.append(self.of(data), np.int16(END))
 
 
 class Model:
@@ -173,8 +180,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column("text"):
-                found = words(text.as_py())
-                counts.update(found)
+                counts.update(encoded(text.as_py()).split())
                 counts[b""] += 1
                 if len(counts) > 300_000:
                     yield out()
@@ -183,23 +189,35 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def train(texts: DataFrame, top: list[bytes], class_counts: np.ndarray, rounds: int = ROUNDS) -> Model:
+def class_sequences(texts: DataFrame, top: list[bytes]) -> DataFrame:
+    """A written table of the class sequences of all texts, two bytes a token, so rounds of training read these alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = Classes(top)
+        for batch in batches:
+            found = [classes.of_text(encoded(text.as_py())).tobytes() for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["sequence"])
+
+    return written(texts.mapInArrow(run, "sequence binary"), "sequences")
+
+
+def train(sequences: DataFrame, class_counts: np.ndarray, rounds: int = ROUNDS) -> Model:
     """Baum-Welch over all texts; each round brings one row of counts per partition together, of fixed size."""
     model = Model.initial(class_counts)
     for _ in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
-            classes, sums = Classes(top), None
+            firsts: list[bool] = []
 
             def cut() -> Iterator[np.ndarray]:
                 for batch in batches:
-                    for text in batch.column("text"):
-                        whole = np.append(classes.of(words(text.as_py())), np.int16(END))
+                    for value in batch.column("sequence"):
+                        whole = np.frombuffer(value.as_py(), dtype=np.int16)
                         for at in range(0, len(whole), CUT):
                             firsts.append(at == 0)
                             yield whole[at : at + CUT]
 
-            firsts: list[bool] = []
+            sums = None
             for held in _batches(cut()):
                 got = model.expected(held, firsts[: len(held)])
                 del firsts[: len(held)]
@@ -208,7 +226,7 @@ def train(texts: DataFrame, top: list[bytes], class_counts: np.ndarray, rounds:
                 flat = np.concatenate([x.ravel() for x in sums])
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["i", "x"])
 
-        rows = texts.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
+        rows = sequences.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
         flat = np.zeros(STATES + STATES**2 + CLASSES * STATES)
         flat[rows.i] = rows.x
         start, move, emit = np.split(flat, [STATES, STATES + STATES**2])
@@ -238,7 +256,7 @@ def hmm_scores(docs: DataFrame) -> DataFrame:
     def class_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         classes = Classes(top)
         for f in frames:
-            f = pd.DataFrame({"c": classes.of(list(map(bytes, f.word))).astype(np.int32), "n": f.n})
+            f = pd.DataFrame({"c": classes.of(b" ".join(f.word)).astype(np.int32), "n": f.n})
             yield f.groupby("c").n.agg(n="sum", v="count").reset_index()
 
     per_class = counts.where("word <> x''").mapInPandas(class_of, "c int, n long, v long").groupBy("c")
@@ -246,7 +264,7 @@ def hmm_scores(docs: DataFrame) -> DataFrame:
     class_counts, class_words = np.zeros(CLASSES), np.zeros(CLASSES)
     class_counts[per_class.c], class_words[per_class.c] = per_class.n, per_class.v
     class_counts[END], class_words[END] = ends, min(1, ends)
-    model = train(texts, top, class_counts)
+    model = train(class_sequences(texts, top), class_counts)
 
     # p(word | class) = (c + SMOOTH) / (sum of the class + SMOOTH * (its words + 1)), the last part for words not seen;
     # a class of one word, and the end, are always that word.
@@ -260,27 +278,27 @@ def hmm_scores(docs: DataFrame) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, model, top = shared.value
         classes = Classes(top)
-        singles = {w: 0.0 for w in top}
-        logs = {w: float(np.log10(c + SMOOTH)) for w, c in hot.items()}
+        place = {w: i for i, w in enumerate(hot)}  # the classes of single words come first
+        logs = np.log10(np.array([*hot.values(), 1.0]) + SMOOTH)
+        kind = pa.list_(pa.struct([("w", pa.binary()), ("m", pa.int64())]))
         for batch in batches:
             ids = batch.column("doc_id")
-            for at in range(0, len(batch), 256):
+            for at in range(0, len(batch), BATCH_TEXTS):
                 rows, seqs, rare = [], [], []
-                for text in batch.column("text").slice(at, 256):
-                    tokens = words(text.as_py())
-                    found = list(map(logs.get, tokens))
-                    known = np.array([x for x in found if x is not None])
-                    seq = np.append(classes.of(tokens), np.int16(END))
-                    odd = Counter(w for w, x in zip(tokens, found, strict=True) if x is None)
-                    lone = sum(logs[w] for w in tokens if w in singles)
-                    rows.append((len(tokens) + 1, len(known) + (ends > 0), known.sum() + end_score, known.sum() - lone - log_class[seq].sum()))
+                for text in batch.column("text").slice(at, BATCH_TEXTS):
+                    data = encoded(text.as_py())
+                    tokens, seq = data.split(), classes.of_text(data)
+                    found = np.fromiter(map(place.get, tokens, repeat(-1)), dtype=np.int32, count=len(tokens))
+                    odd = [tokens[i] for i in np.flatnonzero(found < 0)]
+                    log = np.where(found < 0, 0.0, logs[found])
+                    inside = log.sum() - log[found < len(top)].sum() - log_class[seq].sum()
+                    rows.append((len(tokens) + 1, len(tokens) - len(odd) + (ends > 0), log.sum() + end_score, inside))
                     seqs.append(seq)
-                    rare.append([{"w": w, "m": m} for w, m in odd.items()])
+                    rare.append([{"w": w, "m": m} for w, m in Counter(odd).items()])
                 forward = model.log10_likelihood(seqs)
                 a, b, c, d = zip(*rows, strict=True)
-                kind = pa.list_(pa.struct([("w", pa.binary()), ("m", pa.int64())]))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, 256), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64()), pa.array(np.array(d) + forward), pa.array(rare, kind)],
+                    [ids.slice(at, BATCH_TEXTS), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64()), pa.array(np.array(d) + forward), pa.array(rare, kind)],
                     names=["doc_id", "n_tokens", "n_hot", "base_hot", "score_hot", "rare"],
                 )
 
