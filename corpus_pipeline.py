@@ -17,7 +17,7 @@ from tidewatt.llm.near_dedup import near_duplicates
 from tidewatt.llm.span_dedup import span_dedup
 
 #: Less probable languages than this are rejected.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -128,7 +128,7 @@ def neighbour_fingerprints(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("o", F.coalesce("doc_id", F.lit(2**63 - 1)).cast("double"))
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(docs.approxQuantile("o", [i / ranges for i in range(1, ranges)], 0.1 / ranges)))
-    placed = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="o", outputCol="bucket").transform(docs)
+    placed = Bucketizer(splits=[-math.inf, *(cuts or [0.0]), math.inf], inputCol="o", outputCol="bucket").transform(docs)
     least = placed.select("bucket", "o").groupBy("bucket").agg(F.min("o").alias("first"))
     firsts = [(r.bucket, r.first) for r in least.orderBy("bucket").collect()]  # a row for each range
     dealt = placed.withColumn("extra", F.lit(False))
