@@ -1,5 +1,6 @@
 """The engine's queries against DuckDB, and hand-checked cases of its functions and learners."""
 
+import datetime
 import math
 
 import duckdb
@@ -29,7 +30,7 @@ def rows(frame: pd.DataFrame) -> list[tuple]:
     def cell(x):
         if x is None or x is pd.NaT or (isinstance(x, float) and math.isnan(x)):
             return None
-        return f"{x + 0.0:.6g}" if isinstance(x, float) else str(pd.Timestamp(x)) if isinstance(x, (pd.Timestamp, np.datetime64)) else str(x)
+        return f"{x + 0.0:.6g}" if isinstance(x, float) else str(pd.Timestamp(x)) if isinstance(x, (pd.Timestamp, np.datetime64, datetime.date)) else str(x)
 
     return sorted((tuple(map(cell, r)) for r in frame[sorted(frame.columns)].itertuples(index=False)), key=repr)
 
