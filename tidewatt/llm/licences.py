@@ -65,20 +65,29 @@ COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
 SIGNS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+#: What a copyright line has in it; texts without any are not searched for such lines.
+COPYRIGHT_MARKS = ("copyright", "(c)", "©")
+
+
 def canonical(text: Column) -> Column:
-    """The canonical form of a text; words are single-spaced, with a space at either end."""
-    out = F.translate(text, UPPER, LOWER)
-    out = F.regexp_replace(out, COPYRIGHT_LINE, "\n")
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, SIGNS, " ")), F.lit(" "))
+    """The canonical form of a text in lower case without copyright lines: words single-spaced."""
+    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(text, SIGNS, " ")), F.lit(" "))
     for spelling, standard in SPELLINGS.items():
         out = F.replace(out, F.lit(f" {spelling} "), F.lit(f" {standard} "))
-    return out
+    return F.trim(out)
 
 
-def digest(text: Column) -> Column:
-    """Digest of the canonical form; null where that has no words."""
-    form = F.trim(canonical(text))
-    return F.when(form != "", F.sha2(form, 256))
+def with_digest(df: DataFrame, column: str) -> DataFrame:
+    """`df` with `digest`, of the canonical form of a column; null where that has no words. A step a column, so that
+    none is worked out twice."""
+    text = F.col(column)
+    folded = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    marked = F.lit(False)
+    for mark in COPYRIGHT_MARKS:
+        marked = marked | F.contains(F.col("_folded"), F.lit(mark))
+    plain = F.when(marked, F.regexp_replace("_folded", COPYRIGHT_LINE, "\n")).otherwise(F.col("_folded"))
+    df = df.withColumn("_folded", folded).withColumn("_plain", plain)
+    return df.withColumn("digest", F.sha2(F.nullif(canonical(F.col("_plain")), F.lit("")), 256)).drop("_folded", "_plain")
 
 
 def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
@@ -86,7 +95,7 @@ def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> D
     rows = [(k, v) for k, v in (known or KNOWN).items()]
     rows += [(k, v.split("\n", 1)[1]) for k, v in rows if "\n" in v]
     frame = spark.createDataFrame(rows, "licence_id string, text string")
-    return frame.select(digest(F.col("text")).alias("digest"), "licence_id").where("digest is not null").groupBy("digest").agg(F.min("licence_id").alias("licence_id"))
+    return with_digest(frame, "text").where("digest is not null").groupBy("digest").agg(F.min("licence_id").alias("licence_id"))
 
 
 def licence_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -100,9 +109,9 @@ def licence_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     known = F.broadcast(known_digests(docs.sparkSession) if known is None else known)
     texts = docs.select("doc_id", text_of(docs).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     lines = texts.select("row", F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") > 0)
-    found = lines.select("row", digest(F.col("line")).alias("digest")).join(known, "digest")
+    found = with_digest(lines, "line").select("row", "digest").join(known, "digest")
     notices = found.groupBy("row").agg(F.array_join(F.sort_array(F.collect_set("licence_id")), ",").alias("notices"))
-    whole = texts.select("doc_id", "row", digest(F.col("text")).alias("digest")).join(known, "digest", "left")
+    whole = with_digest(texts, "text").select("doc_id", "row", "digest").join(known, "digest", "left")
     return whole.join(notices, "row", "left").select("doc_id", "digest", "licence_id", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
