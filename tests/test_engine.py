@@ -28,7 +28,7 @@ def duck():
 
 def rows(frame: pd.DataFrame) -> list[tuple]:
     def cell(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and math.isnan(x)):
+        if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
             return None
         return f"{x + 0.0:.6g}" if isinstance(x, float) else str(pd.Timestamp(x)) if isinstance(x, (pd.Timestamp, np.datetime64, datetime.date)) else str(x)
 
@@ -128,3 +128,13 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], "key long, step long, value double, slot long")
     assert learners.walk_forward(empty).count() == 0
     assert lagged_correlation(empty, "key", "step", "value", "slot", 3).count() == 0
+
+
+def test_wind_fit_recovers_its_curve(spark):
+    from tidewatt.operators.fits import fit_wind, logistic
+
+    x = np.linspace(3, 24, 300)
+    true = np.array([0.0, 0.95, 0.6, 10.0])
+    frame = pd.concat([pd.DataFrame({"key": 1, "speed": x, "share": logistic(true, x)}), pd.DataFrame({"key": 2, "speed": x[:50], "share": 0.5})])
+    got = fit_wind(spark.createDataFrame(frame)).collect()
+    assert len(got) == 1 and [got[0].high, got[0].slope, got[0].middle] == pytest.approx(true[1:], rel=0.02)

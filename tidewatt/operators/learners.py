@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+import math
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -42,20 +46,23 @@ class Conformal:
 
     def __init__(self, coverage: float):
         self.target = self.level = coverage
-        self.errors: list[float] = []
+        self.errors: deque[float] = deque()
+        self.ranked: list[float] = []
 
     def half(self, capacity: float) -> float:
         if not self.errors:
             return capacity
         if self.level <= 0:
             return 0.0
-        ranked = np.sort(self.errors[-WINDOW:])
-        return float(ranked[min(len(ranked) - 1, max(0, int(np.ceil((len(ranked) + 1) * self.level)) - 1))])
+        n = len(self.ranked)
+        return self.ranked[min(n - 1, max(0, math.ceil((n + 1) * self.level) - 1))]
 
     def update(self, error: float, hit: bool) -> None:
         self.level += GAMMA * (self.target - hit)
         self.errors.append(error)
-        del self.errors[:-WINDOW]
+        bisect.insort(self.ranked, error)
+        if len(self.errors) > WINDOW:
+            del self.ranked[bisect.bisect_left(self.ranked, self.errors.popleft())]
 
 
 class Ridge:
@@ -105,7 +112,8 @@ def walk(steps: np.ndarray, values: np.ndarray, slots: np.ndarray) -> pd.DataFra
             ridge.update(lags, actual / capacity)
         n, mean = cells.get(slot, (0, 0.0))
         cells[slot] = (min(500, n + 1), mean + (actual - mean) / min(500, n + 1))
-        past = [*past[-2000:], actual]
+        past.append(actual)
+        del past[:-2000]
     return pd.DataFrame(out, columns=["step", "forecast", "actual", "lo", "hi", "best", "weight"])
 
 
