@@ -133,6 +133,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketches = written(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, set_digest binary, a array<long>, b array<long>"), "sketches")
     full = sketches.where("n_shingles > 0")
     classes = full.groupBy("set_digest").agg(F.min("doc_id").alias("rep"), F.any_value("a").alias("a"), F.any_value("b").alias("b")).where("rep is not null")
+    # Written, so that joins on set_digest shuffle it anew and the partition of a set with very many copies can be split.
+    classes = written(classes, "classes")
 
     tables = classes.select("rep", F.posexplode("a").alias("i", "x"), "b").select("rep", "i", "x", F.posexplode("b").alias("j", "y"))
     rows = tables.select(F.xxhash64("i", "x", "j", "y").alias("key"), F.col("rep").alias("doc_id"))
