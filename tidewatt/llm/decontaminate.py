@@ -90,7 +90,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     covered = hits.select("doc_key", F.explode(F.expr("sequence(shift + q, shift + q + span - 1)")).alias("p")).distinct().groupBy("doc_key").agg(F.count("*").alias("n_hit"))
     named = hits.select("doc_key", "item_id").distinct().groupBy("doc_key").agg(F.sort_array(F.collect_list("item_id")).alias("ids"))
-    result = counted.join(covered, "doc_key", "left").join(named, "doc_key", "left")
+    # Written, so that the rows of a text with very many copies can be split in the join.
+    result = counted.join(written(covered.join(named, "doc_key"), "results"), "doc_key", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     return result.select(
