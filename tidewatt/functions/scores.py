@@ -66,3 +66,53 @@ def confidence(skill_: Column, band: Column, capacity: Column, masked: Column) -
         return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
 
     return unit(skill_ / 0.5) * unit(1 - F.try_divide(band, capacity)) * unit(1 - masked)
+
+
+def checked(quantiles: Column) -> Column:
+    """The quantiles in ascending level. Fails if there are none, a level is outside 0 to 1 or given twice, or values cross."""
+    def usable(s: Column) -> Column:
+        unusable = F.exists(s, lambda x: x["q"].isNull() | x["v"].isNull() | F.isnan(x["v"]) | (x["q"] <= 0) | (x["q"] >= 1))
+        steps = F.transform(s, lambda x, i: F.when(i > 0, (x["q"] == F.get(s, i - 1)["q"]) | (x["v"] < F.get(s, i - 1)["v"])).otherwise(F.lit(False)))
+        return F.when((F.size(s) < 1) | unusable | F.exists(steps, lambda x: x), F.raise_error(F.lit("not a set of quantiles"))).otherwise(s)
+
+    return F.get(F.transform(F.array(F.array_sort(quantiles)), usable), 0)
+
+
+def quantile_mean(quantiles: Column) -> Column:
+    """Mean of a distribution whose mass lies on its quantiles, each taking what is nearest in level; flat tails."""
+    n = F.size(quantiles)
+
+    def share(x: Column, i: Column) -> Column:
+        before, after = F.get(quantiles, i - 1)["q"], F.get(quantiles, i + 1)["q"]
+        return x["v"] * (F.when(i == n - 1, 1.0).otherwise((x["q"] + after) / 2) - F.when(i == 0, 0.0).otherwise((before + x["q"]) / 2))
+
+    return F.aggregate(F.transform(quantiles, share), F.lit(0.0), lambda a, x: a + x)
+
+
+def quantile_at(quantiles: Column, level: float) -> Column:
+    """The value at a level, on the line between its neighbours; the ends are held."""
+    below = F.element_at(F.filter(quantiles, lambda x: x["q"] <= level), -1)
+    above = F.element_at(F.filter(quantiles, lambda x: x["q"] >= level), 1)
+    lo, hi = F.when(F.exists(quantiles, lambda x: x["q"] <= level), below), F.when(F.exists(quantiles, lambda x: x["q"] >= level), above)
+    line = lo["v"] + (hi["v"] - lo["v"]) * F.coalesce(F.try_divide(level - lo["q"], hi["q"] - lo["q"]), F.lit(0.0))
+    return F.coalesce(line, lo["v"], hi["v"])
+
+
+def revenue_band(quantiles: Column, price: Column, capacity: Column, minutes: float = 5.0) -> Column:
+    """Struct (expected, p10, p90, per_mw) in dollars of a generation forecast at one price.
+
+    Generation is held to 0 and capacity. At a price below 0 the order turns: level q becomes 1 - q. A capacity that is
+    not above 0, a missing price and unusable quantiles fail.
+    """
+    cap = F.when(capacity > 0, capacity).otherwise(F.raise_error(F.lit("capacity must be positive")))
+    rate = energy_mwh(F.lit(1.0), minutes) * F.coalesce(price, F.raise_error(F.lit("price is missing")).cast("double"))
+
+    def valued(x: Column) -> Column:
+        q = F.when(rate < 0, 1 - x["q"]).otherwise(x["q"])
+        return F.struct(q.alias("q"), (F.least(cap, F.greatest(F.lit(0.0), x["v"])) * rate).alias("v"))
+
+    def told(d: Column) -> Column:
+        return F.struct(quantile_mean(d).alias("expected"), quantile_at(d, 0.1).alias("p10"), quantile_at(d, 0.9).alias("p90"), (quantile_mean(d) / cap).alias("per_mw"))
+
+    # an array of one, so that the sorted dollars are worked out once a row and not wherever they are named
+    return F.get(F.transform(F.array(F.array_sort(F.transform(checked(quantiles), valued))), told), 0)

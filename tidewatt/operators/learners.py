@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import math
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,8 +14,13 @@ from pyspark.sql import DataFrame
 # Parameters of the learners.
 FLOOR, RATE_ROUNDS, GAMMA, WINDOW = 1e-4, 5000, 0.005, 2000
 FORGET, START, TRACE_CAP = 0.999, 10.0, 1e6
-EXPERTS = ("persistence", "climatology", "ridge", "ramp")
-SCHEMA = "key long, step long, forecast double, actual double, lo double, hi double, best string, weight double"
+NEAREST, LIBRARY = 25, 5000
+HORIZONS = (1, 6, 12, 72, 288)
+LEVELS = (0.05, 0.1, 0.25, 0.4, 0.5, 0.6, 0.75, 0.9, 0.95)
+EXPERTS = ("persistence", "climatology", "curve", "ridge", "analogue", "ramp")
+#: What a reading may carry besides its value: the share of capacity its weather gives, and weather scaled to about one.
+CURVE, WEATHER = "share", ("wind", "clear", "warm")
+SCHEMA = "key long, horizon int, step long, forecast double, actual double, lo double, hi double, lo80 double, hi80 double, quantiles array<double>, best string, weight double"
 
 
 class Hedge:
@@ -49,13 +55,17 @@ class Conformal:
         self.errors: deque[float] = deque()
         self.ranked: list[float] = []
 
-    def half(self, capacity: float) -> float:
+    def half(self, capacity: float, coverage: float | None = None) -> float:
+        """Half width for the target, or for another coverage: the level moves with the target's, 0 and 1 stay."""
         if not self.errors:
             return capacity
-        if self.level <= 0:
+        level = self.level
+        if coverage is not None:
+            level = level * coverage / self.target if coverage <= self.target else level + (1 - level) * (coverage - self.target) / (1 - self.target)
+        if level <= 0:
             return 0.0
         n = len(self.ranked)
-        return self.ranked[min(n - 1, max(0, math.ceil((n + 1) * self.level) - 1))]
+        return self.ranked[min(n - 1, max(0, math.ceil((n + 1) * level) - 1))]
 
     def update(self, error: float, hit: bool) -> None:
         self.level += GAMMA * (self.target - hit)
@@ -90,40 +100,128 @@ def slope(last: list[float]) -> float:
     return float((i * y).sum() / (i * i).sum())
 
 
-def walk(steps: np.ndarray, values: np.ndarray, slots: np.ndarray) -> pd.DataFrame:
-    """One step ahead over a key's readings: what was forecast is scored, then all learn, then the next is forecast."""
-    capacity = float(np.nanmax(np.abs(values))) or 1.0
-    hedge, band, ridge = Hedge(len(EXPERTS)), Conformal(0.9), Ridge()
-    cells: dict[int, tuple[int, float]] = {}
-    past: list[float] = []
-    out = []
-    for step, actual, slot in zip(steps, values, slots, strict=True):
-        if past:
-            lags = np.array([1.0, *(past[-1 - min(k, len(past) - 1)] / capacity for k in range(3))])
-            n, mean = cells.get(slot, (0, past[-1]))
-            ahead = past[-1] + slope(past) * np.exp(-1 / 12)
-            made = np.clip([past[-1], mean, ridge.w @ lags * capacity, ahead], 0, capacity)
-            point = float(hedge.w @ made)
-            half = band.half(capacity)
-            lo, hi = max(0.0, point - half), min(capacity, point + half)
-            out.append((step, point, actual, lo, hi, EXPERTS[int(hedge.w.argmax())], float(hedge.w.max())))
-            hedge.update(made, actual, capacity)
-            band.update(abs(point - actual), lo <= actual <= hi)
-            ridge.update(lags, actual / capacity)
-        n, mean = cells.get(slot, (0, 0.0))
-        cells[slot] = (min(500, n + 1), mean + (actual - mean) / min(500, n + 1))
-        past.append(actual)
-        del past[:-2000]
-    return pd.DataFrame(out, columns=["step", "forecast", "actual", "lo", "hi", "best", "weight"])
-
-
-def walk_forward(readings: DataFrame) -> DataFrame:
-    """Readings (key, step, value, slot) to forecasts; rows without a value are left out, keys of one row give none."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("step")
-        out = walk(frame.step.to_numpy(), frame.value.to_numpy(float), frame.slot.to_numpy())
-        out.insert(0, "key", frame.key.iloc[0])
-        return out
-
-    return readings.where("value is not null").groupBy("key").applyInPandas(run, SCHEMA)
+class Analogues:
+    """The mean reading under the most alike conditions, by nearness; a ring of the newest. Equally near: the lower place."""
+
+    def __init__(self, width: int):
+        self.x, self.y, self.n = np.empty((64, width)), np.empty(64), 0
+
+    def predict(self, x: np.ndarray) -> float:
+        held = min(self.n, LIBRARY)
+        if held < NEAREST:
+            return math.nan
+        d = ((self.x[:held] - x) ** 2).sum(1)
+        pick = np.argsort(d, kind="stable")[:NEAREST]
+        return float(np.average(self.y[pick], weights=1 / (np.sqrt(d[pick]) + 1e-3)))
+
+    def update(self, x: np.ndarray, y: float) -> None:
+        if self.n == len(self.y) < LIBRARY:
+            more = min(LIBRARY, 2 * self.n) - self.n
+            self.x, self.y = np.vstack([self.x, np.empty((more, self.x.shape[1]))]), np.concatenate([self.y, np.empty(more)])
+        at = self.n % LIBRARY
+        self.x[at], self.y[at] = x, y
+        self.n += 1
+
+
+class Learner:
+    """All that one key has learned. A reading is taken in a fixed order: forecasts that are due are scored, the weights and
+    bands of their horizon move, the experts learn, the next forecasts are made. One bank of experts serves all horizons; it
+    learns one step ahead, before the new reading is in its history. Horizons count readings."""
+
+    def __init__(self, capacity: float, horizons: tuple[int, ...] = (1,), warm_up: int = 1):
+        self.capacity, self.horizons, self.warm_up = capacity, horizons, warm_up
+        self.ridge, self.near, self.cells = Ridge(), Analogues(len(WEATHER) + 3), {}
+        self.hedges = {h: Hedge(len(EXPERTS)) for h in horizons}
+        self.bands = {h: (Conformal(0.9), Conformal(0.8)) for h in horizons}
+        self.due: dict[int, list] = {}
+        self.past: list[float] = []
+        self.seen = 0
+
+    def _lags(self) -> np.ndarray:
+        return np.array([1.0, *(self.past[-1 - min(k, len(self.past) - 1)] / self.capacity for k in range(3))])
+
+    def _conditions(self, at: np.ndarray) -> np.ndarray:
+        """Weather, the time of day in half hours on a circle, and the last reading; unknown weather is neutral."""
+        turn = at[0] * math.pi / 24
+        return np.array([*np.nan_to_num(at[2:]), math.sin(turn), math.cos(turn), (self.past[-1] if self.past else 0.0) / self.capacity])
+
+    def _forecast(self, at: np.ndarray, horizon: int) -> np.ndarray:
+        last = self.past[-1]
+        made = np.array([
+            last, self.cells.get(at[0], (0, last))[1], at[1] * self.capacity, self.ridge.w @ self._lags() * self.capacity,
+            self.near.predict(self._conditions(at)), last + slope(self.past) * horizon * math.exp(-horizon / 12),
+        ])
+        return np.clip(np.where(np.isfinite(made), made, last), 0, self.capacity)
+
+    def _score(self, actual: float) -> Iterator[tuple]:
+        for h, made, point, scale, quantiles, *ends in self.due.pop(self.seen, []):
+            lo, hi, lo80, hi80 = ends
+            hedge, (wide, narrow) = self.hedges[h], self.bands[h]
+            yield h, point, actual, lo, hi, lo80, hi80, quantiles, EXPERTS[int(hedge.w.argmax())], float(hedge.w.max())
+            hedge.update(made, actual, self.capacity)
+            wide.update(abs(point - actual) / scale, lo <= actual <= hi)
+            narrow.update(abs(point - actual) / scale, lo80 <= actual <= hi80)
+
+    def _learn(self, actual: float, at: np.ndarray) -> None:
+        if self.past:
+            self.ridge.update(self._lags(), actual / self.capacity)
+        self.near.update(self._conditions(at), actual)
+        n, mean = self.cells.get(at[0], (0, 0.0))
+        self.cells[at[0]] = (min(500, n + 1), mean + (actual - mean) / min(500, n + 1))
+        self.past.append(actual)
+        del self.past[:-WINDOW]
+
+    def _issue(self, horizon: int, at: np.ndarray) -> None:
+        made = self._forecast(at, horizon)
+        point = float(self.hedges[horizon].w @ made)
+        scale = max(point, 0.05 * self.capacity) / self.capacity
+        wide, narrow = self.bands[horizon]
+
+        def end(band: Conformal, side: int, coverage: float | None = None) -> float:
+            half = band.half(self.capacity, coverage) * (scale if band.errors else 1)
+            return min(self.capacity, max(0.0, point + side * half))
+
+        quantiles = [end(wide, 1 if q > 0.5 else -1, abs(2 * q - 1)) if q != 0.5 else point for q in LEVELS]
+        self.due.setdefault(self.seen + horizon - 1, []).append((horizon, made, point, scale, quantiles, end(wide, -1), end(wide, 1), end(narrow, -1), end(narrow, 1)))
+
+    def read(self, actual: float, at: np.ndarray, ahead: list[np.ndarray] | None = None) -> list[tuple]:
+        """Takes a reading made under `at` (half hour of day, share, weather); `ahead` is what is known of each horizon's
+        conditions, else those of now. Returns the forecasts that were due, scored."""
+        scored = list(self._score(actual))
+        self._learn(actual, at)
+        self.seen += 1
+        if self.seen >= self.warm_up:
+            for i, h in enumerate(self.horizons):
+                self._issue(h, ahead[i] if ahead else at)
+        return scored
+
+
+COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+
+
+def conditions_of(frame: pd.DataFrame) -> np.ndarray:
+    return np.column_stack([frame[c].to_numpy(float) if c in frame else np.full(len(frame), math.nan) for c in ("slot", CURVE, *WEATHER)])
+
+
+def walk(frame: pd.DataFrame, horizons: tuple[int, ...] = (1,), warm_up: int = 1) -> pd.DataFrame:
+    """A key's readings in order; conditions at a horizon are those of its reading, or of the last where there is none."""
+    at, values = conditions_of(frame), frame["value"].to_numpy(float)
+    capacity = float(frame["capacity"].iloc[0] if "capacity" in frame else np.nanmax(np.abs(values))) or 1.0
+    learner, last, out = Learner(capacity, horizons, warm_up), len(values) - 1, []
+    for i, (step, value) in enumerate(zip(frame["step"], values, strict=True)):
+        rows = learner.read(value, at[i], [at[min(i + h, last)] for h in horizons])
+        out.extend((frame["key"].iloc[0], h, step, *rest) for h, *rest in rows)
+    return pd.DataFrame(out, columns=COLUMNS)
+
+
+def walk_forward(readings: DataFrame, horizons: tuple[int, ...] = (1,), warm_up: int = 1) -> DataFrame:
+    """Readings (key, step, value, slot, and where known capacity, share, wind, clear, warm) to scored forecasts.
+
+    Rows without a value are left out; keys of no more rows than a horizon give none for it. Without a capacity a key's
+    greatest reading stands for it. Unknown share: the last reading. Equal steps of a key keep no set order.
+    """
+    wanted = [c for c in ("key", "step", "value", "slot", "capacity", CURVE, *WEATHER) if c in readings.columns]
+    # a set number of partitions: a reading is small but its learning is not, so they must not be coalesced by size
+    parts = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = readings.where("value is not null").select(wanted).repartition(parts, "key")
+    return rows.groupBy("key").applyInPandas(lambda frame: walk(frame.sort_values("step"), horizons, warm_up), SCHEMA)

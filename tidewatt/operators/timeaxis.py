@@ -6,7 +6,7 @@ a key's rows are never paired with each other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -40,6 +40,50 @@ def interpolated(grid: DataFrame, samples: DataFrame, key: str, at: str, value:
     return both.withColumn(value, out).where("_grid").drop("_grid", "_v", "_t", "_v0", "_t0", "_v1", "_t1")
 
 
+def monotone_cubic(grid: DataFrame, samples: DataFrame, key: str, at: str, value: str) -> DataFrame:
+    """Grid rows on the monotone cubic through the samples: harmonic slopes inside, limited three-point slopes at the ends.
+
+    The ends are held outside the samples, one sample holds everywhere, a key without samples gives null. `at` is a
+    number; samples of a key at the same time fail. No sample's value is overshot.
+    """
+    w = Window.partitionBy(key).orderBy(at)
+    s = samples.where(F.col(value).isNotNull()).select(key, F.col(at).cast("double").alias(at), F.col(value).cast("double").alias("_y"))
+    s = s.withColumn("_h", F.lead(at).over(w) - F.col(at)).withColumn("_d", (F.lead("_y").over(w) - F.col("_y")) / F.nullif("_h", F.lit(0.0)))
+    s = s.withColumn("_h", F.when(F.col("_h") <= 0, F.raise_error(F.lit("two samples of a key at one time"))).otherwise(F.col("_h")))
+    h0, d0, h1, d1 = F.lag("_h").over(w), F.lag("_d").over(w), F.col("_h"), F.col("_d")
+    harmonic = 3 * (h0 + h1) / ((2 * h1 + h0) / d0 + (h1 + 2 * h0) / d1)
+    inner = F.when(d0 * d1 <= 0, 0.0).otherwise(harmonic)
+    first = _end_slope(h1, d1, F.lead("_h").over(w), F.lead("_d").over(w))
+    final = _end_slope(h0, d0, F.lag("_h", 2).over(w), F.lag("_d", 2).over(w))
+    s = s.withColumn("_m", F.when(h0.isNull(), first).when(h1.isNull(), final).otherwise(inner))
+    knots = s.select(key, F.col(at), F.lit(False).alias("_grid"), F.struct(F.col(at).alias("t"), "_y", "_m").alias("_k"))
+    both = grid.withColumn("_grid", F.lit(True)).withColumn("_k", F.lit(None).cast(knots.schema["_k"].dataType)).unionByName(knots, allowMissingColumns=True)
+    back = Window.partitionBy(key).orderBy(at, "_grid").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(key).orderBy(at, F.col("_grid").desc()).rowsBetween(0, Window.unboundedFollowing)
+    both = both.withColumn("_a", F.last("_k", ignorenulls=True).over(back)).withColumn("_b", F.first("_k", ignorenulls=True).over(ahead))
+    a, b, width = F.col("_a"), F.col("_b"), F.col("_b.t") - F.col("_a.t")
+    x = F.try_divide(F.col(at) - a["t"], width)
+    rise = b["_y"] - a["_y"]
+    bend = x * (1 - x) * ((1 - x) * (width * a["_m"] - rise) - x * (width * b["_m"] - rise))
+    inside = F.when(width == 0, a["_y"]).otherwise(a["_y"] + x * rise + bend)
+    return both.withColumn(value, F.coalesce(inside, a["_y"], b["_y"])).where("_grid").select(*dict.fromkeys([*grid.columns, value]))
+
+
+def _end_slope(near: Column, d_near: Column, far: Column, d_far: Column) -> Column:
+    """Slope at an end, of the two secants next to it; of the one where there is one."""
+    m = ((2 * near + far) * d_near - near * d_far) / (near + far)
+    limited = F.when(m * d_near <= 0, 0.0).when((d_near * d_far < 0) & (F.abs(m) > 3 * F.abs(d_near)), 3 * d_near).otherwise(m)
+    return F.when(d_far.isNull(), d_near).otherwise(limited)
+
+
+def peak_lag(correlations: DataFrame, key: str, most: int, prominence: float = 1e-4) -> DataFrame:
+    """Of (key, lag, r) the lag of greatest |r|, the first of equals; null if it is at an edge or hardly stands out."""
+    strength = F.abs("r")
+    found = correlations.groupBy(key).agg(F.min(F.struct((-strength).alias("s"), "lag")).alias("top"), (F.max(strength) - F.min(strength)).alias("prominence"), F.max(strength).alias("strength"))
+    lag = F.when((F.col("prominence") >= prominence) & (F.abs(F.col("top.lag")) < most), F.col("top.lag"))
+    return found.select(key, lag.alias("lag"), "prominence", "strength")
+
+
 def lagged_correlation(rows: DataFrame, key: str, step: str, x: str, y: str, most: int) -> DataFrame:
     """Pearson correlation of x[i] with y[i + lag] for lags up to `most` either way: (key, lag, n, r), 0 where it is undefined."""
     shifted = rows.select(key, F.col(step), F.col(x).alias("_x"), F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag"))

@@ -1,4 +1,4 @@
-"""Scalar libraries, the time axis, learners and streams over the driver's tables."""
+"""Scalar libraries, the time axis and windowed streams over the driver's tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import physics, scores, text
-from ..operators.learners import walk_forward
 from ..operators.timeaxis import as_of, interpolated, lagged_correlation
 from ..streaming.windows import settled
 
@@ -78,12 +77,6 @@ def lag_cross_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lagged_correlation(_steps(spark, sf_dir), "event_type", "step", "v", "n", 12).select("event_type", "lag", "n", F.round("r", 6).alias("r"))
 
 
-def walk_forward_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _table(spark, sf_dir, "events")
-    slot = (F.hour("ts") * 2 + F.floor(F.minute("ts") / 30)).cast("long")
-    return walk_forward(e.select(F.col("user_id").alias("key"), F.col("event_id").alias("step"), "value", slot.alias("slot")))
-
-
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(spark, f"{sf_dir}/events.parquet", "1 hour").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
 
@@ -93,7 +86,6 @@ def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (physics_features, solar_zenith, crps_quantile, crps_ensemble, name_normalise, token_run, asof_last, bracket_interpolate, lag_cross_corr, stream_tumbling, stream_sliding)}
-QUERIES["walk_forward"] = walk_forward_query
 
 ORACLE = {
     "physics_features": """select event_id, round(d, 6) as density, round(d * pow(value / 20, 3) * 0.5, 4) as power, round(case when value > 0 then log10((value / 20) / (value / 40 + 1)) else 0 end, 6) as shear,

@@ -16,16 +16,24 @@ def windowed(events: DataFrame, width: str, slide: str | None = None, late: str
     return stream.groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "event_type", "n", "value")
 
 
-def settled(spark: SparkSession, path: str, width: str, slide: str | None = None) -> DataFrame:
-    """What the stream over a path adds up to when all of it has been read: complete mode, open windows included."""
-    schema = spark.read.parquet(path).schema
+def opened(spark: SparkSession, path: str) -> DataFrame:
+    """A stream over a Parquet file or folder of files."""
     folder, _, name = path.rstrip("/").rpartition("/")
-    source = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
-    table = f"stream_{uuid.uuid4().hex}"
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", name).parquet(folder)
+
+
+def gathered(stream: DataFrame, mode: str) -> DataFrame:
+    """What a stream has given once all that is there has been read, as a table; its checkpoint lies in the shared folder."""
+    spark, table = stream.sparkSession, f"stream_{uuid.uuid4().hex}"
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewatt-")
-    query = (
-        windowed(source, width, slide).writeStream.outputMode("complete").format("memory").queryName(table)
-        .option("checkpointLocation", f"{base}/{table}").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return spark.table(table)
+    where = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/{table}").trigger(availableNow=True)
+    if mode == "complete":
+        where.format("memory").queryName(table).start().awaitTermination()
+        return spark.table(table)
+    where.format("parquet").start(f"{base}/{table}-rows").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/{table}-rows")
+
+
+def settled(spark: SparkSession, path: str, width: str, slide: str | None = None) -> DataFrame:
+    """What the stream over a path adds up to when all of it has been read: complete mode, open windows included."""
+    return gathered(windowed(opened(spark, path), width, slide), "complete")
