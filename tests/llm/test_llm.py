@@ -116,6 +116,39 @@ def test_span_dedup(docs, none):
     assert span_dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("ends", [0.0, 0.07])
+def test_passages_amid_sentences_lose_their_words(spark, ends):
+    """Passages of 51 to 80 words planted mid-sentence, against brute force on words."""
+    rng = random.Random(8)
+
+    def words(n):
+        return [f"w{rng.randrange(10**6)}" + ("." if rng.random() < ends else "") for _ in range(n)]
+
+    texts = {}
+    for i, size in enumerate(range(51, 81)):
+        passage = words(size)
+        for copy in (0, 100):
+            texts[i + copy] = words(rng.randrange(1, 60)) + passage + words(rng.randrange(1, 60))
+    if not ends:
+        texts[200] = words(30) * 5  # overlaps its own repeats
+    got = {r.doc_id: r for r in span_dedup(spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(4)).collect()}
+    seen, n, spans = {}, 51, set()
+    for i, w in sorted(texts.items()):
+        gone = set()
+        for at in range(len(w) - n + 1):
+            first = seen.setdefault(tuple(w[at : at + n]), (i, at))
+            if first != (i, at):
+                gone |= set(range(max(at, first[1] + n) if first[0] == i else at, at + n))
+        left, own = got[i].text.split(), {r[2] for r in runs(sentences(" ".join(w)))}
+        if not own & spans or not ends:
+            assert left == [x for k, x in enumerate(w) if k not in gone]
+        else:  # sentences that runs end at keep up to 20 words on each side
+            assert set(left) >= {x for k, x in enumerate(w) if k not in gone} and len(left) <= len(w) - len(gone) + 40
+        assert (got[i].n_removed > 0) == bool(gone)
+        spans |= own
+    assert sum(r.n_removed > 0 for r in got.values()) == 30 + (not ends)
+
+
 # 3
 def test_hmm_counts_and_forward(spark, docs, none):
     got = hmm.hmm_scores(docs)

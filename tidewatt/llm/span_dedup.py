@@ -1,4 +1,4 @@
-"""Substring dedup: repeated runs of consecutive sentences keep their first occurrence only.
+"""Substring dedup: repeated passages keep their first occurrence only.
 
 Sentences end after a full stop, exclamation or question mark (with closing marks) before
 white space, or at a line break; one of more than SENTENCE_WORDS words counts as several.
@@ -6,6 +6,12 @@ Every run of RUN consecutive sentences is hashed, lengthened forwards or backwar
 RUN_WORDS words where its sentences are short. Runs are joined on their hash over the
 whole corpus; the first is that of the least (doc_id, position). Sentences that any
 other occurrence covers are removed.
+
+Passages of PASSAGE words are found wherever they stand in a sentence: of each PASSAGE
+words one gram of GRAM words is an anchor (winnowing), so equal passages share an anchor.
+All windows of PASSAGE words around anchors that repeat are hashed and joined likewise,
+and words that a later window covers go. Only where a run goes up to a sentence of which
+a window covers one end, at most SENTENCE_WORDS words there stay: runs end at sentences.
 """
 
 from __future__ import annotations
@@ -13,34 +19,99 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._common import written
+from ._hashing import BASE, mix
 
 RUN = 3
 RUN_WORDS = 10
 SENTENCE_WORDS = 20
+PASSAGE = 51
+GRAM = 20
 _PIECE = re.compile(r"[^\n]*?[.!?]+[\"')\]]*(?:[ \t\r\f\v]+|\n+|$)|[^\n]+\n*|\n+")
 _WORD = re.compile(r"[^ \t\n\r\f\v]+[ \t\n\r\f\v]*")
 
 
-def sentences(text: str) -> list[str]:
-    """The text cut into sentences, white space after each included; joined they give the text."""
+class _Hashes(dict):
+    """64-bit hashes of words; those met first are kept between calls."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        out = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(self) < 1 << 17:
+            self[word] = out
+        return out
+
+
+_hashes = _Hashes()
+
+
+def _cut_up(text: str) -> list[list[str]]:
+    """The sentences of a text, each cut into parts of at most SENTENCE_WORDS words."""
     out = []
     for piece in _PIECE.findall(text):
         words = piece.split()
         if len(words) <= SENTENCE_WORDS:
-            out.append(piece)
+            out.append([piece])
         else:
             starts = [m.start() for m in _WORD.finditer(piece)][::SENTENCE_WORDS]
             starts[0] = 0
-            out += [piece[a:b] for a, b in zip(starts, [*starts[1:], len(piece)], strict=True)]
+            out.append([piece[a:b] for a, b in zip(starts, [*starts[1:], len(piece)], strict=True)])
     return out
 
 
+def sentences(text: str) -> list[str]:
+    """The text cut into sentences, white space after each included; joined they give the text."""
+    return [part for parts in _cut_up(text) for part in parts]
+
+
+def _word_hashes(text: str) -> np.ndarray:
+    words = text.split()
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
+def _grams(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k word hashes, by doubling."""
+    done, out, length, n = 0, None, 1, len(words) - k + 1
+    power = words
+    while True:
+        if k & length:
+            part = power[done : done + n]
+            out = part.copy() if out is None else out * np.uint64(pow(BASE, length, 1 << 64)) + part
+            done += length
+        if length * 2 > k:
+            return mix(out)
+        power = power[:-length] * np.uint64(pow(BASE, length, 1 << 64)) + power[length:]
+        length *= 2
+
+
+def anchors(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, hash) of the anchors of some texts, given the hashes of their words: of each PASSAGE
+    consecutive words the gram of least hash, the rightmost where several are least."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    words = np.concatenate(texts) if texts else np.empty(0, np.uint64)
+    if len(words) < PASSAGE:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    grams, w = _grams(words, GRAM), PASSAGE - GRAM + 1
+    keys = (grams >> np.uint64(32) << np.uint64(32)) | (np.uint64(0xFFFFFFFF) - np.arange(len(grams), dtype=np.uint64))
+    span = 1
+    while span * 2 <= w:
+        keys = np.minimum(keys[:-span], keys[span:])
+        span *= 2
+    if span < w:
+        keys = np.minimum(keys[: len(keys) - (w - span)], keys[w - span :])
+    of, ends = np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes)
+    keys = keys[np.arange(len(keys)) + PASSAGE <= ends[of[: len(keys)]]]  # no window of two texts
+    at = np.unique(np.int64(0xFFFFFFFF) - (keys & np.uint64(0xFFFFFFFF)).astype(np.int64))
+    return of[at], at - (ends - sizes)[of[at]], grams[at]
+
+
 def runs(pieces: list[str]) -> list[tuple[int, int, str]]:
     """(first sentence, sentences, words) of each run."""
     words = [p.split() for p in pieces]
@@ -57,49 +128,122 @@ def runs(pieces: list[str]) -> list[tuple[int, int, str]]:
     return [(spoken[a], spoken[b] - spoken[a] + 1, " ".join(w for i in spoken[a : b + 1] for w in words[i])) for a, b in sorted(spans)]
 
 
+def _signed(hashes: np.ndarray) -> pa.Array:
+    return pa.array(hashes.view(np.int64), pa.int64())
+
+
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of each text (first sentence, sentences) and its anchors (first word, n = 0)."""
     import xxhash
 
     for batch in batches:
         for at in range(0, len(batch), 512):
             part = batch.slice(at, 512)
             ids, keys, start, count, hashes = part.column("doc_id").to_pylist(), part.column("row_key").to_pylist(), [], [], []
+            texts = [t or "" for t in part.column("text").to_pylist()]
             of, row = [], []
-            for doc_id, key, text in zip(ids, keys, part.column("text").to_pylist(), strict=True):
-                found = runs(sentences(text or ""))
+            for doc_id, key, text in zip(ids, keys, texts, strict=True):
+                found = runs(sentences(text))
                 of += [doc_id] * len(found)
                 row += [key] * len(found)
                 start += [f[0] for f in found]
                 count += [f[1] for f in found]
                 hashes += [xxhash.xxh3_64_intdigest(f[2].encode("utf-8", "surrogatepass")) - (1 << 63) for f in found]
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(of, pa.int64()), pa.array(row, pa.int64()), pa.array(start, pa.int32()), pa.array(count, pa.int32())], names=["hash", "doc_id", "row_key", "at", "n"])
+            place, first, grams = anchors([_word_hashes(t) for t in texts])
+            yield pa.RecordBatch.from_arrays([_signed(grams), part.column("doc_id").take(pa.array(place)), part.column("row_key").take(pa.array(place)), pa.array(first, pa.int32()), pa.array(np.zeros(len(first)), pa.int32())], names=["hash", "doc_id", "row_key", "at", "n"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of PASSAGE words that hold a given anchor: hash and first word."""
+    for batch in batches:
+        for row, (text, firsts) in enumerate(zip(batch.column("text").to_pylist(), batch.column("anchors").to_pylist(), strict=True)):
+            words = _word_hashes(text)
+            near, first = np.zeros(len(words) + 1, np.int64), np.array(firsts, np.int64)
+            np.add.at(near, np.maximum(first + GRAM - PASSAGE, 0), 1)
+            np.add.at(near, first + 1, -1)
+            grams = _grams(words, PASSAGE)
+            at = np.flatnonzero(np.cumsum(near)[: len(grams)])
+            own = pa.array(np.full(len(at), row))
+            yield pa.RecordBatch.from_arrays([_signed(grams[at]), batch.column("doc_id").take(own), batch.column("row_key").take(own), pa.array(at, pa.int32())], names=["hash", "doc_id", "row_key", "at"])
+
+
+def cut(text: str, gone: set[int], covered: list[tuple[int, int]]) -> tuple[str, int, int]:
+    """The text without some sentences and without the words that ranges of words cover; its sentences, and how
+    many of them lose words."""
+    whole, out, lost, i, at = _cut_up(text), [], 0, 0, 0
+    size = len(text.split()) if covered else 0
+    edge = np.zeros(size + 1, np.int64)
+    for a, b in covered:
+        edge[a] += 1
+        edge[b] -= 1
+    hit = np.cumsum(edge)[:size] > 0
+    for parts in whole:
+        n = sum(len(p.split()) for p in parts) if covered else 0
+        own, at = hit[at : at + n], at + n
+        if own.any() and not own.all():
+            kept = np.flatnonzero(~own)
+            if kept[0] <= SENTENCE_WORDS and i - 1 in gone:
+                own[: kept[0]] = False
+            if n - 1 - kept[-1] <= SENTENCE_WORDS and i + len(parts) in gone:
+                own[kept[-1] :] = False
+        for part in parts:
+            n = len(part.split()) if covered else 0
+            mine, own = own[:n], own[n:]
+            if i in gone or (n and mine.all()):
+                lost += 1
+            elif mine.any():
+                lost += 1
+                starts = [m.start() for m in re.finditer(r"\S+", part)]
+                starts[0] = 0
+                out += [part[a:b] for a, b, h in zip(starts, [*starts[1:], len(part)], mine, strict=True) if not h]
+            else:
+                out.append(part)
+            i += 1
+    return "".join(out), i, lost
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = {c: batch.column(c).to_pylist() for c in ("text", "gone")}
+        columns = {c: batch.column(c).to_pylist() for c in ("text", "gone", "covered")}
         texts, total, removed = [], [], []
-        for text, gone in zip(*columns.values(), strict=True):
-            pieces, drop = sentences(text or ""), set(gone or ())
-            total.append(len(pieces))
-            removed.append(len(drop))
-            texts.append(text if not drop else "".join(p for i, p in enumerate(pieces) if i not in drop))
-        keep = [i for i, name in enumerate(batch.schema.names) if name not in ("text", "gone")]
+        for text, gone, covered in zip(*columns.values(), strict=True):
+            kept, n, lost = cut(text or "", set(gone or ()), [(c >> 6, (c >> 6) + (c & 63)) for c in covered or ()])
+            total.append(n)
+            removed.append(lost)
+            texts.append(kept if lost else text)
+        keep = [i for i, name in enumerate(batch.schema.names) if name not in ("text", "gone", "covered")]
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(i) for i in keep), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())],
             names=[*(batch.schema.names[i] for i in keep), "text", "n_sentences", "n_removed"],
         )
 
 
-def removed_sentences(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, row_key, gone): the indexes of the sentences to remove, for rows that have any."""
+def _firsts(spans: DataFrame, place, name: str) -> DataFrame:
+    """(hash, first) of the hashes that occur again."""
+    return written(spans.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("m")).where("m > 1").select("hash", "first"), name)
+
+
+def removed_parts(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, row_key, gone, covered) for rows of which something goes: the indexes of sentences in runs, and
+    64 times the first word plus the number of words (at most PASSAGE) of ranges in repeated passages."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row_key"), F.col("text").cast("string").alias("text"))
-    spans = keyed.mapInArrow(_spans, "hash long, doc_id long, row_key long, at int, n int")
+    spans = written(keyed.mapInArrow(_spans, "hash long, doc_id long, row_key long, at int, n int"), "spans")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "at")
-    first = spans.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("m")).where("m > 1").select("hash", "first")
-    later = spans.join(written(first, "firsts"), "hash").where(place != F.col("first"))
-    gone = later.select("doc_id", "row_key", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("i"))
-    return written(gone.groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_set("i")).alias("gone")), "gone")
+    again = spans.join(_firsts(spans, place, "firsts"), "hash")
+    later = again.where((F.col("n") > 0) & (place != F.col("first")))
+    gone = later.select("doc_id", "row_key", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("i"), F.lit(None).cast("long").alias("c"))
+    marked = written(again.where("n = 0").groupBy("doc_id", "row_key").agg(F.collect_set("at").alias("anchors")), "anchors")
+    marked = marked.select(F.col("doc_id").alias("of"), F.col("row_key").alias("own"), "anchors")
+    held = keyed.join(marked, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row_key") == F.col("own"))).drop("of", "own")
+    windows = written(held.mapInArrow(_windows, "hash long, doc_id long, row_key long, at int"), "windows")
+    later = windows.join(_firsts(windows, place, "passages"), "hash").where(place != F.col("first"))
+    # The first occurrence stays whole where a later one in the same text overlaps it.
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row_key") == F.col("first.row_key"))
+    start = F.when(same, F.greatest("at", F.col("first.at") + PASSAGE)).otherwise(F.col("at")).cast("long")
+    covered = later.select("doc_id", "row_key", F.lit(None).cast("int").alias("i"), (start * 64 + F.col("at") + PASSAGE - start).alias("c"))
+    parts = gone.unionByName(covered).groupBy("doc_id", "row_key")
+    return written(parts.agg(F.sort_array(F.collect_set("i")).alias("gone"), F.collect_set("c").alias("covered")), "gone")
 
 
 def row_key(docs: DataFrame):
@@ -108,18 +252,18 @@ def row_key(docs: DataFrame):
 
 
 def span_dedup(docs: DataFrame) -> DataFrame:
-    """`docs` with `text` without repeated runs, and n_sentences and n_removed.
+    """`docs` with `text` without repeated runs and passages, n_sentences, and n_removed (sentences that lose words).
 
     Null and empty texts have no runs and stay as they are; so do texts with fewer than RUN sentences or
-    RUN_WORDS words. Where rows share a doc_id, those of lesser text hash come first; equal rows count as one
+    RUN_WORDS words, if they have fewer than PASSAGE words. Where rows share a doc_id, those of lesser text hash come first; equal rows count as one
     occurrence and keep the same sentences, and rows without doc_id come last. Runs are compared by their words,
-    so white space doesn't matter. All other columns pass through, but n_sentences, n_removed, row_key and gone,
-    which are replaced.
+    so white space doesn't matter. All other columns pass through, but n_sentences, n_removed, row_key, gone
+    and covered, which are replaced.
     """
-    docs = docs.drop("n_sentences", "n_removed", "row_key", "gone")
-    gone = removed_sentences(docs).withColumnRenamed("doc_id", "gone_id")
+    docs = docs.drop("n_sentences", "n_removed", "row_key", "gone", "covered")
+    gone = removed_parts(docs).withColumnRenamed("doc_id", "gone_id")
     keyed = docs.withColumn("row_key", row_key(docs))
     joined = keyed.join(gone, (F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id"))) & (keyed["row_key"] == gone["row_key"]), "left")
-    joined = joined.select(*[keyed[c] for c in docs.columns if c != "text"], keyed["text"].cast("string").alias("text"), gone["gone"])
-    fields = [f"`{n}` {t}" for n, t in joined.dtypes if n not in ("text", "gone")]
+    joined = joined.select(*[keyed[c] for c in docs.columns if c != "text"], keyed["text"].cast("string").alias("text"), gone["gone"], gone["covered"])
+    fields = [f"`{n}` {t}" for n, t in joined.dtypes if n not in ("text", "gone", "covered")]
     return joined.mapInArrow(_cut, ", ".join([*fields, "text string", "n_sentences long", "n_removed long"]))
