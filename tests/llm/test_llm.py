@@ -82,6 +82,14 @@ def test_fingerprints(docs, none):
     assert fingerprints.neighbour_fingerprints(none).count() == 0
 
 
+def test_short_texts_match_their_edited_text(spark):
+    """Where 31 bytes or more stay as they were, some kept hash is shared."""
+    rng = random.Random(2)
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(n))) for i, n in enumerate(range(42, 302, 4))]
+    got = fingerprints.neighbour_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all(r.near_edited > 0 for r in got)
+
+
 def test_winnowing_guarantee_and_segments(monkeypatch):
     rng = np.random.default_rng(0)
     shared = rng.integers(97, 101, fingerprints.K + fingerprints.WINDOW - 1, dtype=np.uint8).tobytes()

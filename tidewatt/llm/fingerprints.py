@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from ._hashing import BASE, mix
 
-K = 32
-WINDOW = 100
+K = 16
+WINDOW = 16
 SEGMENT = 1 << 20
 
 
