@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,15 +12,20 @@ from pyspark.sql import functions as F
 #: Most rows of a side that is broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 500_000
 
+_paths: list[str] = []
+
 #: Characters that separate words: space and U+0009 to U+000D.
 SPACE = r"\x20\x09-\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (`spark.checkpoint.dir`); one of our own only where it is unset."""
+    """The folder all executors share (`spark.checkpoint.dir`). Where it is unset, one of our own if the master is
+    local; an error on a cluster, where a folder of one machine would lose rows."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tidewatt-")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -29,9 +35,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_written(spark: SparkSession) -> int:
+    """Deletes the tables that `written` left, and returns how many; for when no result that reads them is needed any more."""
+    n = len(_paths)
+    while _paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df` marked for broadcast if it has at most `rows` rows, else `df` as it is. Counts a written table."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

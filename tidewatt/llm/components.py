@@ -5,25 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import small, written
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """Of links (a, b): rows (node, component), component being the least node reachable.
 
-    Each step is a minimum per node and a join on the node, so a node with very many
-    links is pre-aggregated and its join can be split. The table of links is written to
+    Each step is a minimum per node, written, and a join on the node, so a node with very many
+    links is pre-aggregated and its join can be split (or is a broadcast of counted size). The table of links is written to
     the shared folder after each round, and rounds grow with the logarithm of the longest path.
     Null ends and loops are left out; an empty table gives no rows.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = small(written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(least, "u")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        near = large.join(small(least), "u")
         star = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         nxt = written(star.where("u <> v").distinct(), "star")
         same = edges.exceptAll(nxt).union(nxt.exceptAll(edges)).isEmpty()

@@ -56,22 +56,15 @@ def _hits(docs: DataFrame, items: DataFrame, k: int, winnowed: bool) -> DataFram
 
     found = docs.join(small(written(met.select("doc_key").distinct(), "found")), "doc_key", "left_semi").dropDuplicates(["doc_key"])
     at = found.select("doc_key", F.posexplode(grams_of("words", k)).alias("p", "gram")).join(met, ["doc_key", "gram"])
-    return at.join(places, "gram").select("doc_key", "item_id", "item_words", (F.col("p") - F.col("q")).alias("shift")).distinct()
+    return at.join(small(written(places, "places")), "gram").select("doc_key", "item_id", "item_words", (F.col("p") - F.col("q")).alias("shift")).distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
-
-    n_hit counts the words inside any occurrence of any item's window; n_items the items
-    with occurring windows; items_sha256 digests their ids, sorted as strings and joined
-    by commas (of the empty string where there are none). Null or wordless texts have no
-    words and no hits, wordless items no windows. Repeated items count once per item_id.
-    Rows with equal texts share one search. Columns other than doc_id, text, item_id are ignored.
-    """
-    docs = docs.select(F.col("doc_id"), text_of(docs).alias("text")).withColumn("doc_key", F.unhex(F.md5("text")))
-    base = docs.select("doc_key", words_of(F.col("text")).alias("words"))
-    counted = written(docs.select("doc_id", "doc_key", F.size(words_of(F.col("text"))).cast("long").alias("n_words")), "counted")
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(text_of(benchmark)).alias("item_words")).where(F.size("item_words") > 0)
+def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """A written table (doc_key, item_id, shift, q, span): the item's windows of `span` words, from its word q, that
+    occur in the text with that key (`key_of`) from its word shift + q. Equal texts share one search."""
+    base = docs.select(key_of(text_of(docs)).alias("doc_key"), words_of(text_of(docs)).alias("words"))
+    item_id = F.coalesce(benchmark["item_id"].cast("string"), F.lit(""))
+    items = benchmark.select(item_id.alias("item_id"), words_of(text_of(benchmark)).alias("item_words")).where(F.size("item_words") > 0)
     items = written(items.distinct(), "items")
 
     long_items = items.where(F.size("item_words") >= SPAN)
@@ -82,18 +75,44 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     aligned = written(aligned, "aligned")
 
     found = base.join(small(written(aligned.select("doc_key").distinct(), "aligned-docs")), "doc_key", "left_semi").dropDuplicates(["doc_key"])
-    equal = F.expr("transform(item_words, (w, q) -> coalesce(get(words, q + shift) = w, false))")
+    # An alignment carries the words it lies on, not the whole text; written, so that the slice is cut once.
+    lead = F.greatest(F.lit(0), -F.col("shift"))
+    cut = F.slice("words", F.greatest(F.col("shift"), F.lit(0)) + 1, F.size("item_words") - lead)
+    facing = written(aligned.join(found, "doc_key").select("doc_key", "item_id", "shift", "item_words", lead.alias("lead"), cut.alias("facing")), "facing")
+    equal = F.expr("transform(item_words, (w, q) -> q >= lead and coalesce(get(facing, q - lead) = w, false))")
     span = F.expr(f"least({SPAN}, size(item_words))")
     starts = F.expr("filter(sequence(0, size(item_words) - span), q -> forall(slice(equal, q + 1, span), e -> e))")
-    hits = aligned.join(found, "doc_key").select("doc_key", "item_id", "shift", equal.alias("equal"), span.alias("span"), "item_words")
-    hits = written(hits.select("doc_key", "item_id", "shift", "span", F.explode(starts).alias("q")), "hits")
+    hits = facing.select("doc_key", "item_id", "shift", equal.alias("equal"), span.alias("span"), "item_words")
+    return written(hits.select("doc_key", "item_id", "shift", F.explode(starts).alias("q"), "span"), "hits")
+
+
+def key_of(text: Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.unhex(F.md5(text))
 
+
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    n_hit counts the words inside any occurrence of any item's window; n_items the items
+    with occurring windows; items_sha256 digests their ids, sorted as strings and joined
+    by commas (of the empty string where there are none). Null or wordless texts have no
+    words and no hits, wordless items no windows. Repeated items count once per item_id;
+    items without id count as one whose id is the empty string.
+    Rows with equal texts share one search. Columns other than doc_id, text, item_id are ignored.
+    """
+    docs = docs.select(F.col("doc_id"), text_of(docs).alias("text"))
+    counted = docs.select("doc_id", key_of(F.col("text")).alias("doc_key"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    counted = written(counted, "counted")
+    hits = occurrences(docs, benchmark)
     covered = hits.select("doc_key", F.explode(F.expr("sequence(shift + q, shift + q + span - 1)")).alias("p")).distinct().groupBy("doc_key").agg(F.count("*").alias("n_hit"))
     named = hits.select("doc_key", "item_id").distinct().groupBy("doc_key").agg(F.sort_array(F.collect_list("item_id")).alias("ids"))
-    result = counted.join(covered, "doc_key", "left").join(named, "doc_key", "left")
+    digest = F.sha2(F.array_join("ids", ","), 256)
+    found = covered.join(named, "doc_key").select("doc_key", "n_hit", F.size("ids").cast("long").alias("n_items"), digest.alias("items_sha256"))
+    # Written and counted: broadcast, or else shuffled anew, so that a text with very many copies can be split.
+    result = counted.join(small(written(found, "found-items")), "doc_key", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    ids = F.coalesce("ids", F.array().cast("array<string>"))
     return result.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
-        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )

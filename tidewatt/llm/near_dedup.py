@@ -7,7 +7,9 @@ A pair of similarity s meets in a table unless all sketches of one collection di
 missed with probability 2 * (1 - s**2)**SKETCHES, about 1e-4 at s = 0.75.
 
 Candidates are confirmed on the full shingle sets. Documents with equal sets are one
-node. In every table key, members are compared with a leader, not with each other;
+class, and a class is a node. A table key can only be shared if both its sketches are, so
+sketches that one class alone has are dropped before keys are formed. In every table key,
+members are compared with a leader, not with each other;
 links join them to components, and only keys that still hold several components go on.
 What remains after `LEADER_ROUNDS` is compared exactly, block against block, within the
 groups that shared keys connect; a block comparison returns one link per document and
@@ -23,9 +25,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ._common import small, written
+from ._common import small, text_of, written
 from ._hashing import mix, shingle_set
 from .components import connected_components
 
@@ -34,6 +35,7 @@ WIDTH = 5
 THRESHOLD = 75  # per cent
 LEADER_ROUNDS = 3
 BLOCK = 256
+SLICE = 8192
 
 _rng = np.random.default_rng(20240131)
 _MULTIPLY = _rng.integers(1, 2**63, size=4 * SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -56,26 +58,23 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mins = np.array([minhashes(s) for s in sets], dtype=np.uint64).reshape(n, 2 * SKETCHES, 2)
         both = mix(mins[:, :, 0] * np.uint64(0x9E3779B97F4A7C15) + mins[:, :, 1]).view(np.int64)
         digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-
-        def lists(x: np.ndarray) -> pa.Array:
-            return pa.ListArray.from_arrays(pa.array(np.arange(0, SKETCHES * n + 1, SKETCHES, dtype=np.int32)), pa.array(np.ascontiguousarray(x).ravel()))
-
+        ends = pa.array(np.arange(0, 2 * SKETCHES * n + 1, 2 * SKETCHES, dtype=np.int32))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), lists(both[:, :SKETCHES]), lists(both[:, SKETCHES:])],
-            names=["doc_id", "n_shingles", "set_digest", "a", "b"],
+            [batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(both.ravel()))],
+            names=["doc_id", "text_key", "n_shingles", "set_digest", "sketches"],
         )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(t).view(np.int64) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(sets, pa.list_(pa.int64()))], names=["text_key", "shingles"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    one = sets.select(F.col("c").alias("a"), F.col("shingles").alias("sa"))
+    two = sets.select(F.col("c").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     return (
         pairs.join(one, "a").join(two, "b")
@@ -86,86 +85,112 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def block_links(frame: pd.DataFrame) -> pd.DataFrame:
     """Links between the first and the second block of a frame (one block against itself if there is but one):
-    for each document and each other component the least partner."""
+    for each class and each other component the least partner. Shared shingles are counted a slice at a time, so
+    memory is bounded by the sets themselves."""
     first, second = frame[frame.side == 0].reset_index(drop=True), frame[frame.side == 1].reset_index(drop=True)
     second = second if len(second) else first
     ids, codes = np.unique(np.concatenate([*first.shingles, *second.shingles]), return_inverse=True)
-    cut = sum(map(len, first.shingles))
-
-    def flags(sets: pd.Series, codes: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(sets), len(ids)), dtype=bool)
-        out[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), codes] = True
-        return out
-
-    x, y = flags(first.shingles, codes[:cut]), flags(second.shingles, codes[cut:])
-    shared = x.any(axis=0) & y.any(axis=0)
-    common = x[:, shared].astype(np.float32) @ y[:, shared].astype(np.float32).T
-    union = x.sum(axis=1)[:, None] + y.sum(axis=1)[None, :] - common
-    i, j = np.nonzero((100 * common >= THRESHOLD * union) & (first.component.to_numpy()[:, None] != second.component.to_numpy()[None, :]))
-    found = pd.DataFrame({"a": first.doc_id.to_numpy()[i], "b": second.doc_id.to_numpy()[j], "c": second.component.to_numpy()[j]})
-    return found.sort_values(["a", "c", "b"]).drop_duplicates(["a", "c"])[["a", "b"]]
+    n, m = np.array([len(s) for s in first.shingles]), np.array([len(s) for s in second.shingles])
+    owner, side = np.concatenate([np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)]), np.arange(len(codes)) >= n.sum()
+    order = np.argsort(codes, kind="stable")
+    codes, owner, side = codes[order], owner[order], side[order]
+    common = np.zeros((len(n), len(m)))
+    for lo in range(0, len(ids), SLICE):
+        part = slice(*np.searchsorted(codes, (lo, lo + SLICE)))
+        x, y = np.zeros((len(n), SLICE), np.float32), np.zeros((len(m), SLICE), np.float32)
+        x[owner[part][~side[part]], codes[part][~side[part]] - lo] = 1
+        y[owner[part][side[part]], codes[part][side[part]] - lo] = 1
+        common += x @ y.T
+    i, j = np.nonzero((100 * common >= THRESHOLD * (n[:, None] + m[None, :] - common)) & (first.component.to_numpy()[:, None] != second.component.to_numpy()[None, :]))
+    found = pd.DataFrame({"a": first.c.to_numpy()[i], "b": second.c.to_numpy()[j], "other": second.component.to_numpy()[j]})
+    return found.sort_values(["a", "other", "b"]).drop_duplicates(["a", "other"])[["a", "b"]]
 
 
 def _remaining_links(keys: DataFrame, sets: DataFrame) -> DataFrame:
     """All links between different components within the groups that shared keys connect, block by block."""
-    edges = keys.select(F.col("doc_id").alias("a"), F.min("doc_id").over(Window.partitionBy("key")).alias("b"))
-    groups = connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("part"))
-    members = written(keys.select("doc_id", "component").distinct().join(groups, "doc_id"), "members")
+    heads = small(written(keys.groupBy("key").agg(F.min("c").alias("b")), "heads"))
+    edges = keys.join(heads, "key").select(F.col("c").alias("a"), "b")
+    groups = connected_components(edges).select(F.col("node").alias("c"), F.col("component").alias("part"))
+    members = written(keys.select("c", "component").distinct().join(groups, "c"), "members")
     size = members.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(size, "part").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).join(sets, "doc_id")
+    placed = members.join(small(written(size, "size")), "part").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).join(sets, "c")
     meets = F.explode(
         F.expr("transform(sequence(0, blocks - 1), x -> struct(least(block, x) as lo, greatest(block, x) as hi, int(block > x) as side))")
     ).alias("m")
-    cells = placed.select("part", "doc_id", "component", "shingles", "block", meets).select("*", "m.*")
+    cells = placed.select("part", "c", "component", "shingles", "block", meets).select("*", "m.*")
     return cells.groupBy("part", "lo", "hi").applyInPandas(block_links, "a long, b long")
 
 
+def _shared_keys(classes: DataFrame) -> DataFrame:
+    """Rows (key, c, leader): the table keys that several classes have, and the least of these."""
+    each = classes.select("c", F.posexplode("sketches").alias("i", "x")).select("c", (F.col("i") < SKETCHES).alias("first"), F.xxhash64("i", "x").alias("s"))
+    shared = written(each.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("s"), "shared")
+    live = each.join(small(shared), "s").groupBy("c").agg(F.collect_list(F.expr("if(first, s, null)")).alias("a"), F.collect_list(F.expr("if(first, null, s)")).alias("b"))
+    live = written(live.where("size(a) > 0 and size(b) > 0"), "live")
+    rows = live.select("c", F.explode("a").alias("x"), "b").select("c", "x", F.explode("b").alias("y")).select(F.xxhash64("x", "y").alias("key"), "c")
+    led = written(rows.groupBy("key").agg(F.min("c").alias("leader"), F.max("c").alias("hi")).where("leader < hi").drop("hi"), "led")
+    return written(rows.join(small(led), "key"), "keys")
+
+
+def _class_links(full: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) of the classes that one doc_id belongs to, where an id has several texts."""
+    code = F.xxhash64("set_digest")
+    ids = full.where("doc_id is not null").groupBy("doc_id").agg(F.min(code).alias("lo"), F.max(code).alias("hi")).where("lo < hi").select("doc_id")
+    ids = written(ids, "ids")
+    owned = written(full.join(small(ids), "doc_id").join(classes.select("set_digest", "c"), "set_digest").select("doc_id", "c").distinct(), "owned")
+    least = small(written(owned.groupBy("doc_id").agg(F.min("c").alias("a")), "least"))
+    return written(owned.join(least, "doc_id").where("a < c").select("a", F.col("c").alias("b")), "links")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (least doc_id reachable over links), kept.
+    """Per row: doc_id, n_shingles, component_id (least doc_id reachable over links), kept, text_key (MD5 of the text).
 
     Words are runs without ASCII white space, A-Z lower-cased; a set has the distinct
     5-word shingles, or the whole sequence if there are fewer words. Null, empty or blank
-    texts have an empty set and link to nothing. Rows with one doc_id count as one document.
-    A row without doc_id belongs to the component of an equal set with an id, and is then
-    not kept; else its component is null and it is kept. Any other columns are ignored.
+    texts have an empty set and link to nothing. Rows with one doc_id and different texts count
+    as one document: the links of each text are its links. A row without doc_id belongs to the
+    component of its text and is not kept if that holds an id; of a component without any id the
+    text of least text_key is kept, and component_id is null. Any other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = written(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, set_digest binary, a array<long>, b array<long>"), "sketches")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("text_key", F.unhex(F.md5("text")))
+    sketches = written(docs.mapInArrow(_sketch, "doc_id long, text_key binary, n_shingles long, set_digest binary, sketches array<long>"), "sketches")
     full = sketches.where("n_shingles > 0")
-    classes = full.groupBy("set_digest").agg(F.min("doc_id").alias("rep"), F.any_value("a").alias("a"), F.any_value("b").alias("b")).where("rep is not null")
-    # Written, so that joins on set_digest shuffle it anew and the partition of a set with very many copies can be split.
-    classes = written(classes, "classes")
-
-    tables = classes.select("rep", F.posexplode("a").alias("i", "x"), "b").select("rep", "i", "x", F.posexplode("b").alias("j", "y"))
-    rows = tables.select(F.xxhash64("i", "x", "j", "y").alias("key"), F.col("rep").alias("doc_id"))
-    keys = written(rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n"), "keys").withColumn("component", F.col("doc_id"))
-
-    reps = small(written(keys.select("doc_id").distinct(), "reps"))
-    texts = docs.join(reps, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>")
-    sets = written(texts.dropDuplicates(["doc_id", "shingles"]).groupBy("doc_id").agg(F.max_by("shingles", F.size("shingles")).alias("shingles")), "sets")
-
-    # Rows that share a doc_id across different sets are one node.
-    links = written(full.join(classes.select("set_digest", "rep"), "set_digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "copies")
-    links, own = None, links
+    classes = full.groupBy("set_digest").agg(F.min("doc_id").alias("first"), F.min("text_key").alias("text_key"), F.any_value("sketches").alias("sketches"))
+    # Numbers are given as the table is written and read from it after.
+    classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+
+    keys = _shared_keys(classes)
+    reps = written(keys.select("c").distinct().join(classes.select("c", "text_key"), "c"), "reps")
+    texts = docs.join(small(reps.select("text_key")), "text_key", "left_semi").groupBy("text_key").agg(F.any_value("text").alias("text"))
+    sets = written(texts.mapInArrow(_sets, "text_key binary, shingles array<long>").join(reps, "text_key").select("c", "shingles"), "sets")
+
+    links = _class_links(full, classes)
+    pairs = keys.where("leader <> c").select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct()
+    keys = keys.select("key", "c")
     for turn in range(LEADER_ROUNDS + 1):
         if turn == LEADER_ROUNDS:
-            found = _remaining_links(keys, sets)
+            found = _remaining_links(keys.withColumn("component", F.col("c")) if not turn else keys, sets)
         else:
-            order = F.struct((F.col("doc_id") if not turn else F.xxhash64("doc_id", F.lit(turn))).alias("o"), "doc_id", "component")
-            led = keys.withColumn("leader", F.min(order).over(Window.partitionBy("key")))
-            pairs = led.where("leader.component <> component").select(F.least("doc_id", "leader.doc_id").alias("a"), F.greatest("doc_id", "leader.doc_id").alias("b")).distinct()
+            if turn:
+                order = F.struct(F.xxhash64("c", F.lit(turn)).alias("o"), "c", "component")
+                leaders = small(written(keys.groupBy("key").agg(F.min(order).alias("leader")), "leaders"))
+                led = keys.join(leaders, "key").where("leader.component <> component")
+                pairs = led.select(F.least("c", "leader.c").alias("a"), F.greatest("c", "leader.c").alias("b")).distinct()
             found = _verified(pairs, sets)
-        found = written(found, "found")
-        links = found if links is None else links.union(found)
+        links = links.union(written(found, "found"))
         parts = written(connected_components(links), "parts")
-        keys = keys.select("key", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        w = Window.partitionBy("key")
-        keys = written(keys.withColumn("lo", F.min("component").over(w)).withColumn("hi", F.max("component").over(w)).where("lo < hi").drop("lo", "hi"), "keys")
+        keys = keys.select("key", "c").join(parts.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+        keys = written(keys, "placed")
+        mixed = keys.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+        keys = written(keys.join(small(written(mixed, "mixed")), "key", "left_semi"), "keys")
         if keys.isEmpty():
             break
 
-    member = full.join(classes.select("set_digest", "rep"), "set_digest", "left").select("doc_id", "rep", "n_shingles").unionByName(
-        sketches.where("n_shingles = 0").select("doc_id", F.col("doc_id").alias("rep"), "n_shingles")
-    )
-    out = member.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    placed = classes.join(parts.withColumnRenamed("node", "c"), "c", "left").select("set_digest", "first", "text_key", F.coalesce("component", "c").alias("component"))
+    placed = written(placed, "placed")
+    heads = written(placed.groupBy("component").agg(F.min("first").alias("component_id"), F.min("text_key").alias("least_key")), "heads")
+    placed = written(placed.join(small(heads), "component").select("set_digest", "component_id", "least_key"), "components")
+    member = full.select("doc_id", "n_shingles", "text_key", "set_digest").join(small(placed), "set_digest").drop("set_digest")
+    lone = sketches.where("n_shingles = 0").select("doc_id", "n_shingles", "text_key", F.col("doc_id").alias("component_id"), F.col("text_key").alias("least_key"))
+    kept = F.when(F.col("component_id").isNull(), F.col("text_key") == F.col("least_key")).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return member.unionByName(lone).select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_key")
