@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 1
+SEGMENT = 1 << 20
 _INVERSE = pow(BASE, -1, 1 << 64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -40,14 +41,44 @@ def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
-def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A hash of each word of some bytes, A-Z lower-cased; the lower-cased bytes; starts and ends of the words."""
-    raw = _LOWER[np.frombuffer(data, dtype=np.uint8)]
+def hashed_words(data: bytes, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of each word of some bytes, A-Z lower-cased if `lower`; the bytes so changed; starts and ends of the words.
+
+    Words are hashed in stretches of about SEGMENT bytes, so that little more than the bytes is held in memory."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    raw = _LOWER[raw] if lower else raw
     starts, ends = word_spans(raw)
-    p, q = _power_table(len(raw) + 1)
-    prefix = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * p[: len(raw)], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * q[starts] + (ends - starts).astype(np.uint64)), raw, starts, ends
+    out, at = np.empty(len(starts), dtype=np.uint64), 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + SEGMENT, side="right")))
+        s, e, part = starts[at:to] - starts[at], ends[at:to] - starts[at], raw[starts[at] : ends[to - 1]]
+        if len(part) <= SEGMENT:
+            p, q = _power_table(len(part) + 1)
+            prefix = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * p[: len(part)], out=prefix[1:])
+            sums = (prefix[e] - prefix[s]) * q[s]
+        else:  # one very long word
+            sums = np.array([_sum_of(part)], dtype=np.uint64)
+        out[at:to] = mix(sums + (e - s).astype(np.uint64))
+        at = to
+    return out, raw, starts, ends
+
+
+def _sum_of(word: np.ndarray) -> int:
+    p, total = _power_table(SEGMENT)[0], 0
+    for at in range(0, len(word), SEGMENT):
+        part = word[at : at + SEGMENT].astype(np.uint64) + np.uint64(1)
+        total += int((part * p[: len(part)]).sum(dtype=np.uint64)) * pow(BASE, at, 1 << 64)
+    return total % (1 << 64)
+
+
+def run_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each run words[start:end] of word hashes; another for each seed."""
+    words = mix(words ^ np.uint64(seed)) if seed else words
+    p, q = _power_table(len(words) + 1)
+    prefix = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(words * p[: len(words)], out=prefix[1:])
+    return mix((prefix[ends] - prefix[starts]) * q[starts] + (ends - starts).astype(np.uint64))
 
 
 def word_hashes(text: str | None) -> np.ndarray:
