@@ -9,27 +9,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatt.llm._common import written
-from tidewatt.llm.decontaminate import contamination
+from tidewatt.llm._common import small, text_of, written
+from tidewatt.llm.decontaminate import key_of, occurrences
 from tidewatt.llm.language_id import UNDETERMINED, fit, identify
 from tidewatt.llm.mixing import mix
 from tidewatt.llm.near_dedup import near_duplicates
 from tidewatt.llm.span_dedup import span_dedup
 
-#: Less probable languages than this are rejected.
-LEAST_SCORE = 0.3
+#: A language must be more probable than by chance: by this part of what chance leaves.
+ABOVE_CHANCE = 0.1
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without a letter, or of no language with LEAST_SCORE, go."""
-    found = identify(docs, fit(docs))
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """Documents with a language: those without a letter, or of no language clearly above chance (one of the number
+    of learned languages), go."""
+    net = fit(docs)
+    chance = 1 / max(1, len(net.languages)) if net else 0.0
+    least = chance + ABOVE_CHANCE * (1 - chance) - 1e-6
+    found = identify(docs, net)
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the least doc_id, of each group of near-duplicates; documents without an id stay."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates: of least doc_id, or of least digest where none has an id. Rows
+    are told by doc_id and text, null ids included; of wholly equal rows one stays."""
+    found = written(near_duplicates(docs).select("doc_id", "text_key", "kept"), "near")
+    keyed = docs.withColumn("_key", key_of(text_of(docs)))
+
+    def of(rows: DataFrame) -> DataFrame:
+        rows = rows.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_of"))
+        return small(written(rows.distinct(), "rows"))
+
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of"))
+    again = of(found.where("kept").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1"))
+    once = keyed.join(of(found.where("not kept")), same, "left_anti").join(again, same, "left_anti")
+    return once.unionByName(keyed.join(again, same, "left_semi").dropDuplicates(["doc_id", "_key"])).select(*docs.columns)
 
 
 def span_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +55,10 @@ def span_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window of words with the benchmark."""
-    gone = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that share no window of words with the benchmark; a text that does goes in all its rows, whatever their ids."""
+    hits = occurrences(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = small(written(hits.select(F.col("doc_key").alias("_key")).distinct(), "contaminated"))
+    return docs.withColumn("_key", key_of(text_of(docs))).join(gone, "_key", "left_anti").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
