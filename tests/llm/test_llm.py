@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -16,7 +17,7 @@ from tidewatt.llm import fingerprints, hmm, language_id, licences, mixing, near_
 from tidewatt.llm.components import connected_components
 from tidewatt.llm.decontaminate import contamination
 from tidewatt.llm.induced import suffix_array
-from tidewatt.llm.span_dedup import runs, sentences, span_dedup
+from tidewatt.llm.span_dedup import span_dedup
 from tidewatt.llm.token_counts import TokenLedger, count_by_bpe, counted, deletes, inserts, revisions
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, row int, taken int, component string, m int"
@@ -102,22 +103,48 @@ def test_winnowing_guarantee_and_segments(monkeypatch):
 
 
 # 2
-def test_sentences_join_to_the_text():
-    for t in ("", "\n", "A b. C d!\nE", prose(random.Random(1), 300), "no end " * 70, "...", "a.\n\n\nb.", " lead"):
-        assert "".join(sentences(t)) == t
+WORD = re.compile(r"[^ \t\n\r\f\v]+")
+
+
+def slow_span_dedup(rows):
+    """Text that stays of each (doc_id, text), by plain loops: what later runs of sentences and later passages cover goes."""
+    seen, out = {}, {}
+    for doc_id, text in sorted(set(rows)):
+        found = list(WORD.finditer(text))
+        words, cuts, gone = [m[0] for m in found], [0], set()
+        for i, m in enumerate(found):
+            gap = text[m.end() : found[i + 1].start()] if i + 1 < len(found) else "\n"
+            if "\n" in gap or re.search(r"[.!?][\"')\]]*$", m[0]):
+                cuts.append(i + 1)
+        spans = set()
+        for k in range(len(cuts) - 1):
+            for to in range(k + 3, len(cuts)):
+                if cuts[to] - cuts[k] >= 10:
+                    spans.add((cuts[k], cuts[to]))
+                    break
+            for at in range(k - 2, -1, -1):
+                if cuts[k + 1] - cuts[at] >= 10:
+                    spans.add((cuts[at], cuts[k + 1]))
+                    break
+        for a, b in sorted(spans):
+            if seen.setdefault(("run", *words[a:b]), (doc_id, a)) != (doc_id, a):
+                gone |= set(range(a, b))
+        for a in range(len(words) - 50):
+            first = seen.setdefault(tuple(words[a : a + 51]), (doc_id, a))
+            if first != (doc_id, a):
+                gone |= set(range(max(a, first[1] + 51) if first[0] == doc_id else a, a + 51))
+        starts = [0, *(m.start() for m in found[1:]), len(text)] if found else [0, len(text)]
+        out[doc_id] = "".join(text[starts[i] : starts[i + 1]] for i in range(len(starts) - 1) if i not in gone)
+    return out
 
 
 def test_span_dedup(docs, none):
-    seen, want = {}, {}
-    for doc_id, text in sorted(((r[0], r[1]) for r in awkward() if r[0] is not None and r[1]), key=lambda r: r[0]):
-        pieces, drop = sentences(text), set()
-        for at, n, words in runs(pieces):
-            if seen.setdefault(words, (doc_id, at)) != (doc_id, at):
-                drop |= set(range(at, at + n))
-        want[doc_id] = "".join(p for i, p in enumerate(pieces) if i not in drop)
+    rows = [(r[0], r[1]) for r in awkward() if r[0] is not None and r[1]]
+    want = slow_span_dedup(rows)
     got = span_dedup(docs)
     assert len(got.columns) == len(docs.columns) + 2 and got.count() == docs.count()
-    assert {r.doc_id: r.text for r in got.where("doc_id is not null and text <> ''").collect()}.items() >= {(k, v) for k, v in want.items() if v}
+    for r in got.where("doc_id is not null and text is not null").collect():
+        assert r.text == want.get(r.doc_id, "") and (r.n_removed > 0) == (r.text != dict(rows).get(r.doc_id, ""))
     assert {r.text for r in got.where("doc_id = 3").collect()} == {None}
     passage = awkward()[11][1].split("\n")[0]
     assert passage in want[11] and passage[:100] not in want[12]
@@ -126,7 +153,7 @@ def test_span_dedup(docs, none):
 
 @pytest.mark.parametrize("ends", [0.0, 0.07])
 def test_passages_amid_sentences_lose_their_words(spark, ends):
-    """Passages of 51 to 80 words planted mid-sentence, against brute force on words."""
+    """Passages of 51 to 80 words planted mid-sentence, many times, with ends that differ; against brute force."""
     rng = random.Random(8)
 
     def words(n):
@@ -135,26 +162,22 @@ def test_passages_amid_sentences_lose_their_words(spark, ends):
     texts = {}
     for i, size in enumerate(range(51, 81)):
         passage = words(size)
-        for copy in (0, 100):
+        for copy in (0, 100, 300):
             texts[i + copy] = words(rng.randrange(1, 60)) + passage + words(rng.randrange(1, 60))
-    if not ends:
-        texts[200] = words(30) * 5  # overlaps its own repeats
-    got = {r.doc_id: r for r in span_dedup(spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(4)).collect()}
-    seen, n, spans = {}, 51, set()
-    for i, w in sorted(texts.items()):
-        gone = set()
-        for at in range(len(w) - n + 1):
-            first = seen.setdefault(tuple(w[at : at + n]), (i, at))
-            if first != (i, at):
-                gone |= set(range(max(at, first[1] + n) if first[0] == i else at, at + n))
-        left, own = got[i].text.split(), {r[2] for r in runs(sentences(" ".join(w)))}
-        if not own & spans or not ends:
-            assert left == [x for k, x in enumerate(w) if k not in gone]
-        else:  # sentences that runs end at keep up to 20 words on each side
-            assert set(left) >= {x for k, x in enumerate(w) if k not in gone} and len(left) <= len(w) - len(gone) + 40
-        assert (got[i].n_removed > 0) == bool(gone)
-        spans |= own
-    assert sum(r.n_removed > 0 for r in got.values()) == 30 + (not ends)
+        texts[i + 500] = words(5) + passage[: size - 1] + words(9)  # one word less is none for the first
+    texts[200], texts[201] = words(30) * 5, (words(60) + words(2)) * 2  # overlaps its own repeats
+    texts[202] = texts[200][:100] + words(3)
+    rows = [(i, " ".join(w)) for i, w in texts.items()]
+    got = {r.doc_id: r.text for r in span_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == slow_span_dedup(rows)
+
+
+def test_long_runs_of_signs_take_little_time(spark):
+    rows = [(1, "." * 1_000_000), (2, "?" * 500_000 + ") " + "!" * 500_000), (3, '."' * 300_000 + " x"), (4, ")" * 600_000 + "\n" + "a" * 1_500_000)]
+    began = time.time()
+    got = span_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (len(r.text), r.n_removed) for r in got.collect()} == {i: (len(t), 0) for i, t in rows}
+    assert time.time() - began < 60  # a run over sentence patterns took minutes
 
 
 # 3
@@ -298,6 +321,47 @@ def test_near_duplicates(docs, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_an_id_with_several_texts_has_the_links_of_each(spark):
+    rng = random.Random(6)
+    one, two, three = (prose(rng, n) for n in (60, 90, 70))
+    rows = [(1, one), (3, two), (5, one), (5, two + " more"), (5, three), (9, three), (None, three), (None, prose(rng, 30)), (7, prose(rng, 40))]
+    got = collections.Counter(tuple(r)[:4] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id", "kept").collect())
+    assert got == collections.Counter([(1, 1, True), (3, 1, False), (5, 1, False), (5, 1, False), (5, 1, False), (9, 1, False), (None, 1, False), (None, None, True), (7, 7, True)])
+
+
+def test_near_duplicates_equal_an_exact_join(spark):
+    """On generated documents and on many pairs near the threshold: components by comparing all sets that share a shingle."""
+    rng, rows = random.Random(12), []
+    for i in range(400):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(40, 120))]
+        rows.append((i, " ".join(words)))
+        for k in range(rng.randrange(1, 8)):  # each change costs about 5 of the shingles on both sides
+            words[rng.randrange(len(words))] = f"n{k}"
+        rows.append((1000 + i, " ".join(words)))
+    real = [(r.doc_id + 10_000, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r.text]
+    rows += real
+    sets, holders = {}, collections.defaultdict(list)
+    for i, t in rows:
+        w = t.encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        for g in sets[i]:
+            holders[g].append(i)
+    common = collections.Counter((a, b) for ids in holders.values() for k, a in enumerate(ids) for b in ids[k + 1 :])
+    links = [p for p, n in common.items() if 100 * n >= 75 * (len(sets[p[0]]) + len(sets[p[1]]) - n)]
+    part = {i: i for i in sets}
+
+    def find(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        part[b] = a
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(links) > 150 and {r.doc_id: r.component_id for r in got} == {i: find(i) for i in sets}
+
+
 @pytest.mark.parametrize("rounds", [0, near_dedup.LEADER_ROUNDS])
 def test_a_chain_of_near_copies_is_one_component(spark, monkeypatch, rounds):
     """Neighbours link, ends don't: without leader rounds the block comparison finds the links."""
@@ -387,6 +451,8 @@ def test_contamination(spark, docs, none):
                     ids.add(item)
         want[r[0], len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)] += 1
     assert pairs_of(contamination(docs, bench).collect()) == want
+    unnamed = contamination(docs, bench.selectExpr("cast(null as long) as item_id", "text")).where("contaminated").select("n_items", "items_sha256").distinct().collect()
+    assert [tuple(r) for r in unnamed] == [(1, hashlib.sha256(b"").hexdigest())]
     assert sum(n for k, n in want.items() if k[-1]) > 4
     assert contamination(none, bench).count() == 0
     assert contamination(docs, bench.limit(0)).where("contaminated").count() == 0
@@ -414,3 +480,19 @@ def test_pipeline_on_awkward_rows(spark, docs, none):
         for _, stage in corpus_pipeline.STAGES:
             table = corpus_pipeline.written(stage(spark, table, sf), "test")
         assert table.count() >= 0
+
+
+def test_pipeline_decisions_hold_without_ids_and_for_repeated_ids(spark):
+    """Benchmark items under null and repeated ids all go; of copies without ids one row stays."""
+    sf = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 60").first().text
+    rng = random.Random(4)
+    clean, copy = prose(rng, 80), prose(rng, 90)
+    rows = [(None, item), (1, item), (1, clean), (1, "before " + item + " after"), (None, copy), (None, copy), (None, copy + " end"), (4, prose(rng, 50)), (4, prose(rng, 50))]
+    rows += [rows[-1]]
+    docs = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.decontamination_stage(spark, docs, sf).collect()
+    assert pairs_of((r.doc_id, r.text) for r in left) == pairs_of(r for r in rows if item not in r[1])
+    once = corpus_pipeline.near_dedup_stage(spark, docs, sf).collect()
+    assert len([r for r in once if r.doc_id is None]) == 1 and len([r for r in once if r.doc_id == 4]) == 2
+    assert [r.text for r in once if r.doc_id is None][0].startswith(copy)

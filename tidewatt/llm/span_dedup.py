@@ -1,79 +1,74 @@
 """Substring dedup: repeated passages keep their first occurrence only.
 
 Sentences end after a full stop, exclamation or question mark (with closing marks) before
-white space, or at a line break; one of more than SENTENCE_WORDS words counts as several.
-Every run of RUN consecutive sentences is hashed, lengthened forwards or backwards to
-RUN_WORDS words where its sentences are short. Runs are joined on their hash over the
-whole corpus; the first is that of the least (doc_id, position). Sentences that any
-other occurrence covers are removed.
+white space, or at a line break. Every run of RUN consecutive sentences is hashed,
+lengthened forwards or backwards to RUN_WORDS words where its sentences are short. Runs
+are joined on their hash over the whole corpus; the first is that of the least
+(doc_id, position). Sentences that any other occurrence covers are removed.
 
 Passages of PASSAGE words are found wherever they stand in a sentence: of each PASSAGE
-words one gram of GRAM words is an anchor (winnowing), so equal passages share an anchor.
-All windows of PASSAGE words around anchors that repeat are hashed and joined likewise,
-and words that a later window covers go. Only where a run goes up to a sentence of which
-a window covers one end, at most SENTENCE_WORDS words there stay: runs end at sentences.
+words one gram of GRAM words is an anchor (winnowing), so equal passages share an anchor
+and all windows of PASSAGE words that hold it lie in its context, PASSAGE - GRAM words to
+each side. Occurrences of one anchor with equal contexts are a class: all but those of the
+class's first text go whole (and so do later copies of a whole text). Only the contexts in first texts are cut into windows, which
+are hashed and joined in turn, so that contexts that differ lose what they share.
+
+A run, and a window, is told by two 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ._common import written
-from ._hashing import BASE, mix
+from ._common import small, text_of, written
+from ._hashing import BASE, hashed_words, mix, run_hashes, word_spans
 
 RUN = 3
 RUN_WORDS = 10
-SENTENCE_WORDS = 20
 PASSAGE = 51
 GRAM = 20
-_PIECE = re.compile(r"[^\n]*?[.!?]+[\"')\]]*(?:[ \t\r\f\v]+|\n+|$)|[^\n]+\n*|\n+")
-_WORD = re.compile(r"[^ \t\n\r\f\v]+[ \t\n\r\f\v]*")
-
-
-class _Hashes(dict):
-    """64-bit hashes of words; those met first are kept between calls."""
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        out = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) < 1 << 17:
-            self[word] = out
-        return out
-
-
-_hashes = _Hashes()
-
-
-def _cut_up(text: str) -> list[list[str]]:
-    """The sentences of a text, each cut into parts of at most SENTENCE_WORDS words."""
-    out = []
-    for piece in _PIECE.findall(text):
-        words = piece.split()
-        if len(words) <= SENTENCE_WORDS:
-            out.append([piece])
-        else:
-            starts = [m.start() for m in _WORD.finditer(piece)][::SENTENCE_WORDS]
-            starts[0] = 0
-            out.append([piece[a:b] for a, b in zip(starts, [*starts[1:], len(piece)], strict=True)])
+#: Texts are worked together up to so many bytes; a longer one alone.
+TOGETHER = 1 << 20
+SECOND = 0x51
+_CLOSES = np.zeros(256, dtype=bool)
+_CLOSES[[*b"\"')]"]] = True
+_STOPS = np.zeros(256, dtype=bool)
+_STOPS[[*b".!?"]] = True
+_SPANS = "hash long, again long, doc_id long, row_key long, at int, n int"
+
+
+def sentence_ends(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each word (starts, ends) of some bytes is the last of its sentence; the last word always is."""
+    last = ends - 1
+    open_ = np.flatnonzero(_CLOSES[raw[last]] & (last > starts))
+    for _ in range(8):
+        last[open_] -= 1
+        open_ = open_[_CLOSES[raw[last[open_]]] & (last[open_] > starts[open_])]
+    for i in open_:  # very many closing marks
+        last[i] = starts[i] + max(1, len(raw[starts[i] : ends[i]].tobytes().rstrip(b"\"')]"))) - 1
+    out = _STOPS[raw[last]]
+    breaks = np.flatnonzero(raw == 10)
+    if len(out):
+        out[:-1] |= np.searchsorted(breaks, ends[:-1]) < np.searchsorted(breaks, starts[1:])
+        out[-1] = True
     return out
 
 
-def sentences(text: str) -> list[str]:
-    """The text cut into sentences, white space after each included; joined they give the text."""
-    return [part for parts in _cut_up(text) for part in parts]
-
-
-def _word_hashes(text: str) -> np.ndarray:
-    words = text.split()
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+def runs(sizes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First sentence, and the one after the last, of each run of sentences with `sizes` words that belong to the texts `of`."""
+    n, words = len(sizes), np.append(0, np.cumsum(sizes))
+    at = np.arange(n)
+    to = np.maximum(at + RUN, np.searchsorted(words, words[:-1] + RUN_WORDS))
+    ok = (to <= n) & (of[np.minimum(to, n) - 1] == of)
+    from_ = np.minimum(at + 1 - RUN, np.searchsorted(words, words[1:] - RUN_WORDS, side="right") - 1)
+    fits = (from_ >= 0) & (of[np.maximum(from_, 0)] == of)
+    code = np.unique(np.concatenate([at[ok] << 32 | to[ok], from_[fits] << 32 | at[fits] + 1]))
+    return code >> 32, code & 0xFFFFFFFF
 
 
 def _grams(words: np.ndarray, k: int) -> np.ndarray:
@@ -91,13 +86,11 @@ def _grams(words: np.ndarray, k: int) -> np.ndarray:
         length *= 2
 
 
-def anchors(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word, hash) of the anchors of some texts, given the hashes of their words: of each PASSAGE
-    consecutive words the gram of least hash, the rightmost where several are least."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    words = np.concatenate(texts) if texts else np.empty(0, np.uint64)
+def anchors(words: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of the anchors of texts' word hashes: of each PASSAGE consecutive words of one text the
+    gram of least hash, the rightmost where several are least."""
     if len(words) < PASSAGE:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
     grams, w = _grams(words, GRAM), PASSAGE - GRAM + 1
     keys = (grams >> np.uint64(32) << np.uint64(32)) | (np.uint64(0xFFFFFFFF) - np.arange(len(grams), dtype=np.uint64))
     span = 1
@@ -106,164 +99,160 @@ def anchors(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         span *= 2
     if span < w:
         keys = np.minimum(keys[: len(keys) - (w - span)], keys[w - span :])
-    of, ends = np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes)
-    keys = keys[np.arange(len(keys)) + PASSAGE <= ends[of[: len(keys)]]]  # no window of two texts
+    keys = keys[of[: len(keys)] == of[PASSAGE - 1 :]]  # no window of two texts
     at = np.unique(np.int64(0xFFFFFFFF) - (keys & np.uint64(0xFFFFFFFF)).astype(np.int64))
-    return of[at], at - (ends - sizes)[of[at]], grams[at]
+    return at, grams[at]
 
 
-def runs(pieces: list[str]) -> list[tuple[int, int, str]]:
-    """(first sentence, sentences, words) of each run."""
-    words = [p.split() for p in pieces]
-    spoken = [i for i, w in enumerate(words) if w]  # blank pieces join no run
-    size = [len(words[i]) for i in spoken]
-    spans = set()
-    for step in (1, -1):
-        for at in range(len(spoken)):
-            to, total, n = at, 0, 0
-            while 0 <= to < len(spoken) and (n < RUN or total < RUN_WORDS):
-                total, n, to = total + size[to], n + 1, to + step
-            if n >= RUN and total >= RUN_WORDS:
-                spans.add((at, at + n - 1) if step > 0 else (at - n + 1, at))
-    return [(spoken[a], spoken[b] - spoken[a] + 1, " ".join(w for i in spoken[a : b + 1] for w in words[i])) for a, b in sorted(spans)]
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of about TOGETHER bytes of text, with the texts as bytes (null empty)."""
+    for batch in batches:
+        texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        at = size = 0
+        for i, text in enumerate(texts):
+            size += len(text)
+            if size > TOGETHER or i + 1 == len(texts):
+                yield batch.slice(at, i + 1 - at), texts[at : i + 1]
+                at, size = i + 1, 0
 
 
-def _signed(hashes: np.ndarray) -> pa.Array:
-    return pa.array(hashes.view(np.int64), pa.int64())
+def _joined(texts: list[bytes]) -> tuple[bytes, np.ndarray]:
+    """The texts, a line break after each, and where each starts."""
+    sizes = np.array([len(t) + 1 for t in texts])
+    return b"\n".join([*texts, b""]), np.cumsum(sizes) - sizes
 
 
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs of each text (first sentence, sentences) and its anchors (first word, n = 0)."""
-    import xxhash
+def _rows(part: pa.RecordBatch, of: np.ndarray, hash_: np.ndarray, again: np.ndarray, at: np.ndarray, n: np.ndarray | None = None) -> pa.RecordBatch:
+    own = pa.array(of)
+    columns = [pa.array(hash_.view(np.int64)), pa.array(again.view(np.int64)), part.column("doc_id").take(own), part.column("row_key").take(own), pa.array(at, pa.int32())]
+    names = ["hash", "again", "doc_id", "row_key", "at", "n"]
+    return pa.RecordBatch.from_arrays(columns if n is None else [*columns, pa.array(n, pa.int32())], names=names[: len(columns) + (n is not None)])
 
-    for batch in batches:
-        for at in range(0, len(batch), 512):
-            part = batch.slice(at, 512)
-            ids, keys, start, count, hashes = part.column("doc_id").to_pylist(), part.column("row_key").to_pylist(), [], [], []
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            of, row = [], []
-            for doc_id, key, text in zip(ids, keys, texts, strict=True):
-                found = runs(sentences(text))
-                of += [doc_id] * len(found)
-                row += [key] * len(found)
-                start += [f[0] for f in found]
-                count += [f[1] for f in found]
-                hashes += [xxhash.xxh3_64_intdigest(f[2].encode("utf-8", "surrogatepass")) - (1 << 63) for f in found]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(of, pa.int64()), pa.array(row, pa.int64()), pa.array(start, pa.int32()), pa.array(count, pa.int32())], names=["hash", "doc_id", "row_key", "at", "n"])
-            place, first, grams = anchors([_word_hashes(t) for t in texts])
-            yield pa.RecordBatch.from_arrays([_signed(grams), part.column("doc_id").take(pa.array(place)), part.column("row_key").take(pa.array(place)), pa.array(first, pa.int32()), pa.array(np.zeros(len(first)), pa.int32())], names=["hash", "doc_id", "row_key", "at", "n"])
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of each text (first word, words) and the contexts of its anchors (first word, minus the words)."""
+    for part, texts in _groups(batches):
+        data, text_at = _joined(texts)
+        words, raw, starts, ends = hashed_words(data, lower=False)
+        if not len(words):
+            continue
+        of = np.searchsorted(text_at, starts, side="right") - 1
+        first = np.searchsorted(of, np.arange(len(texts) + 1))  # first word of each text
+        stops = np.flatnonzero(sentence_ends(raw, starts, ends)) + 1
+        edges = np.append(0, stops)
+        lo, hi = runs(np.diff(edges), of[stops - 1])
+        lo, hi = edges[lo], edges[hi]
+        yield _rows(part, of[lo], run_hashes(words, lo, hi), run_hashes(words, lo, hi, SECOND), lo - first[of[lo]], hi - lo)
+        at, hashes = anchors(words, of)
+        own = of[at]
+        lo, hi = np.maximum(at + GRAM - PASSAGE, first[own]), np.minimum(at + PASSAGE, first[own + 1])
+        context = mix(run_hashes(words, lo, hi, SECOND) + (at - lo).astype(np.uint64))
+        yield _rows(part, own, hashes, context, lo - first[own], lo - hi)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of PASSAGE words that hold a given anchor: hash and first word."""
+    """The windows of PASSAGE words in the given contexts of each text: two hashes and the first word."""
     for batch in batches:
-        for row, (text, firsts) in enumerate(zip(batch.column("text").to_pylist(), batch.column("anchors").to_pylist(), strict=True)):
-            words = _word_hashes(text)
-            near, first = np.zeros(len(words) + 1, np.int64), np.array(firsts, np.int64)
-            np.add.at(near, np.maximum(first + GRAM - PASSAGE, 0), 1)
-            np.add.at(near, first + 1, -1)
-            grams = _grams(words, PASSAGE)
-            at = np.flatnonzero(np.cumsum(near)[: len(grams)])
-            own = pa.array(np.full(len(at), row))
-            yield pa.RecordBatch.from_arrays([_signed(grams[at]), batch.column("doc_id").take(own), batch.column("row_key").take(own), pa.array(at, pa.int32())], names=["hash", "doc_id", "row_key", "at"])
-
-
-def cut(text: str, gone: set[int], covered: list[tuple[int, int]]) -> tuple[str, int, int]:
-    """The text without some sentences and without the words that ranges of words cover; its sentences, and how
-    many of them lose words."""
-    whole, out, lost, i, at = _cut_up(text), [], 0, 0, 0
-    size = len(text.split()) if covered else 0
-    edge = np.zeros(size + 1, np.int64)
-    for a, b in covered:
-        edge[a] += 1
-        edge[b] -= 1
-    hit = np.cumsum(edge)[:size] > 0
-    for parts in whole:
-        n = sum(len(p.split()) for p in parts) if covered else 0
-        own, at = hit[at : at + n], at + n
-        if own.any() and not own.all():
-            kept = np.flatnonzero(~own)
-            if kept[0] <= SENTENCE_WORDS and i - 1 in gone:
-                own[: kept[0]] = False
-            if n - 1 - kept[-1] <= SENTENCE_WORDS and i + len(parts) in gone:
-                own[kept[-1] :] = False
-        for part in parts:
-            n = len(part.split()) if covered else 0
-            mine, own = own[:n], own[n:]
-            if i in gone or (n and mine.all()):
-                lost += 1
-            elif mine.any():
-                lost += 1
-                starts = [m.start() for m in re.finditer(r"\S+", part)]
-                starts[0] = 0
-                out += [part[a:b] for a, b, h in zip(starts, [*starts[1:], len(part)], mine, strict=True) if not h]
-            else:
-                out.append(part)
-            i += 1
-    return "".join(out), i, lost
+        for row, (text, held) in enumerate(zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("held").to_pylist(), strict=True)):
+            words = hashed_words(text, lower=False)[0]
+            edge, held = np.zeros(len(words) + 2, np.int64), np.array(held, np.int64)
+            np.add.at(edge, held >> 8, 1)
+            np.add.at(edge, (held >> 8) + (held & 255) - PASSAGE + 1, -1)
+            at = np.flatnonzero(np.cumsum(edge))
+            yield _rows(batch, np.full(len(at), row), run_hashes(words, at, at + PASSAGE), run_hashes(words, at, at + PASSAGE, SECOND), at)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        columns = {c: batch.column(c).to_pylist() for c in ("text", "gone", "covered")}
-        texts, total, removed = [], [], []
-        for text, gone, covered in zip(*columns.values(), strict=True):
-            kept, n, lost = cut(text or "", set(gone or ()), [(c >> 6, (c >> 6) + (c & 63)) for c in covered or ()])
-            total.append(n)
-            removed.append(lost)
-            texts.append(kept if lost else text)
-        keep = [i for i, name in enumerate(batch.schema.names) if name not in ("text", "gone", "covered")]
+    """Texts without the words that ranges (first word * 2**32 + word after the last) cover."""
+    for part, texts in _groups(batches):
+        data, text_at = _joined(texts)
+        raw = np.frombuffer(data, dtype=np.uint8)
+        starts, ends = word_spans(raw)
+        of = np.searchsorted(text_at, starts, side="right") - 1
+        first = np.searchsorted(of, np.arange(len(texts) + 1))
+        last = sentence_ends(raw, starts, ends)
+        total, lost = np.bincount(of[last], minlength=len(texts)), np.zeros(len(texts), np.int64)
+        out = part.column("text").cast(pa.binary()).to_pylist()
+        for i, ranges in enumerate(part.column("gone").to_pylist()):
+            if not ranges:
+                continue
+            a, b = first[i], first[i + 1]
+            if ranges[0] < 0:  # a later copy of a text: all of it, if it has a run or a passage
+                ranges = [b - a] if b - a >= PASSAGE or (total[i] >= RUN and b - a >= RUN_WORDS) else []
+            ranges = np.array(ranges, np.int64)
+            edge = np.bincount(ranges >> 32, minlength=b - a + 1) - np.bincount(ranges & 0xFFFFFFFF, minlength=b - a + 1)
+            gone = np.cumsum(edge)[: b - a] > 0
+            cuts = np.append(starts[a:b] - text_at[i], len(texts[i]))
+            cuts[0] = 0
+            out[i] = np.frombuffer(texts[i], np.uint8)[~np.repeat(gone, np.diff(cuts))].tobytes()
+            lost[i] = len(np.unique(np.cumsum(last[a:b])[gone] - last[a:b][gone]))
+        keep = [i for i, name in enumerate(part.schema.names) if name not in ("text", "gone")]
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(i) for i in keep), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())],
-            names=[*(batch.schema.names[i] for i in keep), "text", "n_sentences", "n_removed"],
+            [*(part.column(i) for i in keep), pa.array(out, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(lost)],
+            names=[*(part.schema.names[i] for i in keep), "text", "n_sentences", "n_removed"],
         )
 
 
-def _firsts(spans: DataFrame, place, name: str) -> DataFrame:
-    """(hash, first) of the hashes that occur again."""
-    return written(spans.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("m")).where("m > 1").select("hash", "first"), name)
+def row_key(docs: DataFrame):
+    """Tells rows of one doc_id apart by their text; equal rows share it."""
+    return F.xxhash64(docs["text"])
 
 
 def removed_parts(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, row_key, gone, covered) for rows of which something goes: the indexes of sentences in runs, and
-    64 times the first word plus the number of words (at most PASSAGE) of ranges in repeated passages."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row_key"), F.col("text").cast("string").alias("text"))
-    spans = written(keyed.mapInArrow(_spans, "hash long, doc_id long, row_key long, at int, n int"), "spans")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "at")
-    again = spans.join(_firsts(spans, place, "firsts"), "hash")
-    later = again.where((F.col("n") > 0) & (place != F.col("first")))
-    gone = later.select("doc_id", "row_key", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("i"), F.lit(None).cast("long").alias("c"))
-    marked = written(again.where("n = 0").groupBy("doc_id", "row_key").agg(F.collect_set("at").alias("anchors")), "anchors")
-    marked = marked.select(F.col("doc_id").alias("of"), F.col("row_key").alias("own"), "anchors")
-    held = keyed.join(marked, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row_key") == F.col("own"))).drop("of", "own")
-    windows = written(held.mapInArrow(_windows, "hash long, doc_id long, row_key long, at int"), "windows")
-    later = windows.join(_firsts(windows, place, "passages"), "hash").where(place != F.col("first"))
+    """Rows (doc_id, row_key, gone) for rows of which something goes: ranges of words, 2**32 times the first plus the
+    one after the last, or -1 for a later copy of a text. A row's ranges are bounded by its words."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row_key"), text_of(docs).alias("text"))
+    row = ["doc_id", "row_key"]
+    of_row = F.struct(F.col("doc_id").isNull().alias("none"), *row)
+    same_row = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row_key") == F.col("first.row_key"))
+
+    # Of equal texts the first alone is cut up: all that the others hold comes later.
+    keyed = keyed.where("text <> ''").withColumn("text_key", F.unhex(F.md5("text")))
+    firsts = keyed.groupBy("text_key").agg(F.min(of_row).alias("first"), F.count("*").alias("m")).where("m > 1").drop("m")
+    told = keyed.join(small(written(firsts, "copied")), "text_key", "left")
+    copies = told.where("first is not null").where(~same_row).select(*row, F.lit(-1).cast("long").alias("c"))
+    keyed = told.where(F.col("first").isNull() | same_row).select(*row, "text")
+
+    # Cut up twice rather than kept: most spans occur once. Shuffled at every size.
+    spans = keyed.mapInArrow(_spans, _SPANS)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), *row, "at")
+    repeated = written(spans.groupBy("hash").agg(F.count("*").alias("m")).where("m > 1").select("hash"), "repeated")
+    met = written(spans.join(repeated.hint("merge"), "hash"), "met")
+    classes = written(met.groupBy("hash", "again").agg(F.min(place).alias("first"), F.count("*").alias("m")), "classes")
+    of_class = met.join(classes.hint("merge"), ["hash", "again"]).where((F.col("n") < 0) | (place != F.col("first")))
+    of_class = written(of_class.select("hash", *row, "at", "n", ((F.col("n") < 0) & same_row).alias("first")), "of-class")
+    gone = of_class.where("not first").select(*row, F.col("at").alias("lo"), (F.col("at") + F.abs("n")).alias("hi"))
+
+    held = of_class.where("first").select("hash", *row, "at", "n")
+    several = written(held.groupBy("hash").agg(F.count("*").alias("m")).where("m > 1").select("hash"), "several")
+    held = held.join(small(several), "hash", "left_semi").groupBy(*row).agg(F.collect_set(F.col("at").cast("long") * 256 - F.col("n")).alias("held"))
+    held = written(held.withColumnRenamed("doc_id", "of").withColumnRenamed("row_key", "own"), "held")
+    mine = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row_key") == F.col("own"))
+    texts = keyed.join(small(held.select("of", "own")), mine, "left_semi").dropDuplicates(row).join(held, mine).drop("of", "own")
+    windows = written(texts.mapInArrow(_windows, "hash long, again long, doc_id long, row_key long, at int"), "windows")
+    heads = written(windows.groupBy("hash", "again").agg(F.min(place).alias("first"), F.count("*").alias("m")).where("m > 1").drop("m"), "passages")
+    later = windows.join(heads.hint("merge"), ["hash", "again"]).where(place != F.col("first"))
     # The first occurrence stays whole where a later one in the same text overlaps it.
-    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row_key") == F.col("first.row_key"))
-    start = F.when(same, F.greatest("at", F.col("first.at") + PASSAGE)).otherwise(F.col("at")).cast("long")
-    covered = later.select("doc_id", "row_key", F.lit(None).cast("int").alias("i"), (start * 64 + F.col("at") + PASSAGE - start).alias("c"))
-    parts = gone.unionByName(covered).groupBy("doc_id", "row_key")
-    return written(parts.agg(F.sort_array(F.collect_set("i")).alias("gone"), F.collect_set("c").alias("covered")), "gone")
-
-
-def row_key(docs: DataFrame):
-    """Tells rows of one doc_id apart by their text; equal rows share it."""
-    return F.xxhash64(docs["text"])
+    lo = F.when(same_row, F.greatest("at", F.col("first.at") + PASSAGE)).otherwise(F.col("at"))
+    gone = gone.unionByName(later.select(*row, lo.alias("lo"), (F.col("at") + PASSAGE).alias("hi")))
+    ranges = gone.select(*row, (F.shiftleft(F.col("lo").cast("long"), 32) + F.col("hi")).alias("c")).unionByName(copies)
+    return written(ranges.groupBy(*row).agg(F.collect_set("c").alias("gone")), "gone")
 
 
 def span_dedup(docs: DataFrame) -> DataFrame:
     """`docs` with `text` without repeated runs and passages, n_sentences, and n_removed (sentences that lose words).
 
-    Null and empty texts have no runs and stay as they are; so do texts with fewer than RUN sentences or
-    RUN_WORDS words, if they have fewer than PASSAGE words. Where rows share a doc_id, those of lesser text hash come first; equal rows count as one
-    occurrence and keep the same sentences, and rows without doc_id come last. Runs are compared by their words,
-    so white space doesn't matter. All other columns pass through, but n_sentences, n_removed, row_key, gone
-    and covered, which are replaced.
+    Words are runs without ASCII white space, compared byte for byte; white space doesn't matter, and goes with the
+    word before it. Null and empty texts stay as they are; so do texts with fewer than RUN sentences or RUN_WORDS
+    words, if they have fewer than PASSAGE words. Where rows share a doc_id, those of lesser text hash come first;
+    equal rows count as one occurrence and keep the same words, and rows without doc_id come last, told apart by
+    a 64-bit hash of their text. All other columns pass through, but n_sentences, n_removed, row_key and gone,
+    which are replaced.
     """
-    docs = docs.drop("n_sentences", "n_removed", "row_key", "gone", "covered")
+    docs = docs.drop("n_sentences", "n_removed", "row_key", "gone")
     gone = removed_parts(docs).withColumnRenamed("doc_id", "gone_id")
     keyed = docs.withColumn("row_key", row_key(docs))
     joined = keyed.join(gone, (F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id"))) & (keyed["row_key"] == gone["row_key"]), "left")
-    joined = joined.select(*[keyed[c] for c in docs.columns if c != "text"], keyed["text"].cast("string").alias("text"), gone["gone"], gone["covered"])
-    fields = [f"`{n}` {t}" for n, t in joined.dtypes if n not in ("text", "gone", "covered")]
+    joined = joined.select(*[keyed[c] for c in docs.columns if c != "text"], keyed["text"].cast("string").alias("text"), gone["gone"])
+    fields = [f"`{n}` {t}" for n, t in joined.dtypes if n not in ("text", "gone")]
     return joined.mapInArrow(_cut, ", ".join([*fields, "text string", "n_sentences long", "n_removed long"]))
