@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import time
 import zlib
 
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewatt.llm import fingerprints, hmm, language_id, licences, mixing, near_dedup, suffix_dedup
+from tidewatt.llm import fingerprints, hmm, language_id, licences, mixing, near_dedup, queries, suffix_dedup
 from tidewatt.llm.components import connected_components
 from tidewatt.llm.decontaminate import contamination
 from tidewatt.llm.induced import suffix_array
@@ -230,6 +231,27 @@ def test_licences(spark, none):
     assert licences.licence_scan(none).count() == 0
 
 
+def test_licences_are_known_however_they_are_wrapped(spark):
+    """Every known text, wrapped at three widths, as a comment, with a holder's line; and the SQL agrees, on odd texts too."""
+    import duckdb
+
+    rows = []
+    for name, text in licences.KNOWN.items():
+        for width in (56, 66, 78):
+            for sign in ("", "# ", " * "):
+                body = [line for part in text.split("\n") for line in ([part] if "copyright" in part.strip().lower()[:12] else textwrap.wrap(part, width, break_long_words=False)) or [""]] if width != 56 or sign else text.split("\n")
+                rows.append((len(rows), name, "\n".join(sign + x for x in ["Copyright (c) 2001 A. N. Other", "All rights reserved.", *body])))
+    docs = spark.createDataFrame(rows, "doc_id long, name string, text string")
+    got = {r.doc_id: r.licence_id for r in licences.licence_scan(docs).collect()}
+    odd = [n for i, n, t in rows if got[i] != n and "\n" in licences.KNOWN[n].strip()]
+    assert not odd
+    texts = [r[1] for r in awkward()] + [t for _, _, t in rows[::5]] + ["Copyright notice and\n copyright 1999\n(C) x\nword", "copyright\n\n\nLICENCE sub-licence"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    documents = docs.toPandas()
+    want = duckdb.sql(licences.oracle_sql()).fetchall() if len(documents) else []
+    assert pairs_of(licences.licence_scan(docs).collect()) == pairs_of(want)
+
+
 # 5
 def test_suffix_array():
     rng = np.random.default_rng(2)
@@ -275,6 +297,20 @@ def test_ledger(spark, docs, none, tmp_path):
     ledger.commit("c", deletes(counted(docs.withColumn("source", F.lit("z")), ["words-1", "words-2"])))
     assert ledger.totals(["a", "b", "c"]).count() == 0
     assert ledger.totals([]).count() == 0
+    assert ledger.totals().count() == 0 and ledger.batches() == ["a", "b", "c", "empty"]
+    assert ledger.compact() == "00000000" and ledger.compact() is None and not ledger.commit("a", inserts(rows))
+    ledger.commit("d", inserts(rows))
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in ledger.totals().collect()} == total
+    assert ledger.compact() == "00000001" and {tuple(r)[:3]: tuple(r)[3:] for r in ledger.totals().collect()} == total
+
+
+def test_ledger_query_against_its_sql_on_awkward_rows(spark, docs, tmp_path):
+    import duckdb
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = collections.Counter(tuple(r[c] for c in ("source", "lang", "tokenizer", "n_docs", "n_tokens")) for r in queries.op6_token_counts(spark, str(tmp_path)).collect())
+    duckdb.sql(f"create or replace view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == collections.Counter(duckdb.sql("select source, lang, tokenizer, n_docs, n_tokens from (" + queries.ORACLE["op6_token_counts"] + ")").fetchall())
 
 
 def test_bpe_counts(docs):
@@ -400,6 +436,43 @@ def test_mixing(docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mixing_orders_by_key_over_all_buckets(spark):
+    """A source of least weight beside a plain one: the same choice as sorting each source whole, from small buckets."""
+    rng = random.Random(3)
+    rows = [(i, prose(rng, rng.randrange(1, 9)), "low" if i % 3 else "plain", 0.05 if i % 3 else 1.0) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, w double")
+    got = {r.doc_id: r for r in mixing.mix(docs, F.col("w")).collect()}
+    u = (F.pmod(F.xxhash64("doc_id", F.md5("text"), F.lit(mixing.SEED)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    keys = {r.doc_id: (r.source, r.key) for r in docs.select("doc_id", "source", (-F.log(u) / F.col("w")).alias("key")).collect()}
+    for source in ("low", "plain"):
+        order = sorted((k for k, v in keys.items() if v[0] == source), key=lambda k: keys[k][1])
+        size, target = got[order[0]].source_size, got[order[0]].target
+        left = round(target - target // size * size)
+        for k in order:
+            part = min(got[k]["size"], max(0, left))
+            left -= part
+            assert got[k].taken == target // size * got[k]["size"] + part
+    step = F.floor(F.log2(-F.log(u) / F.col("w")) * mixing.STEPS)
+    assert docs.where("source = 'low'").groupBy(step).count().agg(F.max("count")).first()[0] < 0.05 * 4000
+
+
+def test_many_sources_share_as_by_repeated_sharing(spark):
+    rng = random.Random(9)
+    sizes = {f"s{i:03d}": rng.choice([1, 5, 50, 4000]) for i in range(300)} | {None: 7}
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5)).collect()}
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight, want, free = {s: i % 3 + 1 for i, s in enumerate(names)}, {}, set(names)
+    while True:
+        left = sum(sizes.values()) - sum(want.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 3 * sizes[s]]
+        if not over:
+            break
+        want |= {s: 3 * sizes[s] for s in over}
+        free -= set(over)
+    assert got == pytest.approx(want | share)
+
+
 # 9
 def test_language_id(spark, none):
     real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

@@ -22,6 +22,8 @@ from ._hashing import BASE, mix
 K = 16
 WINDOW = 16
 SEGMENT = 1 << 20
+#: Bytes of text that a task takes at most, about; beyond the shuffle partitions there are as many tasks as that needs.
+TASK_BYTES = 64 << 20
 
 
 def _gram_hashes(raw: np.ndarray, k: int) -> np.ndarray:
@@ -126,7 +128,8 @@ def neighbour_fingerprints(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("o", F.coalesce("doc_id", F.lit(2**63 - 1)).cast("double"))
-    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    ranges = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / TASK_BYTES))
     cuts = sorted(set(docs.approxQuantile("o", [i / ranges for i in range(1, ranges)], 0.1 / ranges)))
     placed = Bucketizer(splits=[-math.inf, *(cuts or [0.0]), math.inf], inputCol="o", outputCol="bucket").transform(docs)
     least = placed.select("bucket", "o").groupBy("bucket").agg(F.min("o").alias("first"))

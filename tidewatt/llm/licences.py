@@ -6,10 +6,12 @@ and takes one spelling of words that licences spell in several ways.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import text_of
+from ._common import small, text_of, written
 
 # Spellings that count as equal in licence texts.
 SPELLINGS = {
@@ -29,44 +31,26 @@ SPELLINGS = {
     "https": "http",
 }
 
-# Texts of licences and notices.
-KNOWN = {
-    "MIT": """MIT License
-
-Copyright (c) <year> <copyright holders>
-
-Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
-    "ISC": """ISC License
-
-Copyright (c) <year> <copyright holders>
-
-Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
-
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
-    "Apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
-
-    http://www.apache.org/licenses/LICENSE-2.0
-
-Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+# One-line notices. The full texts lie in licence_texts, a file a licence.
+NOTICES = {
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
 }
+KNOWN = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))} | NOTICES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line that only says who holds the rights: it starts so and has a year, a mark or a holder in it.
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+#: A line that only says who holds the rights, after comment signs: `(c)` or the sign with a year or a
+#: placeholder behind it, `copyright` with one of these or a mark, or `all rights reserved`. "Copyright notice and
+#: this permission", and a paragraph (c), are text of the licence.
+COPYRIGHT_LINE = r"(^|\n)[ \t#*/;%-]*(?:all rights reserved|(?:\(c\)|©)[^\n]*?(?:[0-9]{4}|[<{\[])|copyright[^\n]*?(?:\(c\)|©|[0-9]{4}|[<{\[]))[^\n]*"
 #: Everything but digits, letters and what is not ASCII.
 SIGNS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 #: What a copyright line has in it; texts without any are not searched for such lines.
-COPYRIGHT_MARKS = ("copyright", "(c)", "©")
+COPYRIGHT_MARKS = ("copyright", "(c)", "©", "all rights reserved")
 
 
 def canonical(text: Column) -> Column:
@@ -90,11 +74,15 @@ def with_digest(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("digest", F.sha2(F.nullif(canonical(F.col("_plain")), F.lit("")), 256)).drop("_folded", "_plain")
 
 
+def variants(known: dict[str, str]) -> list[tuple[str, str]]:
+    """(licence, text) of the known texts, also of each without its first line (its title)."""
+    rows = [(k, v.strip()) for k, v in known.items()]
+    return rows + [(k, v.split("\n", 1)[1]) for k, v in rows if "\n" in v]
+
+
 def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
-    """(digest, licence_id) of the known texts, also of each without its first line (its title)."""
-    rows = [(k, v) for k, v in (known or KNOWN).items()]
-    rows += [(k, v.split("\n", 1)[1]) for k, v in rows if "\n" in v]
-    frame = spark.createDataFrame(rows, "licence_id string, text string")
+    """(digest, licence_id) of the known texts with their variants."""
+    frame = spark.createDataFrame(variants(known or KNOWN), "licence_id string, text string")
     return with_digest(frame, "text").where("digest is not null").groupBy("digest").agg(F.min("licence_id").alias("licence_id"))
 
 
@@ -103,25 +91,28 @@ def licence_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     known texts, sorted, distinct and comma-joined; empty where there are none).
 
     Null, empty and wordless texts have a null digest, no licence and no notices. Equal texts get equal results and
-    repeated rows are kept. `known` has (digest, licence_id), a digest once; other columns are ignored.
+    repeated rows are kept. A holder named without year, mark or placeholder is not taken for a copyright line. `known` has (digest, licence_id), a digest once; other columns are ignored.
     """
-    # The known side doesn't grow with the corpus.
-    known = F.broadcast(known_digests(docs.sparkSession) if known is None else known)
-    texts = docs.select("doc_id", text_of(docs).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    known = small(written(known_digests(docs.sparkSession) if known is None else known.select("digest", "licence_id"), "known"))
+    texts = docs.select("doc_id", text_of(docs).alias("text")).withColumn("row", F.unhex(F.md5("text")))
     lines = texts.select("row", F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") > 0)
     found = with_digest(lines, "line").select("row", "digest").join(known, "digest")
     notices = found.groupBy("row").agg(F.array_join(F.sort_array(F.collect_set("licence_id")), ",").alias("notices"))
+    notices = small(written(notices, "notices"))
     whole = with_digest(texts, "text").select("doc_id", "row", "digest").join(known, "digest", "left")
     return whole.join(notices, "row", "left").select("doc_id", "digest", "licence_id", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
 def oracle_sql() -> str:
-    """The same in SQL for DuckDB, with the known digests worked out there too."""
+    """The same in SQL for DuckDB, told in its own way: lines are dropped one by one from a list."""
 
     def form(text: str) -> str:
-        out = f"translate({text}, '{UPPER}', '{LOWER}')"
-        out = f"regexp_replace({out}, '{COPYRIGHT_LINE}', chr(10), 'g')"
-        out = f"' ' || trim(regexp_replace({out}, '{SIGNS}', ' ', 'g'), ' ') || ' '"
+        line = "ltrim(l, ' ' || chr(9) || '#*/;%-')"
+        dated = "(contains(l, '<') or contains(l, '[') or contains(l, '{') or regexp_matches(l, '[0-9][0-9][0-9][0-9]'))"
+        holder = f"({line} like 'all rights reserved%' or (({line} like '(c)%' or {line} like '©%') and {dated}) or ({line} like 'copyright%' and (contains(l, '(c)') or contains(l, '©') or {dated})))"
+        out = f"list_filter(string_split(translate({text}, '{UPPER}', '{LOWER}'), chr(10)), lambda l: not {holder})"
+        out = f"list_filter(regexp_split_to_array(array_to_string({out}, ' '), '[^0-9a-zA-Z\\x{{80}}-\\x{{10FFFF}}]+'), lambda w: w <> '')"
+        out = f"' ' || array_to_string({out}, ' ') || ' '"
         for spelling, standard in SPELLINGS.items():
             out = f"replace({out}, ' {spelling} ', ' {standard} ')"
         return f"trim({out}, ' ')"
@@ -129,9 +120,7 @@ def oracle_sql() -> str:
     def digest_sql(text: str) -> str:
         return f"(select case when f <> '' then sha256(f) end from (select {form(text)} as f))"
 
-    rows = list(KNOWN.items())
-    rows += [(k, v.split("\n", 1)[1]) for k, v in rows if "\n" in v]
-    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in rows)
+    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in variants(KNOWN))
     return f"""
     with known as (
       select digest, min(licence_id) as licence_id from (select licence_id, {digest_sql("text")} as digest from (values {values}) v(licence_id, text)) where digest is not null group by digest),

@@ -4,8 +4,9 @@ Efraimidis-Spirakis keys -ln(u) / weight, with u drawn from a hash of the docume
 the documents of each source; sizes are summed along that order up to the source's budget.
 A source whose target holds its size several times gives that many complete epochs first.
 
-No source is sorted in one task: its keys fall into buckets, whose sizes are summed over
-the (few) buckets of each source, and only inside a bucket are documents ordered.
+No source is sorted in one task: a histogram of its keys deals them into buckets of about
+BUCKET_ROWS rows, whose sizes are summed in two levels, and only inside a bucket are
+documents ordered.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from ._common import n_words, small, text_of, written
 MOST_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 BUCKET_ROWS = 500
+STEPS = 64
 SEED = 8
 DIGITS_AND_SIGNS = "0123456789#$%&*+<=>@[]^_`{|}~\\/"
 
@@ -29,26 +31,39 @@ def quality_weight(text: Column) -> Column:
     return F.greatest(F.lit(0.05), F.pow(F.try_divide(plain.cast("double"), F.length(text)), F.lit(2.0)))
 
 
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """Sources with `rank`, from 0 in the order of their code points, null last: ranked within ranges, to which the rows
+    of the ranges before are added, so no task orders all sources."""
+    order = [F.col("source").isNull(), F.col("source")]
+    ranged = written(sizes.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranged")
+    rows = ranged.groupBy("part").agg(F.count("*").alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    starts = small(written(rows.select("part", before.alias("before")), "starts"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return ranged.join(starts, "part").select("source", "source_size", (F.col("before") + inside).alias("rank"))
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """Of rows (source, source_size): with `target`, shares of the whole by the weights 1, 2, 3 of the sources in order,
     none over MOST_EPOCHS times its size, the excess shared again.
 
     Sharing again until none is over ends at one level: a source gets weight * level, or its cap if that is less.
-    Sources are taken by cap over weight; capping more of them than need be lowers the level, so the greatest that fits holds.
+    The level rises with each sharing and ends, as it does, where no further source is over; a sharing is one
+    aggregate over the sources, and brings one row to the driver.
     """
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), F.pmod(F.row_number().over(order) - 1, F.lit(len(WEIGHTS))) + 1)
-    capped = sizes.select("*", weight.cast("double").alias("w"), (MOST_EPOCHS * F.col("source_size")).cast("double").alias("cap"))
-    by_ratio = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").isNull(), "source")
-    whole = Window.partitionBy()
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    level = F.try_divide(
-        F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)),
-        F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0.0)),
-    )
-    found = capped.withColumn("level", level)
-    found = found.withColumn("level", F.max(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(whole))
-    return found.select("source", "source_size", F.least("cap", F.coalesce(F.col("w") * F.col("level"), "cap")).alias("target"))
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), F.pmod("rank", F.lit(len(WEIGHTS))).cast("int") + 1).cast("double")
+    capped = written(_ranked(sizes).select("source", "source_size", weight.alias("w"), (MOST_EPOCHS * F.col("source_size")).cast("double").alias("cap")), "capped")
+    level, n_over = 0.0, -1
+    while True:
+        over = F.col("cap") < F.col("w") * level
+        r = capped.agg(
+            F.sum("source_size").alias("words"), F.sum(F.when(over, F.col("cap"))).alias("capped"),
+            F.sum(F.when(~over, F.col("w"))).alias("free"), F.count(F.when(over, F.lit(1))).alias("over"),
+        ).first()
+        if not r.free or r.over == n_over:
+            break
+        level, n_over = ((r.words or 0) - (r.capped or 0.0)) / r.free, r.over
+    return capped.select("source", "source_size", F.least("cap", F.col("w") * level).alias("target"))
 
 
 def mix(docs: DataFrame, weight: Column | None = None, seed: int = SEED) -> DataFrame:
@@ -67,22 +82,30 @@ def mix(docs: DataFrame, weight: Column | None = None, seed: int = SEED) -> Data
     sized = docs.select("doc_id", docs["source"].cast("string").alias("source"), n_words(text).alias("size"), key.alias("key"), F.xxhash64(text).alias("tie"))
     sized = written(sized, "sized")
 
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    sources = written(targets(sizes.select("source", "source_size")).join(sizes.select("source", "n").withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "targets")
+    sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     epochs = F.floor(F.try_divide("target", "source_size") + 1e-9)
-    sources = sources.select(
-        "source", "source_size", "target", F.coalesce(epochs, F.lit(0)).cast("long").alias("epochs"),
-        F.greatest(F.lit(1), F.ceil(F.col("n") / BUCKET_ROWS)).alias("buckets"),
-    ).withColumn("budget", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
-    of_source = small(sources.withColumnRenamed("source", "s"))
-
-    # 1 - exp(-key) rises with the key and is spread over (0, 1), evenly for equal weights of 1.
-    ranked = sized.join(of_source, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets")).cast("long"))
-    in_bucket = ranked.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    before_bucket = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = written(in_bucket.select(F.col("source").alias("s"), F.col("bucket").alias("b"), before_bucket.alias("start")), "starts")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranked.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    sources = sources.withColumn("epochs", F.coalesce(epochs, F.lit(0)).cast("long"))
+    sources = sources.withColumn("budget", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+    of_source = small(written(sources.withColumnRenamed("source", "s"), "targets"))
+
+    # A histogram of the keys of each source, in steps of a 64th of a power of two, tells where its keys lie, whatever
+    # the weights; a step with more than BUCKET_ROWS rows is cut evenly into as many buckets as it needs.
+    place = F.log2(F.greatest("key", F.lit(1e-300))) * STEPS
+    ranked = sized.withColumn("step", F.floor(place).cast("int")).withColumn("within", place - F.floor(place))
+    steps = ranked.groupBy("source", "step").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    steps = steps.select("source", "step", before.alias("before_step"), F.ceil(F.col("rows") / BUCKET_ROWS).alias("buckets"))  # 64 rows a power of two
+    steps = small(written(steps, "steps").withColumnRenamed("source", "s").withColumnRenamed("step", "t"))
+    ranked = ranked.join(steps, F.col("source").eqNullSafe(F.col("s")) & (F.col("step") == F.col("t"))).drop("s", "t")
+    ranked = ranked.withColumn("bucket", F.floor(F.col("within") * F.col("buckets")).cast("long"))
+
+    in_bucket = ranked.groupBy("source", "step", "bucket").agg(F.sum("size").alias("words"), F.any_value("before_step").alias("before_step"))
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("source", "step").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = in_bucket.select(F.col("source").alias("s"), F.col("step").alias("t"), F.col("bucket").alias("b"), (F.col("before_step") + before).alias("start"))
+    starts = small(written(starts, "starts"))
+    placed = ranked.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("step") == F.col("t")) & (F.col("bucket") == F.col("b"))).drop("s", "t", "b")
+    placed = placed.join(of_source, F.col("source").eqNullSafe(F.col("s")))
+    inside = Window.partitionBy("source", "step", "bucket").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - before))
     return placed.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"), "epochs")

@@ -3,11 +3,12 @@
 A batch of changes becomes signed additions: an insert adds a document's count, a delete
 takes it away, a revision does both. What a batch adds up to is written once under its
 id, in a folder all executors share; a batch committed before is left alone, so a replay
-changes nothing, and totals are sums over committed batches.
+changes nothing. Totals are sums over committed batches; snapshots keep them short.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,10 +57,12 @@ def counted(docs: DataFrame, versions: list[str]) -> DataFrame:
 
 
 def inserts(rows: DataFrame) -> DataFrame:
+    """Changes that add rows of `counted`: a document and its tokens each; null counts add no tokens."""
     return rows.select(*KEYS, F.lit(1).alias("docs"), F.col("n_tokens").alias("tokens"))
 
 
 def deletes(rows: DataFrame) -> DataFrame:
+    """Changes that take rows of `counted` away again."""
     return rows.select(*KEYS, F.lit(-1).alias("docs"), (-F.col("n_tokens")).alias("tokens"))
 
 
@@ -69,7 +72,7 @@ def revisions(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 class TokenLedger:
-    """Totals under a root folder, a subfolder for each committed batch.
+    """Totals under a root folder: a subfolder for each committed batch, and for each snapshot that sums earlier ones.
 
     Null sources, languages and counts are keys and zeros of their own. Changes carry their own counts, so a
     delete of what was never inserted shows as a negative total: the ledger keeps sums, not documents. Groups
@@ -78,28 +81,72 @@ class TokenLedger:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-
-    def _done(self, path: str) -> bool:
-        jvm = self.spark._jvm
-        marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        return marker.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(marker)
+        self._Path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _publish(self, rows: DataFrame, name: str) -> bool:
+        """Writes rows aside and moves the folder to its name, which only one writer of that name can do."""
+        aside, path = f"{self.root}/_aside-{uuid.uuid4().hex}", self._Path(f"{self.root}/{name}")
+        rows.write.parquet(aside)
+        done = not self._fs.exists(path) and self._fs.rename(self._Path(aside), path)
+        if not done:
+            self._fs.delete(self._Path(aside), True)
+        return done
+
+    def _names(self, kind: str) -> list[str]:
+        root = self._Path(self.root)
+        found = [f.getPath().getName() for f in self._fs.listStatus(root)] if self._fs.exists(root) else []
+        return sorted(n.removeprefix(f"{kind}=") for n in found if n.startswith(f"{kind}="))
+
+    def batches(self) -> list[str]:
+        """Ids of the committed batches, those in snapshots too."""
+        return sorted({*self._names("batch"), *(b for s in self._names("snapshot") for b in self._summed(s))})
+
+    def _summed(self, snapshot: str) -> set[str]:
+        return {r.batch_id for r in self.spark.read.parquet(f"{self.root}/snapshot={snapshot}/batches").collect()}  # a row a batch
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Adds a batch of changes (source, lang, tokenizer, docs, tokens); False if it was committed before.
 
-        A batch that broke off before its mark was written is written anew. Hot groups are summed in the map tasks
-        before the shuffle, so a source with a third of all rows sends a row for each task.
+        A batch that broke off is written anew; of two writers of one batch the first to finish counts. Hot groups
+        are summed in the map tasks before the shuffle, so a source with a third of all rows sends a row for each task.
         """
-        path = f"{self.root}/batch={batch_id}"
-        if self._done(path):
+        if batch_id in self.batches():
             return False
         sums = changes.groupBy(*KEYS).agg(F.sum(F.coalesce("docs", F.lit(0))).alias("n_docs"), F.sum(F.coalesce("tokens", F.lit(0))).alias("n_tokens"))
-        sums.select(F.lit(batch_id).alias("batch_id"), *KEYS, F.col("n_docs").cast("long"), F.col("n_tokens").cast("long")).coalesce(1).write.mode("overwrite").parquet(path)
-        return True
-
-    def totals(self, batches: list[str]) -> DataFrame:
-        """Totals over those of the batches that are committed, each once."""
-        paths = [p for p in (f"{self.root}/batch={b}" for b in dict.fromkeys(batches)) if self._done(p)]
-        rows = self.spark.read.schema(TOTALS).parquet(*paths) if paths else self.spark.createDataFrame([], TOTALS)
+        return self._publish(sums.select(F.lit(batch_id).alias("batch_id"), *KEYS, F.col("n_docs").cast("long"), F.col("n_tokens").cast("long")), f"batch={batch_id}")
+
+    def _rows(self, batches: list[str]) -> DataFrame:
+        paths = [f"{self.root}/batch={b}" for b in dict.fromkeys(batches)]
+        return self.spark.read.schema(TOTALS).parquet(*paths) if paths else self.spark.createDataFrame([], TOTALS)
+
+    def compact(self) -> str | None:
+        """Sums the latest snapshot and all batches since into a new snapshot, which totals read instead of these; its
+        name, or None if there is nothing new. One at a time; a snapshot counts once its list of batches is written."""
+        snapshots = self._names("snapshot")
+        known = self._summed(snapshots[-1]) if snapshots else set()
+        new = [b for b in self._names("batch") if b not in known]
+        if not new:
+            return None
+        rows = self._rows(new)
+        if snapshots:
+            rows = rows.unionByName(self.spark.read.schema(TOTALS).parquet(f"{self.root}/snapshot={snapshots[-1]}/totals"))
+        name, aside = f"{len(snapshots):08d}", f"{self.root}/_aside-{uuid.uuid4().hex}"
+        sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        sums.select(F.lit(name).alias("batch_id"), *KEYS, "n_docs", "n_tokens").write.parquet(f"{aside}/totals")
+        self.spark.createDataFrame([(b,) for b in sorted(known | set(new))], "batch_id string").write.parquet(f"{aside}/batches")
+        return name if self._fs.rename(self._Path(aside), self._Path(f"{self.root}/snapshot={name}")) else None
+
+    def totals(self, batches: list[str] | None = None) -> DataFrame:
+        """Totals over the committed batches, each once: all of them, from the latest snapshot and what came after, or
+        those that are named."""
+        if batches is not None:
+            rows = self._rows([b for b in batches if b in self._names("batch")])
+        else:
+            snapshots = self._names("snapshot")
+            known = self._summed(snapshots[-1]) if snapshots else set()
+            rows = self._rows([b for b in self._names("batch") if b not in known])
+            if snapshots:
+                rows = rows.unionByName(self.spark.read.schema(TOTALS).parquet(f"{self.root}/snapshot={snapshots[-1]}/totals"))
         sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 or n_tokens <> 0")
