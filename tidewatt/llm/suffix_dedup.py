@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ._common import small, written
 from ._hashing import BASE, mix
@@ -176,13 +175,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     cut = one.select("doc", F.coalesce("weight", F.lit(1)).alias("weight"), "text").mapInArrow(
         _cut, "anchor long, context long, last int, m long, doc long, at long, more array<struct<doc: long, at: long>>"
     )
-    of_anchor = Window.partitionBy("anchor")
-    met = written(cut.withColumn("all", F.sum("m").over(of_anchor)).where("`all` > 1").drop("all"), "met")
+    # Counts are summed before the shuffle, and joined to written tables, so an anchor that is everywhere can be split.
+    cut = written(cut, "contexts")
+    shared = written(cut.groupBy("anchor").agg(F.sum("m").alias("n")).where("n > 1").select("anchor"), "shared")
+    met = written(cut.join(shared.hint("merge"), "anchor"), "met")
 
-    kinds = met.groupBy("anchor", "context", "last").agg(F.sum("m").alias("m"), F.min(F.struct("doc", "at")).alias("place"))
-    kinds = written(kinds.withColumn("kinds", F.count("*").over(of_anchor)), "kinds")
+    kinds = written(met.groupBy("anchor", "context", "last").agg(F.sum("m").alias("m"), F.min(F.struct("doc", "at")).alias("place")), "kinds")
+    per_anchor = small(written(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "per-anchor"))
     salt = F.when(F.col("kinds") <= HOT_CONTEXTS, F.lit(-1)).otherwise(F.pmod("context", F.ceil(F.col("kinds") / HOT_CONTEXTS)).cast("int"))
-    wanted = kinds.where("kinds > 1").select("anchor", "context", "last", salt.alias("salt"), "m", "place.doc", "place.at")
+    wanted = kinds.join(per_anchor, "anchor").select("anchor", "context", "last", salt.alias("salt"), "m", "place.doc", "place.at")
     by_doc = written(wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "context", "last", "salt", "m", "at")).alias("wanted")), "wanted")
     sources = small(by_doc.select("doc"))
     fetched = one.join(sources, "doc", "left_semi").select("doc", "text").dropDuplicates(["doc"]).join(by_doc, "doc").select("text", "wanted")
