@@ -209,18 +209,33 @@ def test_forward_and_counts_are_those_of_all_paths():
         paths = np.array(np.meshgrid(*[range(hmm.STATES)] * len(s))).reshape(len(s), -1)
         p = m.start[paths[0]] * np.prod([m.emit[s[i], paths[i]] for i in range(len(s))], axis=0) * np.prod([m.move[paths[i], paths[i + 1]] for i in range(len(s) - 1)], axis=0)
         assert got == pytest.approx(np.log10(p.sum()))
-        start, move, emit = m.expected([s], [True])
+        start, move, emit = m.expected([s])
         p /= p.sum()
         assert start == pytest.approx([p[paths[0] == k].sum() for k in range(hmm.STATES)])
         assert move.sum() == pytest.approx(len(s) - 1) and emit.sum() == pytest.approx(len(s))
         if len(s) > 1:
             assert move[0, 1] == pytest.approx(sum(p[(paths[i] == 0) & (paths[i + 1] == 1)].sum() for i in range(len(s) - 1)))
     before = m.log10_likelihood(seqs).sum()
-    start, move, emit = m.expected(seqs, [True] * 3)
+    start, move, emit = m.expected(seqs)
     after = hmm.Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
     assert after.log10_likelihood(seqs).sum() > before
 
 
+def test_training_is_exact_over_stretches(monkeypatch):
+    rng = np.random.default_rng(5)
+    m = hmm.Model.initial(rng.integers(1, 50, hmm.CLASSES).astype(float))
+    texts = [rng.integers(0, hmm.CLASSES, n).astype(np.int16) for n in (70, 1, 12, 33, 12, 13)]
+    whole = m.expected(texts)
+    for cut in (1, 5, 12):
+        monkeypatch.setattr(hmm, "CUT", cut)
+        assert all(np.allclose(a, b) for a, b in zip(whole, m.expected(texts), strict=True))
+
+
+def test_the_model_beats_word_counts_on_held_out_texts(spark):
+    rows = hmm.hmm_scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert rows[0] / rows[2] > rows[1] / rows[2] + 0.2
+
+
 # 4
 def test_licences(spark, none):
     mit = licences.KNOWN["MIT"]

@@ -35,8 +35,8 @@ ROUNDS = 4
 #: Counts of the most frequent words go to all tasks, those of the others are joined.
 HOT_WORDS = 50_000
 SMOOTH = 0.1
-#: A training sequence is cut after so many tokens; a scored text never is.
-CUT = 256
+#: Texts are worked in stretches of so many tokens; what is carried from one to the next is exact.
+CUT = 1024
 #: Work in step is done for so many tokens of training sequences, and so many scored texts, at once.
 BATCH_TOKENS = 400_000
 BATCH_TEXTS = 4096
@@ -93,40 +93,64 @@ class Model:
         start, move, emit = start + 0.1, move + 0.1, emit + 50 * share[:, None]
         return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
-    def expected(self, sequences: list[np.ndarray], firsts: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Baum-Welch counts of class sequences, worked in step; `firsts`: which begin a text."""
-        order = np.argsort([-len(s) for s in sequences], kind="stable")
-        sizes = np.array([len(sequences[i]) for i in order])
-        padded = np.zeros((sizes[0], len(order)), dtype=np.int16)
-        for j, i in enumerate(order):
-            padded[: sizes[j], j] = sequences[i]
-        live = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")
-        first = np.array([firsts[i] for i in order])
-        alphas, begin = [], np.where(first[:, None], self.start, self.stationary())
+    def expected(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Baum-Welch counts of the class sequences of texts, exact at any length.
+
+        Texts are worked in step, in stretches of CUT tokens. What a stretch makes of any state before it is a small
+        matrix; these give the states in which each stretch begins and the likelihood of all that follows it.
+        """
+        sequences = [s[at : at + CUT] for s in texts for at in range(0, len(s), CUT)]
+        first = np.array([at == 0 for s in texts for at in range(0, len(s), CUT)])
+        n = len(sequences)
+        begin, end = np.tile(self.start, (n, 1)), np.ones((n, STATES))
+        after = np.flatnonzero(~first)  # stretches that go on a text
+        if len(after):
+            part = np.unique(np.append(after - 1, after))
+            through = dict(zip(part.tolist(), self._through([sequences[i] for i in part]), strict=True))
+            for i in after:
+                a = begin[i - 1] @ through[i - 1]
+                begin[i] = a / a.sum() @ self.move
+            for i in after[::-1]:
+                b = self.move @ (through[i] @ end[i])
+                end[i - 1] = b / b.sum()
+
+        order, live, padded = _in_step(sequences)
+        alphas = []
         for t, n in enumerate(live):
-            a = (begin if t == 0 else alphas[-1][:n] @ self.move) * self.emit[padded[t, :n]]
+            a = (begin[order] if t == 0 else alphas[-1][:n] @ self.move) * self.emit[padded[t, :n]]
             alphas.append(a / a.sum(axis=1, keepdims=True))
         move, beta = np.zeros_like(self.move), np.ones((0, STATES))
         gammas = [None] * len(live)
         for t in range(len(live) - 1, -1, -1):
-            n, after = live[t], len(beta)
-            now = np.ones((n, STATES))
-            if after:
-                ahead = beta * self.emit[padded[t + 1, :after]]
-                now[:after] = ahead @ self.move.T
-                scale = (alphas[t][:after] * now[:after]).sum(axis=1, keepdims=True)
-                move += (alphas[t][:after] / scale).T @ ahead
-                now[:after] /= scale
+            n, longer = live[t], len(beta)
+            now = end[order[:n]]
+            if longer:
+                ahead = beta * self.emit[padded[t + 1, :longer]]
+                now[:longer] = ahead @ self.move.T
+                scale = (alphas[t][:longer] * now[:longer]).sum(axis=1, keepdims=True)
+                move += (alphas[t][:longer] / scale).T @ ahead
+                now[:longer] /= scale
             gamma = alphas[t] * now
             gammas[t] = gamma / gamma.sum(axis=1, keepdims=True)
             beta = now
+        if len(after):  # moves from stretch to stretch
+            rank = np.argsort(order)
+            last = np.array([alphas[len(sequences[i]) - 1][rank[i]] for i in after - 1])
+            ahead = beta[rank[after]] * self.emit[padded[0, rank[after]]]
+            move += (last / (last * (ahead @ self.move.T)).sum(axis=1, keepdims=True)).T @ ahead
         classes = np.concatenate([padded[t, :n] for t, n in enumerate(live)])
         gamma = np.concatenate(gammas)
         emit = np.stack([np.bincount(classes, weights=gamma[:, k], minlength=CLASSES) for k in range(STATES)], axis=1)
-        return gammas[0][first].sum(axis=0), move * self.move, emit
+        return gammas[0][first[order]].sum(axis=0), move * self.move, emit
 
-    def stationary(self) -> np.ndarray:
-        return np.linalg.matrix_power(self.move, 1 << 20)[0]
+    def _through(self, sequences: list[np.ndarray]) -> np.ndarray:
+        """For each sequence the matrix from the state at its first token to that at its last, emissions included, scaled."""
+        order, live, padded = _in_step(sequences)
+        out = np.einsum("ns,st->nst", self.emit[padded[0]], np.eye(STATES))
+        for t in range(1, len(live)):
+            now = (out[: live[t]] @ self.move) * self.emit[padded[t, : live[t]]][:, None, :]
+            out[: live[t]] = now / now.sum(axis=(1, 2), keepdims=True)
+        return out[np.argsort(order)]
 
     def log10_likelihood(self, sequences: list[np.ndarray]) -> np.ndarray:
         """Log probability of each class sequence by the scaled forward recursion, all in step."""
@@ -150,6 +174,16 @@ class Model:
         return out
 
 
+def _in_step(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences longest first: their order, how many have a token at each step, and the tokens by step."""
+    order = np.argsort([-len(s) for s in sequences], kind="stable")
+    sizes = np.array([len(sequences[i]) for i in order])
+    padded = np.zeros((sizes[0], len(order)), dtype=np.int16)
+    for j, i in enumerate(order):
+        padded[: sizes[j], j] = sequences[i]
+    return order, np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right"), padded
+
+
 def _batches(found: Iterator[np.ndarray], most: int = BATCH_TOKENS) -> Iterator[list]:
     held, size = [], 0
     for x in found:
@@ -207,20 +241,9 @@ def train(sequences: DataFrame, class_counts: np.ndarray, rounds: int = ROUNDS)
     for _ in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
-            firsts: list[bool] = []
-
-            def cut() -> Iterator[np.ndarray]:
-                for batch in batches:
-                    for value in batch.column("sequence"):
-                        whole = np.frombuffer(value.as_py(), dtype=np.int16)
-                        for at in range(0, len(whole), CUT):
-                            firsts.append(at == 0)
-                            yield whole[at : at + CUT]
-
             sums = None
-            for held in _batches(cut()):
-                got = model.expected(held, firsts[: len(held)])
-                del firsts[: len(held)]
+            for held in _batches(np.frombuffer(v.as_py(), dtype=np.int16) for batch in batches for v in batch.column("sequence")):
+                got = model.expected(held)
                 sums = got if sums is None else tuple(a + b for a, b in zip(sums, got, strict=True))
             if sums is not None:
                 flat = np.concatenate([x.ravel() for x in sums])
