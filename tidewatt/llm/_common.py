@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,13 +44,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_written(spark: SparkSession) -> int:
-    """Deletes the tables that `written` left, and returns how many; for when no result that reads them is needed any more."""
-    n = len(_paths)
-    while _paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+def mark() -> int:
+    """Where `drop_since` begins: tables written from now on."""
+    return len(_paths)
+
+
+def drop_since(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Deletes the tables that `written` left since a mark, but the last `keep`, once nothing reads the others any more."""
+    gone = _paths[since : len(_paths) - keep]
+    del _paths[since : len(_paths) - keep]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Deletes all tables that `written` left; for when no result that reads them is needed any more."""
+    drop_since(spark, 0, 0)
+
+
+def released(run: Callable) -> Callable:
+    """A map over Arrow batches that gives freed memory back to the system when it ends, as workers wait for the next one."""
+
+    @wraps(run)
+    def out(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # where the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return out
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

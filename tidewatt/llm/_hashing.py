@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 1
-SEGMENT = 1 << 20
+SEGMENT = (1 << 18) - 1
 _INVERSE = pow(BASE, -1, 1 << 64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

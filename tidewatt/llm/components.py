@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small, written
+from ._common import drop_since, mark, small, written
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -16,6 +16,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     the shared folder after each round, and rounds grow with the logarithm of the longest path.
     Null ends and loops are left out; an empty table gives no rows.
     """
+    since = mark()
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -28,6 +29,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         nxt = written(star.where("u <> v").distinct(), "star")
         same = edges.exceptAll(nxt).union(nxt.exceptAll(edges)).isEmpty()
         edges = nxt
+        drop_since(links.sparkSession, since)
         if same:
             break
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

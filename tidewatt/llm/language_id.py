@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import released
+
 WINDOW = 256
 EMBED = 6
 WIDTHS = (2, 3, 5)
@@ -210,6 +212,7 @@ def identify(docs: DataFrame, net: Network) -> DataFrame:
     """`docs` with lang_pred and score (of columns of these names, the old ones go)."""
     docs = docs.drop("lang_pred", "score")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang, score = [], []

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small, text_of, written
+from ._common import drop_since, mark, released, small, text_of, written
 from ._hashing import mix, shingle_set
 from .components import connected_components
 
@@ -50,6 +50,7 @@ def minhashes(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
+@released
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
@@ -65,6 +66,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+@released
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(t).view(np.int64) for t in batch.column("text").to_pylist()]
@@ -154,6 +156,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("text_key", F.unhex(F.md5("text")))
     sketches = written(docs.mapInArrow(_sketch, "doc_id long, text_key binary, n_shingles long, set_digest binary, sketches array<long>"), "sketches")
+    since = mark()
     full = sketches.where("n_shingles > 0")
     classes = full.groupBy("set_digest").agg(F.min("doc_id").alias("first"), F.min("text_key").alias("text_key"), F.any_value("sketches").alias("sketches"))
     # Numbers are given as the table is written and read from it after.
@@ -190,6 +193,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = written(placed, "placed")
     heads = written(placed.groupBy("component").agg(F.min("first").alias("component_id"), F.min("text_key").alias("least_key")), "heads")
     placed = written(placed.join(small(heads), "component").select("set_digest", "component_id", "least_key"), "components")
+    drop_since(docs.sparkSession, since)
     member = full.select("doc_id", "n_shingles", "text_key", "set_digest").join(small(placed), "set_digest").drop("set_digest")
     lone = sketches.where("n_shingles = 0").select("doc_id", "n_shingles", "text_key", F.col("doc_id").alias("component_id"), F.col("text_key").alias("least_key"))
     kept = F.when(F.col("component_id").isNull(), F.col("text_key") == F.col("least_key")).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small, text_of, written
+from ._common import drop_since, mark, released, small, text_of, written
 from ._hashing import BASE, hashed_words, mix, run_hashes, word_spans
 
 RUN = 3
@@ -33,7 +34,7 @@ RUN_WORDS = 10
 PASSAGE = 51
 GRAM = 20
 #: Texts are worked together up to so many bytes; a longer one alone.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 SECOND = 0x51
 _CLOSES = np.zeros(256, dtype=bool)
 _CLOSES[[*b"\"')]"]] = True
@@ -107,13 +108,14 @@ def anchors(words: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of about TOGETHER bytes of text, with the texts as bytes (null empty)."""
     for batch in batches:
-        texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-        at = size = 0
-        for i, text in enumerate(texts):
-            size += len(text)
-            if size > TOGETHER or i + 1 == len(texts):
-                yield batch.slice(at, i + 1 - at), texts[at : i + 1]
-                at, size = i + 1, 0
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(batch):
+            most = TOGETHER + (sizes[at - 1] if at else 0)
+            to = max(at + 1, int(np.searchsorted(sizes, most, side="right")))
+            part = batch.slice(at, to - at)
+            yield part, [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
+            at = to
 
 
 def _joined(texts: list[bytes]) -> tuple[bytes, np.ndarray]:
@@ -129,6 +131,7 @@ def _rows(part: pa.RecordBatch, of: np.ndarray, hash_: np.ndarray, again: np.nda
     return pa.RecordBatch.from_arrays(columns if n is None else [*columns, pa.array(n, pa.int32())], names=names[: len(columns) + (n is not None)])
 
 
+@released
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The runs of each text (first word, words) and the contexts of its anchors (first word, minus the words)."""
     for part, texts in _groups(batches):
@@ -150,6 +153,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(part, own, hashes, context, lo - first[own], lo - hi)
 
 
+@released
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of PASSAGE words in the given contexts of each text: two hashes and the first word."""
     for batch in batches:
@@ -162,6 +166,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(batch, np.full(len(at), row), run_hashes(words, at, at + PASSAGE), run_hashes(words, at, at + PASSAGE, SECOND), at)
 
 
+@released
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the words that ranges (first word * 2**32 + word after the last) cover."""
     for part, texts in _groups(batches):
@@ -201,6 +206,7 @@ def row_key(docs: DataFrame):
 def removed_parts(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, row_key, gone) for rows of which something goes: ranges of words, 2**32 times the first plus the
     one after the last, or -1 for a later copy of a text. A row's ranges are bounded by its words."""
+    since = mark()
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row_key"), text_of(docs).alias("text"))
     row = ["doc_id", "row_key"]
     of_row = F.struct(F.col("doc_id").isNull().alias("none"), *row)
@@ -236,7 +242,9 @@ def removed_parts(docs: DataFrame) -> DataFrame:
     lo = F.when(same_row, F.greatest("at", F.col("first.at") + PASSAGE)).otherwise(F.col("at"))
     gone = gone.unionByName(later.select(*row, lo.alias("lo"), (F.col("at") + PASSAGE).alias("hi")))
     ranges = gone.select(*row, (F.shiftleft(F.col("lo").cast("long"), 32) + F.col("hi")).alias("c")).unionByName(copies)
-    return written(ranges.groupBy(*row).agg(F.collect_set("c").alias("gone")), "gone")
+    parts = written(ranges.groupBy(*row).agg(F.collect_set("c").alias("gone")), "gone")
+    drop_since(docs.sparkSession, since)
+    return parts
 
 
 def span_dedup(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small, written
+from ._common import released, small, written
 from ._hashing import BASE, mix
 from .induced import common_prefix_at_least, suffix_array
 
@@ -62,6 +62,7 @@ def contexts(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray,
         yield grams[anchors[first]].view(np.int64), anchors[first] + at, first + at, last + at
 
 
+@released
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts of each text; those that occur again in the batch are one row, with the other places in `more`."""
     import xxhash
@@ -90,6 +91,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@released
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted contexts of each text."""
     for batch in batches:
@@ -129,6 +131,7 @@ def _ranges(offsets: np.ndarray) -> list[dict]:
     return [{"lo": int(p[0]), "hi": int(p[-1])} for p in np.split(offsets, cuts)] if len(offsets) else []
 
 
+@released
 def _sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorts the suffixes of contexts that come ordered by anchor and salt, a chunk of whole groups at a time."""
     import xxhash
@@ -208,6 +211,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return hit.groupBy("doc").agg(F.collect_list(F.struct((F.col("at") + F.col("s.lo")).alias("lo"), (F.col("at") + F.col("s.hi")).alias("hi"))).alias("spans"))
 
 
+@released
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept, counts = [], []
