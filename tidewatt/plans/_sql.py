@@ -17,6 +17,8 @@ SPELLINGS = {
     "JSON_K": ("cast(get_json_object({0}, '$.k') as bigint)", "cast(json_extract_string({0}, '$.k') as bigint)"),
     "RX": ("regexp_replace({0}, {1}, {2})", "regexp_replace({0}, {1}, {2}, 'g')"),
     "DBL": ("cast({0} as double)", "cast({0} as double)"),
+    "DAYS": ("date_add({0}, cast({1} as int))", "({0} + cast({1} as integer))"),
+    "FAIL": ("cast(raise_error({0}) as double)", "cast(error({0}) as double)"),
     "BIG": ("cast({0} as bigint)", "cast({0} as bigint)"),
 }
 

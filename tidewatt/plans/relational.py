@@ -11,7 +11,8 @@ _Q = {
     "scan_prune": "select l_orderkey, l_suppkey, l_quantity from lineitem where l_quantity >= 45 and l_returnflag = 'R'",
     "fleet_filter": "select c_custkey, c_nationkey, c_acctbal from customer where c_acctbal > 0 and c_mktsegment is not null",
     "training_mask": "select event_id, user_id, value from (select event_id, user_id, value, case when event_type = 'view' then null when value > 400 then true else false end as capped from events) t where capped = false and value > 0.5",
-    "unit_convert": "select event_id, case event_type when 'view' then value else value * 60 / 5 end as mw, round(value * 60 / 5, 3) as mw_of_mwh from events",
+    "unit_convert": """select event_id, case when event_type = 'view' then value when event_type is not null then value * 60 / 5 else FAIL('unknown unit') end as mw,
+        round(value * 60 / 5, 3) as mw_of_mwh from events""",
     "sign_by_type": "select l_orderkey, l_linenumber, case when l_linestatus = 'F' then -l_quantity else l_quantity end as signed_mw from lineitem",
     "band_flag": "select o_orderkey, o_totalprice, o_totalprice > 300000 or o_totalprice < 1000 as out_of_band from orders",
     "quality_case": """select event_id, case when abs(value) > 300 then 'suspect' when cnt < 60 then 'partial' else 'ok' end as quality
@@ -29,15 +30,20 @@ _Q = {
         join nation on n_nationkey = s_nationkey join region on r_regionkey = n_regionkey where l_quantity > 48""",
     "unknown_units_anti": "select d.doc_id, d.source from documents d left join labels b on b.doc_id = d.doc_id where b.doc_id is null",
     "semi_units": "select s_suppkey, s_name from supplier where exists (select 1 from lineitem where l_suppkey = s_suppkey and l_quantity >= 50)",
-    "longest_prefix": """select p_partkey, kind from (
+    "longest_prefix": """with kinds as (select distinct substring(p_type, 1, 5) as kind from part union select distinct substring(p_type, 1, 8) from part)
+        select p_partkey, kind from (
         select p_partkey, k.kind, row_number() over (partition by p_partkey order by length(k.kind) desc, k.kind) as rn
-        from part join (select distinct substring(p_type, 1, 5) as kind from part union select distinct substring(p_type, 1, 8) from part) k
-          on substring(p_type, 1, length(k.kind)) = k.kind) t where rn = 1""",
-    "cascade_key": """select c_custkey, coalesce(a.n_name, b.n_name, 'none') as matched from customer
-        left join (select n_nationkey, n_name from nation where n_nationkey < 10) a on a.n_nationkey = c_nationkey
-        left join (select n_nationkey, n_name from nation where n_nationkey < 20) b on b.n_nationkey = c_nationkey""",
-    "effective_dated": """select o_custkey, o_orderkey from (
-        select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by case when o_orderstatus = 'O' then 1 else 0 end desc, o_orderdate desc, o_orderkey) as rn from orders) t where rn = 1""",
+        from (select p_partkey, substring(p_type, 1, n) as head from part cross join (select distinct length(kind) as n from kinds) l) p
+        join kinds k on k.kind = p.head) t where rn = 1""",
+    "cascade_key": """select c_custkey, coalesce(a.s_name, b.s_name, d.n_name, 'none') as matched,
+        case when a.s_name is not null then 1 when b.s_name is not null then 2 when d.n_name is not null then 3 end as attempt from customer
+        left join (select s_suppkey, s_name from supplier where s_acctbal > 0) a on a.s_suppkey = c_custkey
+        left join (select s_nationkey, min(s_name) as s_name from supplier where s_acctbal > 7000 group by s_nationkey) b on b.s_nationkey = c_nationkey
+        left join (select n_nationkey, n_name from nation where n_regionkey < 3) d on d.n_nationkey = c_nationkey""",
+    "effective_dated": """select o_custkey, o_orderkey, in_force from (
+        select o_custkey, o_orderkey, in_force, row_number() over (partition by o_custkey order by case when in_force then 1 else 0 end desc, starts desc, o_orderkey) as rn from (
+        select o_custkey, o_orderkey, starts, starts <= cast('1997-01-01' as date) and DAYS(starts, 30 + o_orderkey % 400) > cast('1997-01-01' as date) as in_force
+        from (select o_custkey, o_orderkey, cast(o_orderdate as date) as starts from orders) x) y) t where rn = 1""",
     "price_join_audit": """select h.event_type, BIG(count(*)) as n, BIG(sum(case when p.price is null then 1 else 0 end)) as unpriced from events h
         left join (select TRUNC('hour', ts) as hour, event_type, avg(value) as price from events group by 1, 2 having count(*) >= 3) p
           on p.hour = TRUNC('hour', h.ts) and p.event_type = h.event_type group by h.event_type""",
@@ -49,12 +55,13 @@ _Q = {
     "offset_reconcile": """select a.at, round(sum(a.v), 6) as now_mw, round(sum(b.v), 6) as before_mw from
         (select BIG(floor(EPOCH(ts) / 3600)) as at, sum(value) as v from events group by 1) a
         join (select BIG(floor(EPOCH(ts) / 3600)) as at, sum(value) as v from events group by 1) b on b.at = a.at - 1 group by a.at""",
-    "forecast_outcome": """select f.event_id, o.event_id as outcome_id, round(abs(f.value - o.value), 6) as error from
-        (select event_id, event_type, value, TRUNC('hour', ts) as due, row_number() over (partition by event_type, TRUNC('hour', ts) order by event_id) as rn from events) f
-        join (select event_id, event_type, value, TRUNC('hour', ts) as due, row_number() over (partition by event_type, TRUNC('hour', ts) order by event_id) as rn from events) o
-          on o.event_type = f.event_type and o.due = f.due and o.rn = f.rn + 1""",
+    "forecast_outcome": """select f.event_id, f.user_id, round(abs(f.value - o.actual), 6) as error from
+        (select event_id, user_id, value, BIG(floor(EPOCH(ts) / 3600)) + 24 as due from events) f
+        join (select user_id, BIG(floor(EPOCH(ts) / 3600)) as at, avg(value) as actual from events where value <= 400 group by 1, 2) o
+          on o.user_id = f.user_id and o.at = f.due""",
     "caps_bool_or": "select n_name, bool_or(s_acctbal < 0) as capped from supplier join nation on n_nationkey = s_nationkey group by n_name",
-    "history_anti": "select event_id, user_id from events e where not exists (select 1 from labels where doc_id = e.event_id)",
+    "history_anti": """select event_id, user_id from events e where event_type <> 'view' and not exists (
+        select 1 from events h where h.event_type = 'view' and h.user_id = e.user_id and TRUNC('day', h.ts) = TRUNC('day', e.ts))""",
     "cross_small": "select r_name, n_name from region, nation where n_regionkey <> r_regionkey",
     "curve_lookup": "select n_name, c_custkey, coalesce(c_acctbal, 0) as gain from nation left join customer on c_nationkey = n_nationkey and c_acctbal > 9000",
     # Sorts, limits, top-k
