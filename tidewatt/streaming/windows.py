@@ -23,15 +23,27 @@ def opened(spark: SparkSession, path: str) -> DataFrame:
 
 
 def gathered(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream has given once all that is there has been read, as a table; its checkpoint lies in the shared folder."""
+    """What a stream has given once all that is there has been read, as a table; rows and checkpoint lie in the shared
+    folder. In complete mode each micro-batch writes the whole result anew, and the last one is the table."""
     spark, table = stream.sparkSession, f"stream_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewatt-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
     where = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/{table}").trigger(availableNow=True)
+    rows = f"{base}/{table}-rows"
     if mode == "complete":
-        where.format("memory").queryName(table).start().awaitTermination()
-        return spark.table(table)
-    where.format("parquet").start(f"{base}/{table}-rows").awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/{table}-rows")
+        done: list[int] = []
+
+        def put(batch: DataFrame, n: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{rows}/batch={n}")
+            done.append(n)
+
+        where.foreachBatch(put).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{rows}/batch={max(done)}") if done else spark.createDataFrame([], stream.schema)
+    where.format("parquet").start(rows).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(rows)
 
 
 def settled(spark: SparkSession, path: str, width: str, slide: str | None = None) -> DataFrame:
