@@ -54,6 +54,10 @@ def _upper_tail(x: float, freedom: int) -> float:
     return min(1.0, tail)
 
 
+# What a histogram is called, in the order in which the names are tried.
+SHAPES = ("empty", "calibrated", "pinned-high", "pinned-low", "biased-low", "biased-high", "overconfident", "underconfident")
+
+
 @F.pandas_udf(DoubleType())
 def chi_squared_tail(x: pd.Series, freedom: pd.Series) -> pd.Series:
     """Upper tail probability, for which Spark has no function; one value a histogram. Null stays null."""
@@ -61,24 +65,37 @@ def chi_squared_tail(x: pd.Series, freedom: pd.Series) -> pd.Series:
 
 
 def shape(counts: Column, bins: int) -> Column:
-    """What a histogram of `bins` bins says of the forecasts: empty, calibrated, pinned, biased or of wrong width."""
-    s, edge, mid = shares(counts), max(1, math.floor(bins * EDGE + 0.5)), (bins - 1) / 2
-    start = (bins - edge) // 2
-
-    def of(places: range) -> Column:
-        return sum((s[i] for i in places), F.lit(0.0))
-
-    tails = (of(range(edge)) + of(range(bins - edge, bins))) * bins / (2 * edge) - 1
-    centre = of(range(start, start + edge)) * bins / edge - 1
-    arm = sum(abs(i - mid) for i in range(bins)) / bins
-    tilt = sum((s[i] * (i - mid) for i in range(bins)), F.lit(0.0)) / (arm or 1.0)
-    bend, low, high = F.greatest(F.abs(tails), F.abs(centre)), s[0], s[bins - 1]
-    return (
-        F.when(of(range(bins)) == 0, "empty").when(F.greatest(bend, F.abs(tilt)) < FLAT, "calibrated")
-        .when((F.greatest(low, high) > PINNED) & (high >= low), "pinned-high").when(low > PINNED, "pinned-low")
-        .when((F.abs(tilt) > bend) & (tilt > 0), "biased-low").when(F.abs(tilt) > bend, "biased-high")
-        .when(tails > centre, "overconfident").otherwise("underconfident")
-    )
+    """What a histogram of `bins` bins says of the forecasts, a name of SHAPES.
+
+    Three linear forms of the bins' shares decide: how much more than its due lies in the end bins, in as many bins
+    of the middle, and how far the mass leans to the right. A row of bins that are all due has 0 for each.
+    """
+    share, n_end = shares(counts), max(1, math.floor(bins * EDGE + 0.5))
+    ends = {*range(n_end), *range(bins - n_end, bins)}
+    middle = {*range((bins - n_end) // 2, (bins - n_end) // 2 + n_end)}
+    place = [(2 * i + 1) / bins - 1 for i in range(bins)]
+    reach = sum(map(abs, place)) / bins or 1.0
+
+    def form(weights: list[float]) -> Column:
+        return F.aggregate(F.zip_with(share, F.array(*map(F.lit, weights)), lambda x, w: x * w), F.lit(0.0), lambda total, x: total + x)
+
+    def excess(some: set[int]) -> Column:
+        return form([bins / len(some) - 1.0 if i in some else -1.0 for i in range(bins)])
+
+    in_ends, in_middle, lean = excess(ends), excess(middle), form([x / reach for x in place])
+    bow, slope = F.greatest(F.abs(in_ends), F.abs(in_middle)), F.abs(lean)
+    first, last = F.element_at(share, 1), F.element_at(share, bins)
+    holds = {
+        "empty": form([1.0] * bins) == 0,
+        "calibrated": (bow < FLAT) & (slope < FLAT),
+        "pinned-high": (last > PINNED) & (last >= first),
+        "pinned-low": first > PINNED,
+        "biased-low": (slope > bow) & (lean > 0),
+        "biased-high": slope > bow,
+        "overconfident": in_ends > in_middle,
+        "underconfident": F.lit(True),
+    }
+    return F.coalesce(*[F.when(holds[name], F.lit(name)) for name in SHAPES])
 
 
 def covered(counts: Column, bins: int, level: float) -> Column:
