@@ -158,3 +158,9 @@ def test_names_come_back_and_stamps_cross_days(spark):
     assert not any(set("/\\:*?\"<>|") & set(r.s) for r in rows)
     one = spark.createDataFrame([("202403010002",), ("x",)], "s string").select(stamps.stamp_before(F.col("s"))).collect()
     assert [r[0] for r in one] == ["202402292357", None]
+
+
+def test_the_context_row_gives_a_ramp_and_goes(spark):
+    rows = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 7.0), ("a", 3, 4.0), ("b", 4, 1.0), ("b", 5, None)], "station string, at long, mw double")
+    assert sorted(tuple(r) for r in fleet.ramps_since(rows, F.lit(2)).collect()) == [("a", 3, 4.0, -3.0), ("b", 4, 1.0, None), ("b", 5, None, None)]
+    assert fleet.valued(rows.where("at < 3"), spark.createDataFrame([(2000, 9.0)], "at_ms long, price double")).orderBy("at").select("price").collect() == [(None,), (9.0,)]

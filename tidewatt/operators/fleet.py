@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Stations under so many MW are not modelled.
 LEAST_CAPACITY = 5.0
@@ -130,3 +131,17 @@ def covered(manifest: DataFrame, version: int, stations: int) -> DataFrame:
     good = manifest.where((F.col("version") == version) & (F.col("stations") == stations))
     days = good.groupBy("feed").agg(F.sort_array(F.collect_set("day")).alias("days"))
     return manifest.select("feed").distinct().join(days, "feed", "left").withColumn("days", F.coalesce("days", F.array().cast("array<string>")))
+
+
+def ramps_since(rows: DataFrame, since: Column) -> DataFrame:
+    """Rows (station, at, mw) after `since` with `ramp`, the change from the station's row before; the newest row at or before
+    `since` gives the first its context and is then dropped. Of the older rows one a station enters the sort."""
+    before = rows.where(F.col("at") <= since).groupBy("station").agg(F.max_by(F.struct("at", "mw"), "at").alias("r")).select("station", "r.*")
+    both = before.unionByName(rows.where(F.col("at") > since).select("station", "at", "mw"))
+    change = F.col("mw") - F.lag("mw").over(Window.partitionBy("station").orderBy("at"))
+    return both.withColumn("ramp", change).where(F.col("at") > since)
+
+
+def valued(outputs: DataFrame, prices: DataFrame) -> DataFrame:
+    """Outputs (at in seconds, mw) with `price` of prices (at_ms, price) of the same instant, null where there is none."""
+    return outputs.join(prices.select((F.col("at_ms") / 1000).cast("long").alias("at"), "price"), "at", "left")

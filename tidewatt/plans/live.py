@@ -196,11 +196,28 @@ def weather_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.weather(held.select("station", hourly.alias("hourly")), ["shortwave_radiation", "temperature_2m"])
 
 
+def ramps_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir).groupBy("station", _slot(86_400).alias("at")).agg(F.sum("value").alias("mw"))
+    return fleet.ramps_since(rows, F.lit(1_705_276_800)).select("station", "at", F.round("mw", 4).alias("mw"), F.round("ramp", 4).alias("ramp"))
+
+
+def fleet_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fleet in seconds to prices in milliseconds, which are there for hours with a value over 100."""
+    hours = _events(spark, sf_dir).groupBy(_slot(3_600).alias("at")).agg(F.sum("value").alias("mw"), F.max("value").alias("price"))
+    return fleet.valued(hours.select("at", "mw"), hours.where("price > 100").select((C("at") * 1000).alias("at_ms"), "price")).select("at", F.round("mw", 4).alias("mw"), "price")
+
+
+def dimension_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations to the region of a fixed map, null for those it leaves out."""
+    regions = F.create_map(*[F.lit(x) for pair in (("FRANCE", "W"), ("GERMANY", "W"), ("JAPAN", "E"), ("KENYA", None)) for x in pair])
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.try_element_at(regions, C("n_name")).alias("region"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         safe_names, stamp_clock, map_points, floor_quantiles, fuel_features, curve_samples, live_usability, match_rate, band_history, coverage_breach, skill_pivot, positive_share, interval_groups,
-        map_enrich, nearest_price, stack_order, lag_rank, fleet_bands, fleet_scored, expert_mix, feed_states, feed_coverage, flows_fold, archive_fold, weather_unpack,
+        map_enrich, nearest_price, stack_order, lag_rank, fleet_bands, fleet_scored, expert_mix, feed_states, feed_coverage, flows_fold, archive_fold, weather_unpack, ramps_since, fleet_value, dimension_lookup,
     )
 }
 
@@ -257,4 +274,9 @@ ORACLE = {
     + """, f as (select station, sec // 3600 * 3600 as sec, floor(sum(value * 12) * 1000 + 0.5) / 1000 as mw, count(*) as facilities from e where user_id % 10 <> 0 group by 1, 2)
   select station, sec as at, mw, facilities, case when station > 2 and mw > 115.0 * station then 'suspect' else 'ok' end as quality from f""",
     "weather_unpack": _E + " select user_id as station, 'shortwave_radiation' as variable, sec - 1800 as at, value from e where event_id % 4 <> 0 union all select user_id, 'temperature_2m', sec, value / 2 from e where event_id % 4 <> 0",
+    "ramps_since": _E
+    + """, d as (select station, sec // 86400 * 86400 as sec, sum(value) as mw from e group by 1, 2), r as (select *, mw - lag(mw) over (partition by station order by sec) as ramp from d)
+  select station, sec as at, round(mw, 4) as mw, round(ramp, 4) as ramp from r where sec > 1705276800""",
+    "fleet_value": _E + " select sec // 3600 * 3600 as at, round(sum(value), 4) as mw, case when max(value) > 100 then max(value) end as price from e group by 1",
+    "dimension_lookup": "select n_nationkey, case when n_name in ('FRANCE', 'GERMANY') then 'W' when n_name = 'JAPAN' then 'E' end as region from nation",
 }
