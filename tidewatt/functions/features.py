@@ -114,3 +114,22 @@ def marks(converged: Column, named_speeds: dict[str, Column]) -> Column:
     """An array of (x, label) of those named speeds that the fit has found; empty where it failed."""
     all_ = F.array(*[F.struct(v.cast("double").alias("x"), F.lit(k).alias("label")) for k, v in named_speeds.items()])
     return F.filter(all_, lambda m: F.coalesce(converged, F.lit(False)) & m["x"].isNotNull() & ~F.isnan(m["x"]) & (F.abs(m["x"]) != float("inf")))
+
+
+def derived(weather: DataFrame, stations: DataFrame) -> DataFrame:
+    """Rows of weather (station, at in seconds, variables) with what follows from them: air_density, wind_power, wind_shear,
+    clear_sky_ghi, clear_sky_index, solar_zenith. A column is null where one of the variables it needs is missing from
+    the table, null or not finite. Stations are (station, lat, lon); rows of others drop out."""
+
+    def value(name: str) -> Column:
+        v = F.col(name).cast("double") if name in weather.columns else F.lit(None).cast("double")
+        return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+
+    high, sun, at = value("wind_speed_100m"), value("shortwave_radiation"), F.timestamp_seconds("at")
+    density = physics.air_density(value("surface_pressure") * 100, value("temperature_2m"))
+    placed = weather.join(stations.select("station", "lat", "lon"), "station")
+    zenith = F.when(sun.isNotNull(), physics.solar_zenith(F.col("lat"), F.col("lon"), at))
+    shear = F.when(high.isNotNull() & value("wind_speed_10m").isNotNull(), physics.wind_shear(high, value("wind_speed_10m")))
+    out = placed.withColumns({"air_density": density, "wind_power": physics.wind_power(density, high), "wind_shear": shear, "solar_zenith": zenith})
+    out = out.withColumn("clear_sky_ghi", F.when(F.col("solar_zenith").isNotNull(), physics.clear_sky_ghi(F.cos("solar_zenith"))))
+    return out.withColumn("clear_sky_index", F.when(F.col("clear_sky_ghi").isNotNull(), physics.clear_sky_index(sun, F.col("clear_sky_ghi")))).drop("lat", "lon")
