@@ -85,9 +85,10 @@ def peak_lag(correlations: DataFrame, key: str, most: int, prominence: float = 1
 
 
 def lagged_correlation(rows: DataFrame, key: str, step: str, x: str, y: str, most: int) -> DataFrame:
-    """Pearson correlation of x[i] with y[i + lag] for lags up to `most` either way: (key, lag, n, r), 0 where it is undefined."""
-    shifted = rows.select(key, F.col(step), F.col(x).alias("_x"), F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag"))
+    """Pearson correlation of x[i] with y[i + lag] for lags up to `most` either way: (key, lag, n, r), 0 where it is undefined.
+    A null x or y has no pairs."""
+    shifted = rows.where(F.col(x).isNotNull()).select(key, F.col(step), F.col(x).alias("_x"), F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag"))
     shifted = shifted.withColumn("_at", F.col(step) + F.col("lag")).drop(step)
-    pairs = shifted.join(rows.select(key, F.col(step).alias("_at"), F.col(y).alias("_y")), [key, "_at"])
+    pairs = shifted.join(rows.where(F.col(y).isNotNull()).select(key, F.col(step).alias("_at"), F.col(y).alias("_y")), [key, "_at"])
     r = F.try_divide(F.covar_pop("_x", "_y"), F.nullif(F.stddev_pop("_x") * F.stddev_pop("_y"), F.lit(0.0)))
     return pairs.groupBy(key, "lag").agg(F.count("*").alias("n"), F.when(F.count("*") < 3, 0.0).otherwise(F.coalesce(r, F.lit(0.0))).alias("r"))

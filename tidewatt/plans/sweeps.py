@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features
-from ..operators import sweeps
+from ..operators import bundle, sweeps
 from ..sources import loading
 
 C = F.col
@@ -89,7 +89,17 @@ def weather_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", *[F.round(n, 4).alias(n) for n in ("air_density", "wind_power", "wind_shear", "solar_zenith", "clear_sky_ghi")], F.round("clear_sky_index", 3).alias("clear_sky_index"))
 
 
-QUERIES = {f.__name__: f for f in (day_fold, sweep_fold, regional_prices, published_days, newest_stamp, weather_derived)}
+def station_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots of six hours as steps of five minutes; two variables told at the observations' own instants."""
+    slots = _events(spark, sf_dir).groupBy("station", (F.floor(C("sec") / 21_600) * 300).alias("at")).agg(F.sum("value").alias("mw"), F.max("value").alias("most"), F.count("*").alias("n"), F.min("event_id").alias("e"))
+    kind = F.when(C("station") % 3 == 0, "wind").otherwise("hydro")
+    obs = slots.select("station", "at", kind.alias("fuel"), C("mw").alias("output_mw"), F.when(C("e") % 4 != 0, C("mw") + C("n")).alias("uigf_mw"), (C("e") % 5 == 0).alias("capped"), F.when(C("n") > 12, "partial").otherwise("ok").alias("quality"))
+    weather = slots.select("station", F.lit("most").alias("variable"), "at", C("most").alias("value")).union(slots.select("station", F.lit("n"), "at", C("n").cast("double")))
+    out = bundle.correlated(obs, weather, 2)
+    return out.select("station", "variable", "n_total", "n_used", "target", "target_constant", "n_pairs", *[F.round(c, 6).alias(c) for c in ("masked_fraction", "capped_fraction", "pearson", "spearman", "bits")])
+
+
+QUERIES = {f.__name__: f for f in (day_fold, sweep_fold, regional_prices, published_days, newest_stamp, weather_derived, station_bundle)}
 QUERIES |= {"unmasked_readings": unmasked, "price_table_rows": price_table}
 
 _E = "with e as (select event_id, user_id % 12 as station, cast(floor(epoch(ts)) as bigint) as sec, event_type, value, case when value < 400 then value end as mw from events)"
@@ -127,4 +137,21 @@ ORACLE = {
   c as (select *, case when z is null then null when cos(z) <= 0 then 0 else 1098.0 * cos(z) * exp(-0.057 / cos(z)) end as clear from z)
   select event_id, round(rho, 4) as air_density, round(rho * hi * hi * hi * 0.5, 4) as wind_power, round(case when hi > 0 then log10(hi / (v / 40 + 1)) when hi is not null then 0 end, 4) as wind_shear,
     round(z, 4) as solar_zenith, round(clear, 4) as clear_sky_ghi, round(case when clear < 20 then 0 else v * 5 / clear end, 3) as clear_sky_index from c""",
+    "station_bundle": _E
+    + """, o as (select station, sec // 21600 as slot, sum(value) as mw, max(value) as most, count(*) as n, min(event_id) as e from e group by 1, 2),
+  u as (select *, e % 5 <> 0 and n <= 12 as used, case when e % 4 <> 0 then mw + n end as uigf from o),
+  s as (select station, count(*) as n_total, count(*) filter (used) as n_used, 1 - count(*) filter (used) / count(*) as masked, count(*) filter (e % 5 = 0) / count(*) as capped,
+    station % 3 = 0 and 2 * count(uigf) filter (used) >= count(*) filter (used) as by_uigf from u group by 1),
+  y as (select u.*, case when by_uigf then uigf else mw end as y from u join s using (station) where used),
+  p as (select station, 'most' as variable, most as x, y from y where y is not null union all select station, 'n', n::double, y from y where y is not null),
+  r as (select *, rank() over (partition by station, variable order by x) + (count(*) over (partition by station, variable, x) - 1) / 2.0::double as rx,
+    rank() over (partition by station, variable order by y) + (count(*) over (partition by station, variable, y) - 1) / 2.0::double as ry,
+    min(x) over (partition by station, variable) as x0, max(x) over (partition by station, variable) as x1, min(y) over (partition by station, variable) as y0, max(y) over (partition by station, variable) as y1,
+    count(*) over (partition by station, variable) as t from p),
+  c as (select station, variable, least(19, floor((x - x0) / (x1 - x0) * 20)) as a, least(19, floor((y - y0) / (y1 - y0) * 20)) as b, max(t) as t, count(*) as n from r group by 1, 2, 3, 4),
+  m as (select *, sum(n) over (partition by station, variable, a) as na, sum(n) over (partition by station, variable, b) as nb from c),
+  i as (select station, variable, sum(n / t * log2(n * t / (na * nb))) as bits from m group by 1, 2),
+  k as (select station, variable, count(*) as n_pairs, corr(x, y) as pearson, corr(rx, ry) as spearman from r group by 1, 2)
+  select station, variable, n_total, n_used, case when by_uigf then 'uigf_mw' else 'output_mw' end as target, false as target_constant, n_pairs,
+    round(masked, 6) as masked_fraction, round(capped, 6) as capped_fraction, round(pearson, 6) as pearson, round(spearman, 6) as spearman, round(bits, 6)::double as bits from s join k using (station) join i using (station, variable)""",
 }
