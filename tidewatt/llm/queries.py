@@ -18,6 +18,9 @@ from .near_dedup import near_duplicates
 from .span_dedup import span_dedup
 from .suffix_dedup import suffix_dedup
 from .token_counts import PATTERNS, TokenLedger, counted, deletes, inserts, revisions
+from .trie import branched, sequences, trie
+from .warc import archived
+from .whitening import whitened_components
 
 #: Signs of markup that the revision batch of op6 takes out of texts.
 MARKUP = r"[#$%&*|]+"
@@ -84,11 +87,25 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages"), revisit_from=0)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = trie(*branched(sequences(table(spark, sf_dir, "conversations"))))
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved_bytes").alias("saved_tokens"), "ends_sha256", "pos", "end")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_fingerprints, op2_span_dedup, op3_hmm, op4_licence_scan, op5_suffix_dedup,
         op6_token_counts, op7_near_dedup, op8_mixing, op9_language_id, op10_decontaminate,
+        op11_whitening, op12_warc, op13_prefix_trie,
     )
 }
 
