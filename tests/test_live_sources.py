@@ -68,16 +68,16 @@ def test_a_feed_is_written_listed_and_swept(spark, tmp_path):
     rows.write.parquet(source)
 
     def start():
-        return feeds.write_intervals(spark.readStream.schema(rows.schema).parquet(source), path, mark)
+        return feeds.write_intervals(spark.readStream.schema(rows.schema).parquet(source), path, mark, ["station"])
 
     def broken():
         raise OSError("no route")
 
     assert feeds.tick({"sick": broken, "nem": start}) == {"sick": "OSError: no route", "nem": None}
-    assert feeds.tick({"nem": start}) == {"nem": None} and spark.read.json(path).count() == 3
+    assert feeds.tick({"nem": start}) == {"nem": None} and feeds.interval_table(spark, path, rows.schema, ["station"]).read().count() == 3
     rows.where("at = 300").withColumn("mw", F.lit(9.0)).write.mode("append").parquet(source)
     feeds.tick({"nem": start})
-    assert sorted(r.mw for r in spark.read.json(path).collect()) == [1.0, 9.0, 9.0]
+    assert sorted(r.mw for r in feeds.interval_table(spark, path, rows.schema, ["station"]).read().collect()) == [1.0, 9.0, 9.0]
     listed = {r.feed: (r.intervals, r.latest) for r in feeds.manifest(spark, {"nem": (path, 300), "price": (str(tmp_path / "none"), 300)}).collect()}
     assert listed == {"nem": ([0, 300], 300), "price": ([], None)}
     assert feeds.sweep(spark, path, now=3900, hours=1) == 1 and feeds.sweep(spark, path, now=3900, hours=1) == 0

@@ -1,4 +1,7 @@
-"""The session the engine is used with: UTC, adaptive execution."""
+"""The session the engine is used with: UTC, adaptive execution; and the folder its executors share."""
+
+import re
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -8,3 +11,14 @@ def session(app: str = "tidewatt", **conf: str) -> SparkSession:
     for key, value in {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in `spark.checkpoint.dir`. Where it is unset, one of our own if the master is local; an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .versions import VersionedTable, latest_by, names
 
 
 def present(spark: SparkSession, path: str) -> list[str]:
     """The days a table holds, from the names of its folders; none where there is no table."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
-    return sorted(n.removeprefix("day=") for n in names if n.startswith("day="))
+    return [n.removeprefix("day=") for n in names(spark, path) if n.startswith("day=")]
 
 
 def replace_days(rows: DataFrame, path: str) -> None:
@@ -25,33 +25,30 @@ def add_days(rows: DataFrame, path: str) -> None:
     replace_days(rows.where(~F.col("day").cast("string").isin(known)) if known else rows, path)
 
 
+def settle_rule(keys: list[str]):
+    """Of a day's rows the settled ones if there are any, else the provisional ones; of each key the newest by `at`."""
+
+    def resolve(rows: DataFrame) -> DataFrame:
+        day = rows.groupBy("day").agg(F.max("settled").alias("_settled"))
+        stays = rows.join(day.withColumnRenamed("day", "_day"), F.col("day").eqNullSafe(F.col("_day")) & (F.col("settled") == F.col("_settled")))
+        return latest_by(["day", *keys], "at")(stays.select(*rows.columns))
+
+    return resolve
+
+
+def settled_table(spark: SparkSession, path: str, schema: StructType | str, keys: list[str]) -> VersionedTable:
+    """A table by day of rows (day, settled, at, keys, values), settled rows over provisional ones."""
+    return VersionedTable(spark, path, schema, "day", settle_rule(keys))
+
+
 def settle(stream: DataFrame, path: str, checkpoint: str, keys: list[str]):
-    """Starts a stream of rows (day, settled, keys, values) into a table by day, and returns the query.
+    """Starts a stream of rows (day, settled, at, keys, values) into a `settled_table` and returns the query.
 
-    A day with settled rows in a micro-batch is replaced whole by these. Provisional rows join their day, the newest
-    of a key by `at`, unless the day is settled; a micro-batch that is run again gives the same table.
+    Rows of a day may come in any number of micro-batches: settled ones are gathered, and provisional ones give way to
+    them whenever they come. A micro-batch that is run again changes nothing, and readers see whole commits.
     """
 
-    def put(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        done = batch.where("settled")
-        if not done.isEmpty():
-            replace_days(done, path)
-        open_ = batch.where("not settled")
-        known = present(spark, path)
-        if known:
-            held = spark.read.schema(batch.schema).parquet(path).join(open_.select("day").distinct(), "day", "left_semi").select(*batch.columns)
-            closed = held.where("settled").select("day").distinct()
-            open_ = open_.unionByName(held.where("not settled")).join(closed, "day", "left_anti").select(*batch.columns)
-        newest = open_.groupBy("day", *keys).agg(F.max_by(F.struct(*batch.columns), "at").alias("row")).select("row.*")
-        # Read in full before its days are written over.
-        replace_days(_aside(newest, checkpoint), path)
+    def put(batch: DataFrame, number: int) -> None:
+        settled_table(batch.sparkSession, path, stream.schema, keys).merge(batch, checkpoint, number)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _aside(rows: DataFrame, checkpoint: str) -> DataFrame:
-    """`rows` written beside the checkpoint and read again."""
-    path = f"{checkpoint.rstrip('/')}-aside"
-    rows.write.mode("overwrite").parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)

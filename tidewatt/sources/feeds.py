@@ -1,7 +1,4 @@
-"""Feeds kept as tables by interval: written by a stream, listed by a manifest, swept by age; summaries written out of them.
-
-What a feed has read is told by its checkpoint, what it holds by its folders, so a manifest is never ahead of the rows.
-"""
+"""Feeds kept as tables with versions, by interval: written by a stream, listed by a manifest, swept by age; summaries written out of them."""
 
 from __future__ import annotations
 
@@ -10,6 +7,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .versions import VersionedTable, latest_by
 
 HOUR = 3600
 #: A feed keeps so many hours, and a cold start reads back so many at most.
@@ -17,39 +17,35 @@ KEPT_HOURS = 36
 BRIDGE_HOURS = 24
 
 
-def write_intervals(stream: DataFrame, path: str, checkpoint: str):
-    """Starts a stream of rows with `at` (seconds) into a table by interval and returns the query. An interval of a micro-batch replaces
-    what was held for it, so a batch that is run again changes nothing."""
+def interval_table(spark: SparkSession, path: str, schema: StructType | str, keys: list[str], newest: str = "at") -> VersionedTable:
+    """A table by interval of rows with `at` (seconds) and keys. Of rows of one key and interval the one of greatest `newest` stays, then
+    the greatest, so the order in which they come doesn't count."""
+    return VersionedTable(spark, path, schema, "at", latest_by(["at", *keys], newest))
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("at").json(path)
 
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def write_intervals(stream: DataFrame, path: str, checkpoint: str, keys: list[str], newest: str = "at"):
+    """Starts a stream of rows with `at` (seconds) into an `interval_table` and returns the query. An interval may come over any
+    number of micro-batches; one that is run again changes nothing, and readers see whole commits."""
 
+    def put(batch: DataFrame, number: int) -> None:
+        interval_table(batch.sparkSession, path, stream.schema, keys, newest).merge(batch, checkpoint, number)
 
-def _folders(spark: SparkSession, path: str) -> dict[int, object]:
-    """The intervals of a feed and their folders. Retention bounds how many there are."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [f.getPath() for f in fs.listStatus(root)] if fs.exists(root) else []
-    return {int(p.getName()[3:]): p for p in found if p.getName()[:3] == "at=" and p.getName()[3:].isdigit()}
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def manifest(spark: SparkSession, feeds: dict[str, tuple[str, int]]) -> DataFrame:
-    """Rows (feed, cadence, intervals, latest) of feeds given as {feed: (path, cadence in seconds)}; an empty feed has no latest."""
+    """Rows (feed, cadence, intervals, latest) of feeds given as {feed: (path, cadence in seconds)}, as of their latest commits, so it
+    is never ahead of the rows; an empty feed has no latest."""
     rows = []
     for feed, (path, cadence) in feeds.items():
-        held = sorted(_folders(spark, path))
+        held = sorted(int(p) for p in VersionedTable(spark, path, StructType(), "at").parts())
         rows.append((feed, cadence, held, held[-1] if held else None))
     return spark.createDataFrame(rows, "feed string, cadence long, intervals array<long>, latest long")
 
 
 def sweep(spark: SparkSession, path: str, now: int, hours: float = KEPT_HOURS) -> int:
-    """Deletes the intervals older than `hours`; one exactly that old stays. Returns how many went."""
-    gone = [p for at, p in _folders(spark, path).items() if at < now - hours * HOUR]
-    for p in gone:
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    return len(gone)
+    """Leaves out the intervals older than `hours`; one exactly that old stays. Returns how many went."""
+    return VersionedTable(spark, path, StructType(), "at").drop(lambda at: int(at) < now - hours * HOUR)
 
 
 def bridge_start(last_settled: int | None, now: int, hours: float = BRIDGE_HOURS) -> int:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def windowed(events: DataFrame, width: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Count and total value of each type and window of event time; rows later than `late` are dropped once a window closes."""
@@ -26,11 +27,7 @@ def gathered(stream: DataFrame, mode: str) -> DataFrame:
     """What a stream has given once all that is there has been read, as a table; rows and checkpoint lie in the shared
     folder. In complete mode each micro-batch writes the whole result anew, and the last one is the table."""
     spark, table = stream.sparkSession, f"stream_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+    base = shared_folder(spark)
     where = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/{table}").trigger(availableNow=True)
     rows = f"{base}/{table}-rows"
     if mode == "complete":
