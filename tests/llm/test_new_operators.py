@@ -5,14 +5,20 @@ import collections
 import hashlib
 import math
 import random
+import threading
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatt.llm import trie, warc, whitening
+import corpus_pipeline
+from tidewatt.llm import mixing, trie, warc, whitening
+from tidewatt.llm.decontaminate import contamination
+from tidewatt.llm.near_dedup import near_duplicates
 from tidewatt.llm.scans import running
+from tidewatt.llm.span_dedup import span_dedup
+from tidewatt.llm.token_counts import TokenLedger
 
 
 # 11
@@ -262,3 +268,79 @@ def test_running_totals_over_ranges(spark):
     for n, (g, i, x, s) in enumerate(sorted(rows, key=lambda r: (-r[0], r[1]))):
         total += s
         assert (flat[i].n, flat[i].s_to) == (n, total)
+
+
+# Calls at the same time, commits, clashing columns, weights
+def test_calls_at_the_same_time_keep_their_tables(spark):
+    """Two span dedups and a near dedup in threads give what they give alone."""
+    rng = random.Random(8)
+    words = ["den", "tal", "rim", "os", "quer", "vast", "lo", "mi", "ar", "en"]
+    texts = [" ".join(rng.choices(words, k=80)) + ". " + " ".join(rng.choices(words, k=40)) + "." for _ in range(12)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:4])], "doc_id long, text string")
+    jobs = {"span": lambda: span_dedup(docs), "again": lambda: span_dedup(docs), "near": lambda: near_duplicates(docs).drop("text_key")}
+    alone = {k: collections.Counter(map(tuple, f().collect())) for k, f in jobs.items()}
+    found, errors = {}, []
+
+    def run(name):
+        try:
+            found[name] = collections.Counter(map(tuple, jobs[name]().collect()))
+        except Exception as error:
+            errors.append(error)
+
+    threads = [threading.Thread(target=run, args=(k,)) for k in jobs]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not errors and found == alone
+
+
+def test_of_two_writers_of_a_batch_one_commits(spark, tmp_path):
+    root, gate = f"file://{tmp_path}/ledger", threading.Barrier(2)
+    changes = spark.createDataFrame([("s", "l", "t", 1, 5)], "source string, lang string, tokenizer string, docs int, tokens int")
+
+    class Slow(TokenLedger):
+        def _write(self, rows):
+            folder = super()._write(rows)
+            gate.wait(60)  # both are past their look at what is committed
+            return folder
+
+    out = []
+    threads = [threading.Thread(target=lambda: out.append(Slow(spark, root).commit("b/1", changes))) for _ in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    ledger = TokenLedger(spark, root)
+    assert sorted(out) == [False, True] and ledger.batches() == ["b/1"]
+    assert [tuple(r) for r in ledger.totals().collect()] == [("s", "l", "t", 1, 5)]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    text = "One two three four five six. " * 3 + "Seven eight nine ten eleven twelve thirteen."
+    rows = [(i, text if i < 3 else f"Words of {i} alone stand here for once.", "en", "s", 9, "a", "b", "c", "d", "e", "f") for i in range(6)]
+    names = ["gone_id", "_key", "_id", "_of", "key", "row"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    for stage in (corpus_pipeline.near_dedup_stage, corpus_pipeline.span_dedup_stage, corpus_pipeline.decontamination_stage):
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns and {tuple(r[n] for n in names) for r in out.collect()} == {("a", "b", "c", "d", "e", "f")}
+    assert set(span_dedup(docs).columns) >= set(docs.columns)
+
+
+def test_weights_of_zero_and_below_come_last(spark):
+    rows = [(i, "w " * 10, "s", [0.0, -1.0, float("nan"), None, 2.0][i % 5]) for i in range(50)] + [(99, "w " * 1000, "t", 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, weight double")
+    got = {r.doc_id: r for r in mixing.mix(docs, docs["weight"]).collect()}
+    assert len(got) == 51 and all(r.taken >= 0 for r in got.values())
+    for r in got.values():
+        if r.source_size == 500 and r.taken > r.epochs * r.size:  # in the fractional epoch
+            assert r.doc_id % 5 in (3, 4) or all(got[i].taken > got[i].epochs * 10 for i in range(50) if i % 5 in (3, 4))
+
+
+def test_a_long_benchmark_item_is_not_sent_with_each_gram(spark):
+    rng = random.Random(2)
+    item = [rng.choice("abcdefghij") + str(rng.randrange(50)) for _ in range(3000)]
+    docs = [(0, " ".join(item[500:900])), (1, " ".join(item[:9])), (2, "nothing of it " * 5), (3, " ".join(item))]
+    benchmark = spark.createDataFrame([("x", " ".join(item)), ("x", " ".join(item)), ("x", "short one here"), (None, " ".join(item[:20]))], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in contamination(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()}
+    assert got == {0: (400, 1), 1: (0, 0), 2: (0, 0), 3: (3000, 2)}

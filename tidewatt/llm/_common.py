@@ -5,19 +5,21 @@ from __future__ import annotations
 import ctypes
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import suppress
+from contextlib import contextmanager, suppress
 from functools import wraps
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows of a side that is broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 500_000
-
-_paths: list[str] = []
+#: Most bytes of its files.
+BROADCAST_BYTES = 32 << 20
 
 #: Characters that separate words: space and U+0009 to U+000D.
 SPACE = r"\x20\x09-\x0D"
@@ -35,32 +37,74 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read again: cuts lineage and survives lost executors."""
+class Scope:
+    """The tables that one call has written to the shared folder. A scope belongs to its call and thread, so calls that run at
+    the same time don't see each other's tables."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def drop(self, keep: int = 1) -> None:
+        """Deletes the tables but the last `keep`, once nothing reads the others any more."""
+        gone, self.paths = self.paths[: len(self.paths) - keep], self.paths[len(self.paths) - keep :]
+        for name in gone:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_open = threading.local()
+
+
+def _scopes(spark: SparkSession) -> list[Scope]:
+    if not hasattr(_open, "scopes"):
+        _open.scopes = [Scope(spark)]
+    return _open.scopes
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Scope]:
+    """Tables written within belong to the scope; what it hasn't dropped passes to the enclosing one when it ends."""
+    held = Scope(spark)
+    _scopes(spark).append(held)
+    try:
+        yield held
+    finally:
+        _scopes(spark).remove(held)
+        _scopes(spark)[-1].paths += held.paths
+
+
+def claimed(spark: SparkSession, path: str) -> str:
+    """A path in the shared folder that is deleted with the tables of the scope."""
+    _scopes(spark)[-1].paths.append(path)
+    return path
+
+
+def written(df: DataFrame, name: str, *more: Column) -> DataFrame:
+    """`df` written as Parquet to the shared folder and read again: cuts lineage and survives lost executors.
+
+    Its rows are counted as they are written; `counts` has them, and the values of `more`, named aggregates."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _paths.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = claimed(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *more).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = files.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(files).getLength()
+    _measured[out] = seen.get | {"bytes": size}
+    return out
 
 
-def mark() -> int:
-    """Where `drop_since` begins: tables written from now on."""
-    return len(_paths)
+_measured: WeakKeyDictionary[DataFrame, dict] = WeakKeyDictionary()
 
 
-def drop_since(spark: SparkSession, since: int, keep: int = 1) -> None:
-    """Deletes the tables that `written` left since a mark, but the last `keep`, once nothing reads the others any more."""
-    gone = _paths[since : len(_paths) - keep]
-    del _paths[since : len(_paths) - keep]
-    for name in gone:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def counts(table: DataFrame) -> dict:
+    """What was counted as a table was written: rows, bytes (of its files), and any named aggregates."""
+    return _measured[table]
 
 
 def clear_written(spark: SparkSession) -> None:
-    """Deletes all tables that `written` left; for when no result that reads them is needed any more."""
-    drop_since(spark, 0, 0)
+    """Deletes all tables that calls of this thread left; for when no result that reads them is needed any more."""
+    _scopes(spark)[-1].drop(0)
 
 
 def released(run: Callable) -> Callable:
@@ -76,9 +120,12 @@ def released(run: Callable) -> Callable:
     return out
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` marked for broadcast if it has at most `rows` rows, else `df` as it is. Counts a written table."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table marked for broadcast if it has at most `rows` rows and its files at most `size` bytes, else as it is. What was
+    counted as it was written is taken; other tables are counted by rows, and must have rows of bounded width."""
+    known = _measured.get(df)
+    few = known["rows"] <= rows and known["bytes"] <= size if known else df.limit(rows + 1).count() <= rows
+    return F.broadcast(df) if few else df
 
 
 def text_of(df: DataFrame, column: str = "text") -> Column:

@@ -44,11 +44,12 @@ def kept_of(grams: str, window: int) -> Column:
 
 
 def _hits(docs: DataFrame, items: DataFrame, k: int, winnowed: bool) -> DataFrame:
-    """Alignments (doc_key, item_id, item_words, shift) of documents and items that share a gram of k words."""
+    """Alignments (doc_key, item_id, item, shift) of documents and items that share a gram of k words. A place of a gram is a row of
+    bounded width, whatever the item's length."""
     fewest = SPAN if winnowed else 0
     items = items.withColumn("grams", grams_of("item_words", k))
     prints = items.select(F.explode(kept_of("grams", SPAN - k + 1) if winnowed else F.col("grams")).alias("gram")).distinct()
-    places = items.select("item_id", "item_words", F.posexplode("grams").alias("q", "gram")).where(F.size("item_words") >= fewest)
+    places = items.where(F.size("item_words") >= fewest).select("item_id", "item", F.posexplode("grams").alias("q", "gram"))
 
     grams = docs.select("doc_key", grams_of("words", k).alias("grams"))
     kept = grams.select("doc_key", F.explode(kept_of("grams", SPAN - k + 1) if winnowed else F.array_distinct("grams")).alias("gram"))
@@ -56,7 +57,7 @@ def _hits(docs: DataFrame, items: DataFrame, k: int, winnowed: bool) -> DataFram
 
     found = docs.join(small(written(met.select("doc_key").distinct(), "found")), "doc_key", "left_semi").dropDuplicates(["doc_key"])
     at = found.select("doc_key", F.posexplode(grams_of("words", k)).alias("p", "gram")).join(met, ["doc_key", "gram"])
-    return at.join(small(written(places, "places")), "gram").select("doc_key", "item_id", "item_words", (F.col("p") - F.col("q")).alias("shift")).distinct()
+    return at.join(small(written(places, "places")), "gram").select("doc_key", "item_id", "item", (F.col("p") - F.col("q")).alias("shift")).distinct()
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -65,7 +66,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     base = docs.select(key_of(text_of(docs)).alias("doc_key"), words_of(text_of(docs)).alias("words"))
     item_id = F.coalesce(benchmark["item_id"].cast("string"), F.lit(""))
     items = benchmark.select(item_id.alias("item_id"), words_of(text_of(benchmark)).alias("item_words")).where(F.size("item_words") > 0)
-    items = written(items.distinct(), "items")
+    items = written(items.withColumn("item", key_of(F.array_join("item_words", " "))).dropDuplicates(["item_id", "item"]), "items")
 
     long_items = items.where(F.size("item_words") >= SPAN)
     aligned = _hits(base, long_items, GRAM, True)
@@ -78,7 +79,8 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # An alignment carries the words it lies on, not the whole text; written, so that the slice is cut once.
     lead = F.greatest(F.lit(0), -F.col("shift"))
     cut = F.slice("words", F.greatest(F.col("shift"), F.lit(0)) + 1, F.size("item_words") - lead)
-    facing = written(aligned.join(found, "doc_key").select("doc_key", "item_id", "shift", "item_words", lead.alias("lead"), cut.alias("facing")), "facing")
+    facing = aligned.join(found, "doc_key").join(small(items), ["item_id", "item"])
+    facing = written(facing.select("doc_key", "item_id", "shift", "item_words", lead.alias("lead"), cut.alias("facing")), "facing")
     equal = F.expr("transform(item_words, (w, q) -> q >= lead and coalesce(get(facing, q - lead) = w, false))")
     span = F.expr(f"least({SPAN}, size(item_words))")
     starts = F.expr("filter(sequence(0, size(item_words) - span), q -> forall(slice(equal, q + 1, span), e -> e))")

@@ -22,6 +22,7 @@ WEIGHTS = (1, 2, 3)
 BUCKET_ROWS = 500
 STEPS = 64
 SEED = 8
+LEAST_WEIGHT = 1e-9
 DIGITS_AND_SIGNS = "0123456789#$%&*+<=>@[]^_`{|}~\\/"
 
 
@@ -73,12 +74,13 @@ def mix(docs: DataFrame, weight: Column | None = None, seed: int = SEED) -> Data
     the last, fractional selection size again for documents before the budget's end; the document at the end
     gives the words that are left. A null source is a source. Equal rows have equal keys and are taken one after
     another; of ties any order gives the same totals, and rows are told apart by doc_id, then text. A source
-    without words takes nothing. `weight` is a column of `docs`, positive; by default `quality_weight`.
+    without words takes nothing. `weight` is a column of `docs`, by default `quality_weight`; null weighs 1, and what is below LEAST_WEIGHT (0,
+    negative, not a number) as much as that: such documents come last, among themselves by chance.
     """
     text = text_of(docs)
     u = (F.pmod(F.xxhash64(docs["doc_id"], F.md5(text), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    weight = quality_weight(text) if weight is None else weight
-    key = -F.log(u) / F.coalesce(weight.cast("double"), F.lit(1.0))
+    weight = F.coalesce((quality_weight(text) if weight is None else weight).cast("double"), F.lit(1.0))
+    key = -F.log(u) / F.greatest(F.nanvl(weight, F.lit(LEAST_WEIGHT)), F.lit(LEAST_WEIGHT))
     sized = docs.select("doc_id", docs["source"].cast("string").alias("source"), n_words(text).alias("size"), key.alias("key"), F.xxhash64(text).alias("tie"))
     sized = written(sized, "sized")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop_since, mark, released, small, text_of, written
+from ._common import counts, released, scope, small, text_of, written
 from ._hashing import mix, shingle_set
 from .components import connected_components
 
@@ -139,25 +139,15 @@ def _class_links(full: DataFrame, classes: DataFrame) -> DataFrame:
     code = F.xxhash64("set_digest")
     ids = full.where("doc_id is not null").groupBy("doc_id").agg(F.min(code).alias("lo"), F.max(code).alias("hi")).where("lo < hi").select("doc_id")
     ids = written(ids, "ids")
+    if not counts(ids)["rows"]:
+        return full.sparkSession.createDataFrame([], "a long, b long")
     owned = written(full.join(small(ids), "doc_id").join(classes.select("set_digest", "c"), "set_digest").select("doc_id", "c").distinct(), "owned")
     least = small(written(owned.groupBy("doc_id").agg(F.min("c").alias("a")), "least"))
     return written(owned.join(least, "doc_id").where("a < c").select("a", F.col("c").alias("b")), "links")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (least doc_id reachable over links), kept, text_key (MD5 of the text).
-
-    Words are runs without ASCII white space, A-Z lower-cased; a set has the distinct
-    5-word shingles, or the whole sequence if there are fewer words. Null, empty or blank
-    texts have an empty set and link to nothing. Rows with one doc_id and different texts count
-    as one document: the links of each text are its links. A row without doc_id belongs to the
-    component of its text and is not kept if that holds an id; of a component without any id the
-    text of least text_key is kept, and component_id is null. Any other columns are ignored.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("text_key", F.unhex(F.md5("text")))
-    sketches = written(docs.mapInArrow(_sketch, "doc_id long, text_key binary, n_shingles long, set_digest binary, sketches array<long>"), "sketches")
-    since = mark()
-    full = sketches.where("n_shingles > 0")
+def _placed(docs: DataFrame, full: DataFrame) -> DataFrame:
+    """A written table (set_digest, component_id, least_key): the component of each set, by its least doc_id and text_key."""
     classes = full.groupBy("set_digest").agg(F.min("doc_id").alias("first"), F.min("text_key").alias("text_key"), F.any_value("sketches").alias("sketches"))
     # Numbers are given as the table is written and read from it after.
     classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
@@ -170,30 +160,54 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = _class_links(full, classes)
     pairs = keys.where("leader <> c").select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct()
     keys = keys.select("key", "c")
+    last = LEADER_ROUNDS
     for turn in range(LEADER_ROUNDS + 1):
-        if turn == LEADER_ROUNDS:
+        if turn >= last:
             found = _remaining_links(keys.withColumn("component", F.col("c")) if not turn else keys, sets)
         else:
             if turn:
                 order = F.struct(F.xxhash64("c", F.lit(turn)).alias("o"), "c", "component")
-                leaders = small(written(keys.groupBy("key").agg(F.min(order).alias("leader")), "leaders"))
-                led = keys.join(leaders, "key").where("leader.component <> component")
+                led = keys.join(keys.groupBy("key").agg(F.min(order).alias("leader")), "key").where("leader.component <> component")
                 pairs = led.select(F.least("c", "leader.c").alias("a"), F.greatest("c", "leader.c").alias("b")).distinct()
             found = _verified(pairs, sets)
-        links = links.union(written(found, "found"))
-        parts = written(connected_components(links), "parts")
+        found = written(found, "found")
+        if turn and not counts(found)["rows"]:  # components stay; what leaders didn't find goes to the exact step
+            if turn >= last:
+                break
+            last = turn + 1
+            continue
+        # What was linked before stands as stars, so only new links make components grow.
+        parts = connected_components(links.union(found))
+        links = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
         keys = keys.select("key", "c").join(parts.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
         keys = written(keys, "placed")
         mixed = keys.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        keys = written(keys.join(small(written(mixed, "mixed")), "key", "left_semi"), "keys")
-        if keys.isEmpty():
+        keys = written(keys.join(mixed, "key", "left_semi"), "keys")
+        if turn >= last or not counts(keys)["rows"]:
             break
 
     placed = classes.join(parts.withColumnRenamed("node", "c"), "c", "left").select("set_digest", "first", "text_key", F.coalesce("component", "c").alias("component"))
     placed = written(placed, "placed")
     heads = written(placed.groupBy("component").agg(F.min("first").alias("component_id"), F.min("text_key").alias("least_key")), "heads")
-    placed = written(placed.join(small(heads), "component").select("set_digest", "component_id", "least_key"), "components")
-    drop_since(docs.sparkSession, since)
+    return written(placed.join(small(heads), "component").select("set_digest", "component_id", "least_key"), "components")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (least doc_id reachable over links), kept, text_key (MD5 of the text).
+
+    Words are runs without ASCII white space, A-Z lower-cased; a set has the distinct
+    5-word shingles, or the whole sequence if there are fewer words. Null, empty or blank
+    texts have an empty set and link to nothing. Rows with one doc_id and different texts count
+    as one document: the links of each text are its links. A row without doc_id belongs to the
+    component of its text and is not kept if that holds an id; of a component without any id the
+    text of least text_key is kept, and component_id is null. Any other columns are ignored.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("text_key", F.unhex(F.md5("text")))
+    sketches = written(docs.mapInArrow(_sketch, "doc_id long, text_key binary, n_shingles long, set_digest binary, sketches array<long>"), "sketches")
+    full = sketches.where("n_shingles > 0")
+    with scope(docs.sparkSession) as held:
+        placed = _placed(docs, full)
+        held.drop()
     member = full.select("doc_id", "n_shingles", "text_key", "set_digest").join(small(placed), "set_digest").drop("set_digest")
     lone = sketches.where("n_shingles = 0").select("doc_id", "n_shingles", "text_key", F.col("doc_id").alias("component_id"), F.col("text_key").alias("least_key"))
     kept = F.when(F.col("component_id").isNull(), F.col("text_key") == F.col("least_key")).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import licences
-from ._common import shared_dir, small, written
+from ._common import claimed, shared_dir, small, written
 from .decontaminate import contamination
 from .fingerprints import neighbour_fingerprints
 from .hmm import hmm_scores
@@ -56,7 +56,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents inserted under both tokenizers, those with markup signs revised without them, exact copies
     of a text under a lesser doc_id deleted; the second batch comes twice."""
     docs, versions = table(spark, sf_dir, "documents"), list(PATTERNS)
-    ledger = TokenLedger(spark, f"{shared_dir(spark)}/token-ledger-{uuid.uuid4().hex}")
+    ledger = TokenLedger(spark, claimed(spark, f"{shared_dir(spark)}/token-ledger-{uuid.uuid4().hex}"))
     marked = docs.where(F.col("text").rlike(MARKUP))
     clean = F.regexp_replace("text", MARKUP, " ")
     revised = revisions(counted(marked, versions), counted(marked.withColumn("text", clean), versions))

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop_since, mark, released, small, text_of, written
+from ._common import released, scope, small, text_of, written
 from ._hashing import BASE, hashed_words, mix, run_hashes, word_spans
 
 RUN = 3
@@ -206,7 +206,6 @@ def row_key(docs: DataFrame):
 def removed_parts(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, row_key, gone) for rows of which something goes: ranges of words, 2**32 times the first plus the
     one after the last, or -1 for a later copy of a text. A row's ranges are bounded by its words."""
-    since = mark()
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row_key"), text_of(docs).alias("text"))
     row = ["doc_id", "row_key"]
     of_row = F.struct(F.col("doc_id").isNull().alias("none"), *row)
@@ -243,7 +242,6 @@ def removed_parts(docs: DataFrame) -> DataFrame:
     gone = gone.unionByName(later.select(*row, lo.alias("lo"), (F.col("at") + PASSAGE).alias("hi")))
     ranges = gone.select(*row, (F.shiftleft(F.col("lo").cast("long"), 32) + F.col("hi")).alias("c")).unionByName(copies)
     parts = written(ranges.groupBy(*row).agg(F.collect_set("c").alias("gone")), "gone")
-    drop_since(docs.sparkSession, since)
     return parts
 
 
@@ -258,9 +256,12 @@ def span_dedup(docs: DataFrame) -> DataFrame:
     which are replaced.
     """
     docs = docs.drop("n_sentences", "n_removed", "row_key", "gone")
-    gone = removed_parts(docs).withColumnRenamed("doc_id", "gone_id")
-    keyed = docs.withColumn("row_key", row_key(docs))
-    joined = keyed.join(gone, (F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id"))) & (keyed["row_key"] == gone["row_key"]), "left")
-    joined = joined.select(*[keyed[c] for c in docs.columns if c != "text"], keyed["text"].cast("string").alias("text"), gone["gone"])
+    with scope(docs.sparkSession) as held:
+        gone = removed_parts(docs)
+        held.drop()
+    # The columns of the table stand in a struct, so that none of any name meets those that are joined to it.
+    mine = docs.select(F.struct(*docs.columns).alias("mine"), F.col("doc_id").cast("long").alias("of"), row_key(docs).alias("own"))
+    joined = mine.join(gone, F.col("of").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("row_key")), "left")
+    joined = joined.select(*[F.col("mine")[c].alias(c) for c in docs.columns if c != "text"], F.col("mine.text").cast("string").alias("text"), "gone")
     fields = [f"`{n}` {t}" for n, t in joined.dtypes if n not in ("text", "gone")]
     return joined.mapInArrow(_cut, ", ".join([*fields, "text string", "n_sentences long", "n_removed long"]))

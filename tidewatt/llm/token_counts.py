@@ -8,13 +8,16 @@ changes nothing. Totals are sums over committed batches; snapshots keep them sho
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.versions import names, published, text_at
 from ._common import SPACE, text_of
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -72,81 +75,82 @@ def revisions(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 class TokenLedger:
-    """Totals under a root folder: a subfolder for each committed batch, and for each snapshot that sums earlier ones.
+    """Totals under a root folder: a marker for each committed batch, and for each snapshot that sums earlier ones.
 
-    Null sources, languages and counts are keys and zeros of their own. Changes carry their own counts, so a
+    Sums are written to a folder of their own first; the exclusive creation of the marker that names it commits them, so
+    of two writers of a batch one gets True, and readers see all of a batch or nothing. Folders that no marker names are what was
+    broken off. Null sources, languages and counts are keys and zeros of their own. Changes carry their own counts, so a
     delete of what was never inserted shows as a negative total: the ledger keeps sums, not documents. Groups
     whose documents and tokens are both 0 are left out of totals. An empty batch commits and adds nothing.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._Path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _publish(self, rows: DataFrame, name: str) -> bool:
-        """Writes rows aside and moves the folder to its name, which only one writer of that name can do."""
-        aside, path = f"{self.root}/_aside-{uuid.uuid4().hex}", self._Path(f"{self.root}/{name}")
-        rows.write.parquet(aside)
-        done = not self._fs.exists(path) and self._fs.rename(self._Path(aside), path)
-        if not done:
-            self._fs.delete(self._Path(aside), True)
-        return done
+
+    def _marker(self, kind: str, name: str) -> str:
+        return f"{self.root}/{kind}={quote(name, safe='')}.json"
 
     def _names(self, kind: str) -> list[str]:
-        root = self._Path(self.root)
-        found = [f.getPath().getName() for f in self._fs.listStatus(root)] if self._fs.exists(root) else []
-        return sorted(n.removeprefix(f"{kind}=") for n in found if n.startswith(f"{kind}="))
+        found = names(self.spark, self.root)
+        return sorted(unquote(n[len(kind) + 1 : -5]) for n in found if n.startswith(f"{kind}=") and n.endswith(".json"))
+
+    def _said(self, kind: str, name: str) -> dict:
+        return json.loads(text_at(self.spark, self._marker(kind, name)))
+
+    def _latest(self) -> tuple[str | None, dict]:
+        snapshots = self._names("snapshot")
+        return (snapshots[-1], self._said("snapshot", snapshots[-1])) if snapshots else (None, {"folder": None, "batches": []})
 
     def batches(self) -> list[str]:
-        """Ids of the committed batches, those in snapshots too."""
-        return sorted({*self._names("batch"), *(b for s in self._names("snapshot") for b in self._summed(s))})
+        """Ids of the committed batches."""
+        return self._names("batch")
 
-    def _summed(self, snapshot: str) -> set[str]:
-        return {r.batch_id for r in self.spark.read.parquet(f"{self.root}/snapshot={snapshot}/batches").collect()}  # a row a batch
+    def _write(self, rows: DataFrame) -> str:
+        folder = f"data/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/{folder}")
+        return folder
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Adds a batch of changes (source, lang, tokenizer, docs, tokens); False if it was committed before.
 
-        A batch that broke off is written anew; of two writers of one batch the first to finish counts. Hot groups
+        A batch that broke off is written anew; of several writers of one batch the first to finish counts. Hot groups
         are summed in the map tasks before the shuffle, so a source with a third of all rows sends a row for each task.
         """
         if batch_id in self.batches():
             return False
         sums = changes.groupBy(*KEYS).agg(F.sum(F.coalesce("docs", F.lit(0))).alias("n_docs"), F.sum(F.coalesce("tokens", F.lit(0))).alias("n_tokens"))
-        return self._publish(sums.select(F.lit(batch_id).alias("batch_id"), *KEYS, F.col("n_docs").cast("long"), F.col("n_tokens").cast("long")), f"batch={batch_id}")
+        folder = self._write(sums.select(F.lit(batch_id).alias("batch_id"), *KEYS, F.col("n_docs").cast("long"), F.col("n_tokens").cast("long")))
+        return published(self.spark, self._marker("batch", batch_id), json.dumps({"folder": folder}))
 
-    def _rows(self, batches: list[str]) -> DataFrame:
-        paths = [f"{self.root}/batch={b}" for b in dict.fromkeys(batches)]
+    def _rows(self, folders: list[str]) -> DataFrame:
+        paths = [f"{self.root}/{f}" for f in folders]
         return self.spark.read.schema(TOTALS).parquet(*paths) if paths else self.spark.createDataFrame([], TOTALS)
 
+    def _folders(self, batches: list[str]) -> list[str]:
+        return [self._said("batch", b)["folder"] for b in batches]
+
     def compact(self) -> str | None:
         """Sums the latest snapshot and all batches since into a new snapshot, which totals read instead of these; its
-        name, or None if there is nothing new. One at a time; a snapshot counts once its list of batches is written."""
-        snapshots = self._names("snapshot")
-        known = self._summed(snapshots[-1]) if snapshots else set()
-        new = [b for b in self._names("batch") if b not in known]
+        name, or None if there is nothing new or another one came first."""
+        last, said = self._latest()
+        new = [b for b in self.batches() if b not in set(said["batches"])]
         if not new:
             return None
-        rows = self._rows(new)
-        if snapshots:
-            rows = rows.unionByName(self.spark.read.schema(TOTALS).parquet(f"{self.root}/snapshot={snapshots[-1]}/totals"))
-        name, aside = f"{len(snapshots):08d}", f"{self.root}/_aside-{uuid.uuid4().hex}"
+        rows = self._rows([*self._folders(new), *([said["folder"]] if last else [])])
+        name = f"{int(last) + 1 if last else 0:08d}"
         sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        sums.select(F.lit(name).alias("batch_id"), *KEYS, "n_docs", "n_tokens").write.parquet(f"{aside}/totals")
-        self.spark.createDataFrame([(b,) for b in sorted(known | set(new))], "batch_id string").write.parquet(f"{aside}/batches")
-        return name if self._fs.rename(self._Path(aside), self._Path(f"{self.root}/snapshot={name}")) else None
+        folder = self._write(sums.select(F.lit(name).alias("batch_id"), *KEYS, "n_docs", "n_tokens"))
+        done = json.dumps({"folder": folder, "batches": sorted({*said["batches"], *new})})
+        return name if published(self.spark, self._marker("snapshot", name), done) else None
 
     def totals(self, batches: list[str] | None = None) -> DataFrame:
         """Totals over the committed batches, each once: all of them, from the latest snapshot and what came after, or
         those that are named."""
+        known = self.batches()
         if batches is not None:
-            rows = self._rows([b for b in batches if b in self._names("batch")])
+            folders = self._folders([b for b in dict.fromkeys(batches) if b in known])
         else:
-            snapshots = self._names("snapshot")
-            known = self._summed(snapshots[-1]) if snapshots else set()
-            rows = self._rows([b for b in self._names("batch") if b not in known])
-            if snapshots:
-                rows = rows.unionByName(self.spark.read.schema(TOTALS).parquet(f"{self.root}/snapshot={snapshots[-1]}/totals"))
-        sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+            last, said = self._latest()
+            folders = self._folders([b for b in known if b not in set(said["batches"])]) + ([said["folder"]] if last else [])
+        sums = self._rows(folders).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 or n_tokens <> 0")

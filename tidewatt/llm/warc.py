@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import released, shared_dir, small, written
+from ._common import claimed, released, shared_dir, small, written
 
 #: Fixed values of the formats.
 DICTIONARY_FRAME = 0x184D2A5D  # a skippable frame with a dictionary, at the start
@@ -258,7 +258,7 @@ def archived(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
     html = F.coalesce(pages["html"].cast("string"), F.lit("")).cast("binary")
     records = pages.select(F.col("page_id").alias("record_id"), F.col("url").cast("string").alias("uri"), F.lit(None).cast("string").alias("date"), html.alias("payload"))
     records = with_revisits(records, revisit_from)
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = claimed(spark, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
     write_archives(records, path, train_dictionary(records))
     out = resolved(read_archives(spark, path))
     return out.select(F.col("record_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "uri")
