@@ -30,20 +30,24 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(row, key): the columns in a struct, so that none of any name meets others, and the digest of the text."""
+    return docs.select(F.struct(*docs.columns).alias("row"), key_of(text_of(docs)).alias("key"))
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: of least doc_id, or of least digest where none has an id. Rows
     are told by doc_id and text, null ids included; of wholly equal rows one stays."""
     found = written(near_duplicates(docs).select("doc_id", "text_key", "kept"), "near")
-    keyed = docs.withColumn("_key", key_of(text_of(docs)))
+    keyed = _keyed(docs).withColumn("id", F.col("row.doc_id").cast("long"))
 
     def of(rows: DataFrame) -> DataFrame:
-        rows = rows.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_of"))
-        return small(written(rows.distinct(), "rows"))
+        return small(written(rows.select("doc_id", "text_key").distinct(), "rows"))
 
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))
     again = of(found.where("kept").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1"))
     once = keyed.join(of(found.where("not kept")), same, "left_anti").join(again, same, "left_anti")
-    return once.unionByName(keyed.join(again, same, "left_semi").dropDuplicates(["doc_id", "_key"])).select(*docs.columns)
+    return once.unionByName(keyed.join(again, same, "left_semi").dropDuplicates(["id", "key"])).select("row.*")
 
 
 def span_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +61,8 @@ def span_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of words with the benchmark; a text that does goes in all its rows, whatever their ids."""
     hits = occurrences(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = small(written(hits.select(F.col("doc_key").alias("_key")).distinct(), "contaminated"))
-    return docs.withColumn("_key", key_of(text_of(docs))).join(gone, "_key", "left_anti").select(*docs.columns)
+    gone = small(written(hits.select(F.col("doc_key").alias("key")).distinct(), "contaminated"))
+    return _keyed(docs).join(gone, "key", "left_anti").select("row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
