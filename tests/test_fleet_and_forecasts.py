@@ -77,8 +77,6 @@ def test_labels(spark):
     assert value(spark, labels.fill("{a} and {b}", {"a": F.lit("x")})) == "x and \u2014"
     assert value(spark, labels.escaped(F.lit("<a & 'b'>"))) == "&lt;a &amp; &#39;b&#39;&gt;"
     assert value(spark, labels.unmarked(F.lit("a [[skill|the skill]] b"))) == "a the skill b"
-    assert value(spark, labels.diverging(F.lit(-0.5), "#ff0000", "#000", "#00ff00", 1.0)) == "#800000"
-    assert value(spark, labels.diverging(F.lit(float("nan")), "#ff0000", "#000", "#00ff00", 1.0)) == "#000"
     assert value(spark, labels.price_ticks(F.lit(-10), F.lit(100))) == [-10, 0, 10, 100]
     assert value(spark, labels.horizon_hours(F.lit("6h"))) == 6 and value(spark, labels.horizon_hours(F.lit(None).cast("string"))) is None
     with pytest.raises(PySparkException):
@@ -98,6 +96,25 @@ def test_shapes_and_tails(spark):
     for x, freedom, tail in ((16.919, 9, 0.05), (3.841, 1, 0.05), (5.991, 2, 0.05), (23.209, 10, 0.01), (0.0, 9, 1.0)):
         assert value(spark, calibration.chi_squared_tail(F.lit(x), F.lit(freedom))) == pytest.approx(tail, abs=2e-5)
     assert value(spark, calibration.chi_squared_tail(F.lit(None).cast("double"), F.lit(9))) is None
+
+
+def test_upper_gamma():
+    """Critical values to 1e-9, closed forms for whole and half a, arrays of all kinds of arguments at once."""
+    x = np.array([1e-6, 0.3, 1.0, 2.5, 7.0, 30.0, 90.0, 300.0])
+    for a in (1, 2, 5, 20):
+        exact = [math.exp(-v) * sum(v**k / math.factorial(k) for k in range(a)) for v in x]
+        np.testing.assert_allclose(calibration.upper_gamma(float(a), x), exact, rtol=1e-11, atol=1e-15)
+    np.testing.assert_allclose(calibration.upper_gamma(0.5, x), [math.erfc(math.sqrt(v)) for v in x], rtol=1e-11, atol=1e-15)
+    for freedom, tail, critical in ((1, 0.05, 3.841458820694124), (3, 0.05, 7.814727903251178), (9, 0.05, 16.918977604620448), (10, 0.01, 23.209251158954356)):
+        assert calibration.upper_gamma(freedom / 2, critical / 2)[0] == pytest.approx(tail, abs=1e-9)
+    for v in (20.0, 49.5, 60.0, 110.0):  # order raised step by step from one half
+        want = math.erfc(math.sqrt(v)) + sum(math.exp((k + 0.5) * math.log(v) - v - math.lgamma(k + 1.5)) for k in range(49))
+        assert calibration.upper_gamma(49.5, v)[0] == pytest.approx(want, rel=1e-10)
+    odd = calibration.upper_gamma(np.array([2.0, 2.0, -1.0, 0.0, 3.0, np.nan, 2.0, 1000.0]), np.array([0.0, -3.0, 1.0, 1.0, np.inf, 1.0, np.nan, 1000.0]))
+    assert odd[:2].tolist() == [1.0, 1.0] and np.isnan(odd[[2, 3, 5, 6]]).all() and odd[4] == 0.0 and 0.45 < odd[7] < 0.5
+
+
+def test_coverage_and_histograms(spark):
     flat = F.array(*[F.lit(10)] * 10)
     assert [value(spark, calibration.covered(flat, 10, x)) for x in (0.5, 0.95)] == pytest.approx([0.5, 0.95])
     pits = spark.createDataFrame([(-0.1,), (0.0,), (0.55,), (1.0,), (2.0,), (None,)], "p double")

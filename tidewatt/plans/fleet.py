@@ -46,7 +46,7 @@ def label_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "supplier").select(
         "s_suppkey", labels.megawatts(b / 300).alias("mw"), labels.dollars(b).alias("dollars"), labels.percent(b / 10000).alias("percent"),
         labels.lag_label(F.floor(b / 500).cast("long")).alias("lag"), labels.fill("{who} owes {sum} {none}", {"who": F.col("s_name"), "sum": labels.dollars(b)}).alias("told"),
-        labels.escaped(F.concat(F.lit("<"), F.col("s_name"), F.lit(">"))).alias("escaped"), labels.mixed_colour(F.lit("#000000"), F.lit("#fff"), b / 10000).alias("colour"),
+        labels.escaped(F.concat(F.lit("<"), F.col("s_name"), F.lit(">"))).alias("escaped"),
         F.size(labels.price_ticks(F.lit(-50), b)).cast("long").alias("n_ticks"), F.round(labels.horizon_hours(F.lit("30min")), 3).alias("hours"),
     )
 
@@ -88,10 +88,10 @@ ORACLE = {
     "code_match": """with w as (select distinct unnest(string_split(p_name, ' ')) as code from part), f as (select p_partkey, '_' || replace(p_name, ' ', '_') || '_' || p_type || '_' as t from part)
         select p_partkey, code as station from (select p_partkey, code, row_number() over (partition by p_partkey order by length(code) desc, code) as i from f left join w on contains(t, '_' || code || '_')) x where i = 1""",
     "label_texts": """with d as (select *, case when s_acctbal < 0 then '-$' else '$' end || case when abs(s_acctbal) >= 10 then format('{:,}', cast(floor(abs(s_acctbal) + 0.5) as bigint)) else printf('%.2f', abs(s_acctbal)) end as dollars,
-        cast(floor(s_acctbal / 500) as bigint) * 5 as minutes, lpad(lower(hex(cast(floor(255 * greatest(0, least(1, s_acctbal / 10000)) + 0.5) as bigint))), 2, '0') as c from supplier)
+        cast(floor(s_acctbal / 500) as bigint) * 5 as minutes from supplier)
         select s_suppkey, case when abs(s_acctbal / 300) >= 10 then cast(cast(floor(s_acctbal / 300 + 0.5) as bigint) as varchar) else printf('%.1f', round(s_acctbal / 300, 1)) end as mw, dollars,
         cast(floor(s_acctbal / 10000 * 100 + 0.5) as bigint) || '%' as percent, case when minutes = 0 then 'peak at 0 min' when minutes > 0 then 'weather leads ' || minutes || ' min' else 'weather trails ' || -minutes || ' min' end as lag,
-        s_name || ' owes ' || dollars || ' \u2014' as told, '&lt;' || s_name || '&gt;' as escaped, '#' || c || c || c as colour,
+        s_name || ' owes ' || dollars || ' \u2014' as told, '&lt;' || s_name || '&gt;' as escaped,
         len([t for t in [-1000, -100, -10, 0, 10, 100, 300, 1000, 5000, 17500] if t >= -50 and t <= s_acctbal]) as n_ticks, 0.5::double as hours from d""",
     "day_parts": "select event_id, m as minute, cast(month(l) as bigint) as month, (m + 60) % 1440 as later from (select event_id, l, cast(hour(l) * 60 + minute(l) as bigint) as m from (select event_id, ts + interval 10 hours as l from events) a) b",
     "mark_to_market": "select event_id, round(value * (80 - cast(json_extract_string(props, '$.k') as double)), 4) as gain from events",

@@ -89,10 +89,19 @@ def pit_uniformity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pit_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _histograms(spark, sf_dir).withColumn("p", calibration.chi_squared_tail(calibration.chi_squared(F.col("counts")), F.lit(9)))
-    return found.select("event_type", "p", (F.col("p") > 0.05).alias("uniform"), calibration.shape(F.col("counts"), 10).alias("shape"))
+    return found.select("event_type", (F.col("p") > 0.05).alias("uniform"), calibration.shape(F.col("counts"), 10).alias("shape"))
 
 
-QUERIES = {f.__name__: f for f in (walk_horizons, stream_learner, stream_session, stream_dedupe, pchip_grid, revenue_band, pit_uniformity, pit_shape)}
+def gamma_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regularised upper gamma function at whole and at half orders of each supplier's balance."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    x, a = F.col("s_acctbal") / 500, (F.col("s_suppkey") % 9 + 1).cast("double")
+    tails = s.select("s_suppkey", calibration.gamma_tail(a, x).alias("whole"), calibration.gamma_tail(a + 0.5, x).alias("above"), calibration.gamma_tail(a - 0.5, x).alias("below"))
+    between = F.when(x > 0, (F.col("above") > F.col("whole")) & (F.col("whole") > F.col("below"))).otherwise(F.col("above") + F.col("below") == 2)
+    return tails.join(s.select("s_suppkey", "s_acctbal"), "s_suppkey").select("s_suppkey", F.round("whole", 9).alias("whole"), between.alias("between"))
+
+
+QUERIES = {f.__name__: f for f in (gamma_tails, walk_horizons, stream_learner, stream_session, stream_dedupe, pchip_grid, revenue_band, pit_uniformity, pit_shape)}
 QUERIES |= {"walk_forward": walk_forward_query, "peak_lag": peak_lag_query}
 
 _KNOTS = """s as (select user_id, event_id as t, value as y, lead(event_id) over w - event_id as h, (lead(value) over w - value) / (lead(event_id) over w - event_id) as d
@@ -104,7 +113,19 @@ _KNOTS = """s as (select user_id, event_id as t, value as y, lead(event_id) over
     when h is null and d00 is null then d0 when h is null then case when z * d0 <= 0 then 0 when d0 * d00 < 0 and abs(z) > 3 * abs(d0) then 3 * d0 else z end
     when d0 * d <= 0 then 0 else 3 * (h0 + h) / ((2 * h + h0) / d0 + (h + 2 * h0) / d) end as m from e)"""
 
+# Averages of Legendre polynomials over tenths of -1 to 1, before they are scaled.
+_MEANS = {1: "(2 * i + 1) / 10.0::double - 1", 2: "(((2 * i + 2) / 10.0::double - 1)**3 - ((2 * i + 2) / 10.0::double - 1) - ((2 * i) / 10.0::double - 1)**3 + ((2 * i) / 10.0::double - 1)) / 2 * 5", 3: "(5 * ((2 * i + 2) / 10.0::double - 1)**4 / 8 - 3 * ((2 * i + 2) / 10.0::double - 1)**2 / 4 - 5 * ((2 * i) / 10.0::double - 1)**4 / 8 + 3 * ((2 * i) / 10.0::double - 1)**2 / 4) * 5"}
+
 ORACLE = {
+    "gamma_tails": """select s_suppkey, round(case when s_acctbal <= 0 then 1 else exp(-s_acctbal / 500) * list_sum(list_transform(range(0, s_suppkey % 9 + 1), lambda k: pow(s_acctbal / 500, k) / gamma(k + 1))) end, 9)::double as whole, true as between from supplier""",
+    "pit_shape": """with c as (select event_type, cast(least(9, greatest(0, floor(value / 150 * 10))) as integer) as b, count(*) as n from events group by 1, 2),
+  f as (select t.event_type, b, coalesce(n, 0) as n from (select distinct event_type from events) t cross join range(10) r(b) left join c using (event_type, b)),
+  m as (select i, """ + ", ".join(f"{v} as m{k}" for k, v in _MEANS.items()) + """ from range(10) t(i)),
+  l as (select i, """ + ", ".join(f"m{k} / sqrt((select avg(m{k} * m{k}) from m)) as p{k}" for k in _MEANS) + """ from m),
+  z as (select event_type, sum(n) as total, """ + ", ".join(f"sum(n * p{k}) / sqrt(sum(n)) as z{k}" for k in _MEANS) + """, 10 * sum(n * n) / sum(n) - sum(n) as chi from f join l on i = b group by 1)
+  select event_type, chi < 16.918977604620448 as uniform, case when z1 * z1 + z2 * z2 + z3 * z3 < 7.814728 then 'calibrated'
+    when abs(z1) > 1.959964 and z2 > greatest(1.959964, abs(z1) / 2) and abs(z3) > greatest(1.959964, abs(z1) / 2) and z1 * z3 > 0 then case when z1 > 0 then 'pinned-high' else 'pinned-low' end
+    when abs(z1) > abs(z2) then case when z1 > 0 then 'biased-low' else 'biased-high' end when z2 > 0 then 'overconfident' else 'underconfident' end as shape from z""",
     "stream_session": """select user_id, min(ts) as start, max(ts) + interval 6 hours as "end", count(*) as n, round(sum(value), 4) as value from (
         select *, sum(case when ts < p + interval 6 hours then 0 else 1 end) over (partition by user_id order by ts) as i from (select *, lag(ts) over (partition by user_id order by ts) as p from events) a) b group by user_id, i""",
     "stream_dedupe": "select event_id, user_id, event_type, value from events",
