@@ -130,11 +130,49 @@ def test_empty_tables(spark):
     assert lagged_correlation(empty, "key", "step", "value", "slot", 3).count() == 0
 
 
-def test_wind_fit_recovers_its_curve(spark):
-    from tidewatt.operators.fits import fit_wind, logistic
-
-    x = np.linspace(3, 24, 300)
-    true = np.array([0.0, 0.95, 0.6, 10.0])
-    frame = pd.concat([pd.DataFrame({"key": 1, "speed": x, "share": logistic(true, x)}), pd.DataFrame({"key": 2, "speed": x[:50], "share": 0.5})])
-    got = fit_wind(spark.createDataFrame(frame)).collect()
-    assert len(got) == 1 and [got[0].high, got[0].slope, got[0].middle] == pytest.approx(true[1:], rel=0.02)
+def _huber(p, x, y, delta=0.08):
+    r = np.abs(p[0] + (p[1] - p[0]) / (1 + np.exp(-np.clip(p[2] * (x - p[3]), -50, 50))) - y)
+    return float(np.where(r <= delta, r * r / 2, delta * (r - delta / 2)).sum())
+
+
+def _searched(x, y, start):
+    """The least Huber loss near a start, by trying steps of every parameter and halving them."""
+    lower, upper, best = np.array([0.0, 0.0, 0.05, 2.0]), np.array([1.2, 1.2, 10.0, 20.0]), np.array(start, float)
+    step, loss = np.array([0.02, 0.02, 0.1, 0.5]), _huber(start, x, y)
+    rng = np.random.default_rng(0)
+    while step.max() > 1e-9:
+        tries = best + step * rng.normal(size=(60, 4))
+        tries = np.clip(tries, lower, upper)
+        losses = [_huber(t, x, y) for t in tries]
+        if min(losses) < loss:
+            best, loss = tries[int(np.argmin(losses))], min(losses)
+        else:
+            step = step / 1.5
+    return best, loss
+
+
+def test_wind_fit_finds_the_least_loss(spark):
+    """Exact curves, noise with outliers, a key of too few rows, nulls, a flat key."""
+    from tidewatt.operators.fits import fit_wind, with_curves
+
+    rng = np.random.default_rng(5)
+    x = rng.uniform(1, 24, 400)
+
+    def curve(p, v):
+        return p[0] + (p[1] - p[0]) / (1 + np.exp(-p[2] * (v - p[3])))
+
+    data = {1: curve([0.0, 0.95, 0.6, 10.0], x), 3: curve([0.05, 0.7, 1.1, 7.0], x) + rng.normal(0, 0.04, 400), 4: np.full(400, 0.3)}
+    data[3][:40] = rng.uniform(0, 1, 40)
+    frame = pd.concat([*(pd.DataFrame({"key": k, "speed": x, "share": y}) for k, y in data.items()), pd.DataFrame({"key": 2, "speed": x[:50], "share": 0.5}), pd.DataFrame({"key": 3, "speed": [5.0, np.nan], "share": [np.nan, 1.0]})])
+    rows = spark.createDataFrame(frame).repartition(5)
+    got = {r.key: r for r in fit_wind(rows).collect()}
+    assert set(got) == {1, 3, 4} and all(r.n == 400 for r in got.values())
+    assert [got[1][c] for c in ("low", "high", "slope", "middle")] == pytest.approx([0.0, 0.95, 0.6, 10.0], abs=1e-6) and got[1].converged
+    for k in (3, 4):
+        p = [got[k][c] for c in ("low", "high", "slope", "middle")]
+        assert _huber(p, x, data[k]) <= _searched(x, data[k], p)[1] + 1e-6
+    best, loss = _searched(x, data[3], [0.0, 0.95, 0.6, 9.0])
+    assert [got[3][c] for c in ("low", "high", "slope", "middle")] == pytest.approx(best, abs=1e-3) and _huber([got[3][c] for c in ("low", "high", "slope", "middle")], x, data[3]) <= loss + 1e-6
+    told = {r.key: r.curve for r in with_curves(spark.range(1, 4).withColumnRenamed("id", "key"), fit_wind(rows), [3.0, 10.0]).collect()}
+    assert told[2] is None and told[1] == pytest.approx([curve([0.0, 0.95, 0.6, 10.0], v) for v in (3.0, 10.0)], abs=1e-6)
+    assert fit_wind(rows.limit(0)).count() == 0

@@ -21,9 +21,11 @@ def solar_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wind_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir)
-    key = F.xxhash64("event_type")
-    return fit_wind(e.select(key.alias("key"), (F.col("value") / 20).alias("speed"), (1 / (1 + F.exp(-0.6 * (F.col("value") / 20 - 9)))).alias("share")))
+    """Each event type's response, made with a known curve, fitted again from sums."""
+    speed, share = F.col("value") / 10, 1 / (1 + F.exp(-0.6 * (F.col("value") / 10 - 9)))
+    e = _events(spark, sf_dir).select(F.ascii("event_type").cast("long").alias("key"), speed.alias("speed"), share.alias("share"))
+    out = fit_wind(e)
+    return out.select("key", *[F.abs(F.round(c, 4)).alias(c) for c in ("low", "high", "slope", "middle", "rmse")], "n", "converged")
 
 
 def _forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,5 +70,6 @@ ORACLE = {
         select *, case when mw <= 0 then 'watch' when 2000 between mw - 1500 and mw + 1500 then 'hold' when abs(d) < 1000 then 'hold' when d > 0 then 'opportunity' else 'risk' end as action from ({_SIGNALS}) a) b""",
     "region_signals": f"""select region, round(sum(mw), 4) as mw, round(sum(2000.0), 4)::double as reference, round(sum(mw - 1500), 4) as lo, round(sum(mw + 1500), 4) as hi, round(sum(d), 4) as expected_dollars,
         round(sum(case when mw >= 0 then mw / 10000 * 10000 end) / sum(case when mw >= 0 then 10000 end), 4) as skill, sum(case when masked > 0.5 then 10000 else 0 end) > 0.5 * sum(10000) as constrained from ({_SIGNALS}) a group by region""",
+    "wind_fit": "select cast(ascii(event_type) as bigint) as key, 0.0::double as low, 1.0::double as high, 0.6::double as slope, 9.0::double as middle, 0.0::double as rmse, count(*) as n, true as converged from events group by 1",
     "settle_upsert": """select cast(ts as date) as day, cast(hour(ts) as bigint) as hour, round(sum(value) * case when cast(ts as date) < date '2024-01-15' then 1.01::double else 1 end, 4) as mw, cast(ts as date) < date '2024-01-15' as settled from events group by 1, 2""",
 }
