@@ -23,13 +23,13 @@ MOST_BYTES = 48 << 20
 HOUR_MEANS = ("shortwave_radiation", "direct_normal_irradiance", "diffuse_radiation")
 
 
-def documents(spark: SparkSession, path: str, schema: str, since: str | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
+def documents(spark: SparkSession, path: str, schema: str, since: str | None = None, most_bytes: int = MOST_BYTES, parts: int = 1) -> DataFrame:
     """Rows (file, bytes, state, body) of the JSON files of a folder whose name comes after `since`.
 
     `state` is `ok`, `too big` or `broken`; the body of the latter two is null, so that a reader can go past them. Contents of files
-    that are too big aren't decoded.
+    that are too big aren't decoded. `file` is the last `parts` parts of the path, which should tell files apart.
     """
-    name = F.element_at(F.split("path", "/"), -1)
+    name = F.array_join(F.slice(F.split("path", "/"), F.lit(-parts), F.lit(parts)), "/")
     files = spark.read.format("binaryFile").load(path).select(name.alias("file"), F.col("length").alias("bytes"), "content")
     files = files if since is None else files.where(F.col("file") > since)
     fits = F.col("bytes") <= most_bytes
