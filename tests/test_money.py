@@ -86,3 +86,38 @@ def test_codes_find_their_station(spark):
 def test_skill_is_told_from_fifty_on(spark):
     rows = spark.createDataFrame([(49, 0.5), (50, 0.5), (51, None)], "n int, skill double")
     assert [r.told for r in rows.orderBy("n").select(money.told_skill(F.col("n"), F.col("skill")).alias("told")).collect()] == [None, 0.5, None]
+
+
+def test_a_fleet_claims_no_more_than_its_worst_member(spark):
+    from tidewatt.operators import signals
+
+    kind = "station string, region string, horizon string, capacity double, mw double, reference double, lo double, hi double, coverage double, skill double, masked double, curve_rmse double, n long, generated_at long, constrained boolean, weights map<string,double>"
+    claims = spark.createDataFrame(
+        [("a", "N", "1h", 300.0, 10.0, 5.0, 1.0, 20.0, 0.9, 0.2, 0.0, 0.1, 100, 7, False, {"x": 1.0}), ("b", "N", "1h", 100.0, 20.0, 5.0, 2.0, 30.0, 0.8, 0.6, 0.4, None, 50, 9, True, {"y": 1.0})], kind
+    )
+    prices = spark.createDataFrame([("N", 40.0)], "region string, rrp double")
+    (r,) = signals.fleet_claims(claims, prices).collect()
+    assert (r.stations, r.capacity, r.mw, r.lo, r.hi, r.coverage, r.n, r.generated_at) == (2, 400.0, 30.0, 3.0, 50.0, 0.8, 50, 7)
+    assert (r.skill, r.masked, r.curve_rmse, r.constrained, r.price) == (pytest.approx(0.3), pytest.approx(0.1), pytest.approx(0.1), False, 40.0) and r.weights == pytest.approx({"x": 0.75, "y": 0.25})
+    for bad in (prices.limit(0), prices.union(prices), prices.withColumn("rrp", F.lit(float("nan")))):
+        with pytest.raises(Exception, match="no single price"):
+            signals.fleet_claims(claims, bad).collect()
+
+
+def test_small_rules(spark):
+    from tidewatt.functions import physics, scores
+    from tidewatt.sources import feeds
+
+    def one(c):
+        return spark.range(1).select(c.alias("x")).first().x
+
+    nan = float("nan")
+    assert [one(physics.clipped(F.lit(x).cast("double"), F.lit(c).cast("double"))) for x, c in ((5.0, 3.0), (-1.0, 3.0), (nan, 3.0), (9.0, None), (9.0, nan), (None, 3.0))] == [3.0, 0.0, 0.0, 9.0, 9.0, None]
+    assert [one(physics.symlog_inverse(physics.symlog(F.lit(x)))) for x in (-1500.0, -10.0, 0.0, 3.0, 17500.0)] == pytest.approx([-1500.0, -10.0, 0.0, 3.0, 17500.0])
+    assert one(scores.price_assumption(F.lit(42.5)))["basis"] == "flat $42.5/MWh across every forecast interval" and one(scores.price_assumption(F.lit(42.0)))["minutes"] == 5.0
+    with pytest.raises(Exception, match="not a number"):
+        one(scores.price_assumption(F.lit(nan)))
+    names = spark.createDataFrame([("X_20240102_1.zip",), ("X_20240102_2.zip",), ("X_202401030405_9.zip",), ("none.zip",), ("X_20240102_10.zip",)], "name string")
+    assert {r.day: r.name for r in feeds.newest_a_day(names).collect()} == {"20240102": "X_20240102_2.zip", "20240103": "X_202401030405_9.zip"}
+    rows = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", None), ("b", None)], "k string, v double")
+    assert {r.k: (r.n, r.m) for r in feeds.summary(rows, "k", "v", {"m": 0.5}).collect()} == {"a": (2, 1.5), "b": (0, None)}

@@ -66,6 +66,17 @@ def symlog(v: Column, threshold: float = 10.0) -> Column:
     return F.when(F.abs(v) <= threshold, v / threshold).otherwise(F.signum(v) * (1 + F.log10(F.abs(v) / threshold)))
 
 
+def symlog_inverse(y: Column, threshold: float = 10.0) -> Column:
+    """What `symlog` takes to y."""
+    return F.when(F.abs(y) <= 1, y * threshold).otherwise(F.signum(y) * threshold * F.pow(F.lit(10.0), F.abs(y) - 1))
+
+
+def clipped(x: Column, capacity: Column) -> Column:
+    """An output between 0 and capacity. What is no number is 0, null stays; of an unknown capacity (null or no number) only 0 counts."""
+    top = F.when(capacity.isNull() | F.isnan(capacity), F.lit(float("inf"))).otherwise(capacity)
+    return F.when(x.isNotNull(), F.least(F.greatest(F.nanvl(x.cast("double"), F.lit(0.0)), F.lit(0.0)), top))
+
+
 def huber(residual: Column, delta: float = 0.08) -> Column:
     return F.when(F.abs(residual) <= delta, residual * residual * 0.5).otherwise(delta * (F.abs(residual) - delta / 2))
 

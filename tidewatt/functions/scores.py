@@ -68,6 +68,16 @@ def confidence(skill_: Column, band: Column, capacity: Column, masked: Column) -
     return unit(skill_ / 0.5) * unit(1 - F.try_divide(band, capacity)) * unit(1 - masked)
 
 
+def price_assumption(rrp: Column, basis: Column | None = None, minutes: Column | None = None) -> Column:
+    """Struct (rrp, basis, minutes) of a price that forecasts are valued at: a flat price is told as such, an interval is five minutes
+    unless given. A price that is no finite number fails."""
+    bad = rrp.isNull() | F.isnan(rrp) | (F.abs(rrp) == float("inf"))
+    price = F.when(bad, F.raise_error(F.lit("the assumed price is not a number")).cast("double")).otherwise(rrp.cast("double"))
+    whole = price == F.floor(price)
+    flat = F.concat(F.lit("flat $"), F.when(whole, price.cast("long").cast("string")).otherwise(price.cast("string")), F.lit("/MWh across every forecast interval"))
+    return F.struct(price.alias("rrp"), F.coalesce(basis if basis is not None else F.lit(None), flat).alias("basis"), F.coalesce(minutes if minutes is not None else F.lit(None), F.lit(5.0)).alias("minutes"))
+
+
 def checked(quantiles: Column) -> Column:
     """The quantiles in ascending level. Fails if there are none, a level is outside 0 to 1 or given twice, or values cross."""
     def usable(s: Column) -> Column:

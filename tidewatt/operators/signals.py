@@ -34,3 +34,28 @@ def region_signals(found: DataFrame) -> DataFrame:
         F.try_divide(F.sum(F.col("skill") * cap), F.sum(F.when(F.col("skill").isNotNull(), cap))).alias("skill"),
         (F.sum(F.when(F.col("constrained"), cap).otherwise(0.0)) > 0.5 * F.sum(cap)).alias("constrained"),
     )
+
+
+def fleet_claims(found: DataFrame, prices: DataFrame) -> DataFrame:
+    """Per region and horizon of claims (station, region, horizon, capacity, mw, reference, lo, hi, coverage, skill, masked, curve_rmse, n, generated_at,
+    constrained, weights map<expert, weight>) at prices (region, rrp): the fleet's claim.
+
+    Megawatts and bands are summed; skill, masked share and the experts' weights are weighted by capacity, as is the error of those that have a
+    curve. A claim is as well covered, as much scored and as fresh as its worst member: the least coverage, n and generated_at. It is constrained
+    if more than CONSTRAINED of its capacity is. A region without a finite price, or with two, fails.
+    """
+    cap = F.col("capacity")
+    sums = [F.sum(c).alias(c) for c in ("capacity", "mw", "reference", "lo", "hi")]
+    least = [F.min(c).alias(c) for c in ("coverage", "n", "generated_at")]
+    weighted = [F.try_divide(F.sum(F.col(c) * cap), F.sum(cap)).alias(c) for c in ("skill", "masked")]
+    curved = F.try_divide(F.sum(F.col("curve_rmse") * cap), F.sum(F.when(F.col("curve_rmse").isNotNull(), cap)))
+    held = F.sum(F.when(F.col("constrained"), cap).otherwise(0.0)) > CONSTRAINED * F.sum(cap)
+    fleet = found.groupBy("region", "horizon").agg(F.count("*").alias("stations"), *sums, *least, *weighted, curved.alias("curve_rmse"), held.alias("constrained"))
+    each = found.select("region", "horizon", "capacity", F.explode("weights").alias("expert", "w")).groupBy("region", "horizon", "expert").agg(F.sum(F.col("w") * cap).alias("w"))
+    mixed = each.groupBy("region", "horizon").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("expert", "w")))).alias("weights"))
+    told = prices.groupBy(F.col("region").alias("_r")).agg(F.max("rrp").alias("price"), F.count("*").alias("_n"))
+    out = fleet.join(mixed, ["region", "horizon"], "left").join(told, F.col("region") == F.col("_r"), "left")
+    bad = F.col("price").isNull() | F.isnan("price") | (F.abs("price") == float("inf")) | (F.col("_n") > 1)
+    price = F.when(bad, F.raise_error(F.concat(F.lit("no single price for "), "region")).cast("double")).otherwise(F.col("price"))
+    shares = F.transform_values("weights", lambda _, w: w / F.col("capacity"))
+    return out.withColumns({"price": price, "weights": shares}).drop("_r", "_n")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.money import exact_quantiles
 from .versions import VersionedTable, latest_by
 
 HOUR = 3600
@@ -111,6 +112,20 @@ def write_summary(days: DataFrame, keys: list[str], values: list[str], path: str
     days.groupBy(*keys).agg(F.count("*").alias("n"), *sums).write.mode("overwrite").json(path)
 
 
+def newest_a_day(files: DataFrame) -> DataFrame:
+    """Of published files (name, which holds its day as yyyymmdd) the greatest name of each day; names without a day are left out."""
+    day = F.regexp_extract("name", r"(?:^|[^0-9])((?:19|20)[0-9]{2}[01][0-9][0-3][0-9])(?:[^0-9]|[0-9]{4}[^0-9]|$)", 1)
+    return files.select(F.nullif(day, F.lit("")).alias("day"), "name").where("day is not null").groupBy("day").agg(F.max("name").alias("name"))
+
+
+def summary(rows: DataFrame, key: str, value: str, levels: dict[str, float]) -> DataFrame:
+    """What a summary of all days held says of each key: n, mean, least, greatest, and the quantiles at some levels, exact however many rows
+    a key has."""
+    sums = rows.groupBy(key).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("greatest"))
+    marks = exact_quantiles(rows, key, value, levels).drop("n").withColumnRenamed(key, "_key")
+    return sums.join(marks, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+
+
 def united(parts: list[DataFrame]) -> DataFrame:
     """Feeds of one schema by name, columns that a feed lacks as null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
