@@ -125,8 +125,13 @@ def test_reports(spark, tmp_path):
 
 
 def test_empty_tables(spark):
-    empty = spark.createDataFrame([], "key long, step long, value double, slot long")
+    empty = spark.createDataFrame([], "key long, step long, value double, slot long, capacity double")
     assert learners.walk_forward(empty).count() == 0
+    with pytest.raises(ValueError, match="capacity"):
+        learners.walk_forward(empty.drop("capacity"))
+    for bad in (None, 0.0, math.nan):
+        with pytest.raises(Exception, match="a capacity is unknown"):
+            learners.walk_forward(spark.createDataFrame([(1, 1, 2.0, 0, bad)], empty.schema)).collect()
     assert lagged_correlation(empty, "key", "step", "value", "slot", 3).count() == 0
 
 

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Parameters of the learners.
 FLOOR, RATE_ROUNDS, GAMMA, WINDOW = 1e-4, 5000, 0.005, 2000
@@ -206,7 +207,7 @@ def conditions_of(frame: pd.DataFrame) -> np.ndarray:
 def walk(frame: pd.DataFrame, horizons: tuple[int, ...] = (1,), warm_up: int = 1) -> pd.DataFrame:
     """A key's readings in order; conditions at a horizon are those of its reading, or of the last where there is none."""
     at, values = conditions_of(frame), frame["value"].to_numpy(float)
-    capacity = float(frame["capacity"].iloc[0] if "capacity" in frame else np.nanmax(np.abs(values))) or 1.0
+    capacity = float(frame["capacity"].iloc[0])
     learner, last, out = Learner(capacity, horizons, warm_up), len(values) - 1, []
     for i, (step, value) in enumerate(zip(frame["step"], values, strict=True)):
         rows = learner.read(value, at[i], [at[min(i + h, last)] for h in horizons])
@@ -215,13 +216,17 @@ def walk(frame: pd.DataFrame, horizons: tuple[int, ...] = (1,), warm_up: int = 1
 
 
 def walk_forward(readings: DataFrame, horizons: tuple[int, ...] = (1,), warm_up: int = 1) -> DataFrame:
-    """Readings (key, step, value, slot, and where known capacity, share, wind, clear, warm) to scored forecasts.
+    """Readings (key, step, value, slot, capacity, and where known share, wind, clear, warm) to scored forecasts.
 
-    Rows without a value are left out; keys of no more rows than a horizon give none for it. Without a capacity a key's
-    greatest reading stands for it. Unknown share: the last reading. Equal steps of a key keep no set order.
+    Rows without a value are left out; keys of no more rows than a horizon give none for it. A capacity that is unknown or not
+    above 0 is refused: what the series itself reaches is only known at its end. Unknown share: the last reading. Equal
+    steps of a key keep no set order.
     """
+    if "capacity" not in readings.columns:
+        raise ValueError("readings need their capacity")
+    known = F.when((F.col("capacity") > 0) & ~F.isnan("capacity"), F.col("capacity").cast("double")).otherwise(F.raise_error(F.lit("a capacity is unknown")).cast("double"))
     wanted = [c for c in ("key", "step", "value", "slot", "capacity", CURVE, *WEATHER) if c in readings.columns]
     # a set number of partitions: a reading is small but its learning is not, so they must not be coalesced by size
     parts = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = readings.where("value is not null").select(wanted).repartition(parts, "key")
+    rows = readings.where("value is not null").withColumn("capacity", known).select(wanted).repartition(parts, "key")
     return rows.groupBy("key").applyInPandas(lambda frame: walk(frame.sort_values("step"), horizons, warm_up), SCHEMA)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable
 
@@ -52,13 +53,17 @@ def spelled(sql: str, dialect: int) -> str:
 
 
 def spark_query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
-    """A query that runs `sql` over the tables it names, read from a folder."""
+    """A query that runs `sql` over the tables it names, read from a folder. Views are named by their folder, so that queries over
+    several folders at the same time don't meet."""
     used = [t for t in TABLES if re.search(rf"\b(from|join|,)\s+{t}\b", sql)]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tag = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
         for name in used:
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-        return spark.sql(spelled(sql, 0))
+            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"{name}_{tag}")
+        views = "with " + ", ".join(f"{name} as (select * from {name}_{tag})" for name in used)
+        text = spelled(sql, 0).lstrip()
+        return spark.sql(f"{views}, {text[5:]}" if text[:5].lower() == "with " else f"{views} {text}")
 
     return run
 

@@ -31,7 +31,7 @@ def _scored(forecasts: DataFrame) -> DataFrame:
 
 
 def walk_forward_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(walk_forward(_readings(_events(spark, sf_dir)).drop("capacity")))
+    return _scored(walk_forward(_readings(_events(spark, sf_dir))))
 
 
 def walk_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
