@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +34,8 @@ WIDTH = 5
 THRESHOLD = 75  # per cent
 LEADER_ROUNDS = 3
 BLOCK = 256
+#: Shingles of a block, so that two blocks of long texts fit in a worker.
+VOLUME = 1_000_000
 SLICE = 8192
 
 _rng = np.random.default_rng(20240131)
@@ -85,27 +86,33 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def block_links(frame: pd.DataFrame) -> pd.DataFrame:
-    """Links between the first and the second block of a frame (one block against itself if there is but one):
-    for each class and each other component the least partner. Shared shingles are counted a slice at a time, so
-    memory is bounded by the sets themselves."""
-    first, second = frame[frame.side == 0].reset_index(drop=True), frame[frame.side == 1].reset_index(drop=True)
-    second = second if len(second) else first
-    ids, codes = np.unique(np.concatenate([*first.shingles, *second.shingles]), return_inverse=True)
-    n, m = np.array([len(s) for s in first.shingles]), np.array([len(s) for s in second.shingles])
-    owner, side = np.concatenate([np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)]), np.arange(len(codes)) >= n.sum()
+def block_links(rows: pa.Table) -> pa.Table:
+    """Links between the rows of side 0 and of side 1 (of side 0 among themselves if there are no others), which are columns
+    c, component, side, shingles: for each class and each other component the least partner. Shared shingles are
+    counted a slice at a time, so memory is bounded by the sets themselves."""
+    c, component, side = (rows.column(n).to_numpy() for n in ("c", "component", "side"))
+    sets = rows.column("shingles").combine_chunks()
+    sizes = sets.value_lengths().to_numpy()
+    ids, codes = np.unique(sets.flatten().to_numpy(), return_inverse=True)
     order = np.argsort(codes, kind="stable")
-    codes, owner, side = codes[order], owner[order], side[order]
-    common = np.zeros((len(n), len(m)))
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+    codes = codes[order]
+    first = np.flatnonzero(side == 0)
+    second = np.flatnonzero(side == 1) if (side == 1).any() else first
+    common = np.zeros((len(first), len(second)))
     for lo in range(0, len(ids), SLICE):
         part = slice(*np.searchsorted(codes, (lo, lo + SLICE)))
-        x, y = np.zeros((len(n), SLICE), np.float32), np.zeros((len(m), SLICE), np.float32)
-        x[owner[part][~side[part]], codes[part][~side[part]] - lo] = 1
-        y[owner[part][side[part]], codes[part][side[part]] - lo] = 1
-        common += x @ y.T
-    i, j = np.nonzero((100 * common >= THRESHOLD * (n[:, None] + m[None, :] - common)) & (first.component.to_numpy()[:, None] != second.component.to_numpy()[None, :]))
-    found = pd.DataFrame({"a": first.c.to_numpy()[i], "b": second.c.to_numpy()[j], "other": second.component.to_numpy()[j]})
-    return found.sort_values(["a", "other", "b"]).drop_duplicates(["a", "other"])[["a", "b"]]
+        has = np.zeros((len(sizes), SLICE), np.float32)
+        has[owner[part], codes[part] - lo] = 1
+        common += has[first] @ has[second].T
+    union = sizes[first][:, None] + sizes[second][None, :] - common
+    i, j = np.nonzero((100 * common >= THRESHOLD * union) & (component[first][:, None] != component[second][None, :]))
+    a, b, other = c[first][i], c[second][j], component[second][j]
+    place = np.lexsort((b, other, a))
+    a, b, other = a[place], b[place], other[place]
+    least = np.ones(len(a), bool)
+    least[1:] = (a[1:] != a[:-1]) | (other[1:] != other[:-1])
+    return pa.table({"a": pa.array(a[least], pa.int64()), "b": pa.array(b[least], pa.int64())})
 
 
 def _remaining_links(keys: DataFrame, sets: DataFrame) -> DataFrame:
@@ -114,13 +121,14 @@ def _remaining_links(keys: DataFrame, sets: DataFrame) -> DataFrame:
     edges = keys.join(heads, "key").select(F.col("c").alias("a"), "b")
     groups = connected_components(edges).select(F.col("node").alias("c"), F.col("component").alias("part"))
     members = written(keys.select("c", "component").distinct().join(groups, "c"), "members")
-    size = members.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(small(written(size, "size")), "part").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).join(sets, "c")
+    volume = members.join(sets.select("c", "n"), "c").groupBy("part").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    size = volume.select("part", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("n") / VOLUME)).cast("int").alias("blocks"))
+    placed = members.join(small(written(size, "size")), "part").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).join(sets.drop("n"), "c")
     meets = F.explode(
         F.expr("transform(sequence(0, blocks - 1), x -> struct(least(block, x) as lo, greatest(block, x) as hi, int(block > x) as side))")
     ).alias("m")
     cells = placed.select("part", "c", "component", "shingles", "block", meets).select("*", "m.*")
-    return cells.groupBy("part", "lo", "hi").applyInPandas(block_links, "a long, b long")
+    return cells.groupBy("part", "lo", "hi").applyInArrow(block_links, "a long, b long")
 
 
 def _shared_keys(classes: DataFrame) -> DataFrame:
@@ -155,7 +163,7 @@ def _placed(docs: DataFrame, full: DataFrame) -> DataFrame:
     keys = _shared_keys(classes)
     reps = written(keys.select("c").distinct().join(classes.select("c", "text_key"), "c"), "reps")
     texts = docs.join(small(reps.select("text_key")), "text_key", "left_semi").groupBy("text_key").agg(F.any_value("text").alias("text"))
-    sets = written(texts.mapInArrow(_sets, "text_key binary, shingles array<long>").join(reps, "text_key").select("c", "shingles"), "sets")
+    sets = written(texts.mapInArrow(_sets, "text_key binary, shingles array<long>").join(reps, "text_key").select("c", "shingles", F.size("shingles").alias("n")), "sets")
 
     links = _class_links(full, classes)
     pairs = keys.where("leader <> c").select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct()
