@@ -120,7 +120,8 @@ def neighbour_fingerprints(docs: DataFrame) -> DataFrame:
     The next document is that of the next doc_id (rows of one doc_id by text, null last; doc_id null last),
     after the last the first. The last quarter of the characters, rounded down, gives way to as many from
     the start of the next text, or all if it has fewer. Null texts are empty; an empty text has an empty
-    fingerprint. A table of one row follows itself. Other columns are ignored.
+    fingerprint. A table of one row follows itself. Other columns are ignored. doc_id is a
+    whole number; ids that can't be read as one fail.
 
     Rows are dealt by ranges of doc_id; the first row of each range goes to the range before as well, so the
     texts move once and no range needs another.

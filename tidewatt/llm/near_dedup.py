@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts have an empty set and link to nothing. Rows with one doc_id and different texts count
     as one document: the links of each text are its links. A row without doc_id belongs to the
     component of its text and is not kept if that holds an id; of a component without any id the
-    text of least text_key is kept, and component_id is null. Any other columns are ignored.
+    text of least text_key is kept, and component_id is null. Any other columns are ignored. doc_id is a whole number; ids that can't be read as one fail.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("text_key", F.unhex(F.md5("text")))
     sketches = written(docs.mapInArrow(_sketch, "doc_id long, text_key binary, n_shingles long, set_digest binary, sketches array<long>"), "sketches")

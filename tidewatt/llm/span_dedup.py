@@ -253,7 +253,7 @@ def span_dedup(docs: DataFrame) -> DataFrame:
     words, if they have fewer than PASSAGE words. Where rows share a doc_id, those of lesser text hash come first;
     equal rows count as one occurrence and keep the same words, and rows without doc_id come last, told apart by
     a 64-bit hash of their text. All other columns pass through, but n_sentences, n_removed, row_key and gone,
-    which are replaced.
+    which are replaced. doc_id is a whole number; ids that can't be read as one fail.
     """
     docs = docs.drop("n_sentences", "n_removed", "row_key", "gone")
     with scope(docs.sparkSession) as held:
