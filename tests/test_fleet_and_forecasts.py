@@ -114,6 +114,16 @@ def test_upper_gamma():
     assert odd[:2].tolist() == [1.0, 1.0] and np.isnan(odd[[2, 3, 5, 6]]).all() and odd[4] == 0.0 and 0.45 < odd[7] < 0.5
 
 
+def test_gamma_tails_keep_their_order_where_the_upper_one_is_rounded_to_one(spark, tmp_path):
+    balances = [(k, b) for k in range(9) for b in (-5.0, 0.0, 0.01, 1.5, 40.0, 500.0, 4_000.0, 9_999.99)]
+    rows = spark.createDataFrame([(9 * i + k, b) for i, (k, b) in enumerate(balances)], "s_suppkey long, s_acctbal double")
+    rows.write.parquet(f"{tmp_path}/supplier.parquet")
+    got = forecasts.gamma_tails(spark, f"file://{tmp_path}").collect()
+    assert len(got) == len(balances) and all(r.between is True for r in got)
+    odd = spark.range(1).select(calibration.gamma_tails(F.lit(-1.0), F.lit(1.0)).alias("x"), calibration.gamma_tails(F.lit(2.0), F.lit(None).cast("double")).alias("y")).first()
+    assert odd.x.upper is None and odd.y.lower is None
+
+
 def test_coverage_and_histograms(spark):
     flat = F.array(*[F.lit(10)] * 10)
     assert [value(spark, calibration.covered(flat, 10, x)) for x in (0.5, 0.95)] == pytest.approx([0.5, 0.95])

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructType
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
@@ -48,16 +48,17 @@ def chi_squared(counts: Column) -> Column:
     return _sum(F.transform(counts, lambda c: (c - each) * (c - each) / each))
 
 
-def upper_gamma(a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The regularised upper incomplete gamma function, for a > 0 and any x; 1 for x <= 0, not a number elsewhere.
+def gamma_pair(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The regularised lower and upper incomplete gamma functions, for a > 0 and any x; 0 and 1 for x <= 0, not a number elsewhere.
 
-    Below a + 1 the lower tail's power series is summed, above the convergents of the fraction 1/(x+1-a- 1(1-a)/(x+3-a- ...)) are
+    The smaller of the two keeps its digits where the other has been rounded to 1. Below a + 1 the lower tail's power series is summed, above the convergents of the fraction 1/(x+1-a- 1(1-a)/(x+3-a- ...)) are
     formed; each element goes on until it moves by no more than rounding.
     """
     a, x = (np.atleast_1d(np.asarray(v, float)) for v in np.broadcast_arrays(a, x))
     out = np.where((a > 0) & ~np.isnan(x), 1.0, np.nan)
     todo = np.flatnonzero((a > 0) & (x > 0))
     out[todo[np.isinf(x[todo])]] = 0.0
+    low_tail = 1.0 - out
     todo = todo[np.isfinite(x[todo])]
     front = np.exp(a[todo] * np.log(x[todo]) - x[todo] - np.array([math.lgamma(v) for v in a[todo]]))
     low = x[todo] < a[todo] + 1
@@ -70,7 +71,8 @@ def upper_gamma(a: np.ndarray, x: np.ndarray) -> np.ndarray:
         term[live] *= x[at][live] / (a[at][live] + k)
         total[live] += term[live]
         live &= term > 1e-17 * total
-    out[at] = 1.0 - front[low] * total
+    low_tail[at] = front[low] * total
+    out[at] = 1.0 - low_tail[at]
 
     at, k = todo[~low], 0
     u, v = a[at], x[at]
@@ -87,7 +89,25 @@ def upper_gamma(a: np.ndarray, x: np.ndarray) -> np.ndarray:
         live &= top != 0  # for whole a the fraction ends
         value = new
     out[at] = front[~low] * value
-    return np.clip(out, 0.0, 1.0)
+    low_tail[at] = 1.0 - out[at]
+    return np.clip(low_tail, 0.0, 1.0), np.clip(out, 0.0, 1.0)
+
+
+def upper_gamma(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The regularised upper incomplete gamma function of `gamma_pair`."""
+    return gamma_pair(a, x)[1]
+
+
+@F.pandas_udf(StructType().add("lower", DoubleType()).add("upper", DoubleType()))
+def gamma_tails(a: pd.Series, x: pd.Series) -> pd.DataFrame:
+    """`gamma_pair` over a batch; both null where a or x is null or a <= 0."""
+    lower, upper = gamma_pair(a.to_numpy(float, na_value=np.nan), x.to_numpy(float, na_value=np.nan))
+    return pd.DataFrame({"lower": lower, "upper": upper})  # what is not a number becomes null
+
+
+def gamma_above(more: Column, less: Column) -> Column:
+    """Whether the first of two pairs of `gamma_tails` has the larger upper tail, told by those tails that are the smaller ones."""
+    return F.when(less["lower"] < 0.5, more["lower"] < less["lower"]).otherwise(more["upper"] > less["upper"])
 
 
 @F.pandas_udf(DoubleType())

@@ -96,9 +96,10 @@ def gamma_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The regularised upper gamma function at whole and at half orders of each supplier's balance."""
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     x, a = F.col("s_acctbal") / 500, (F.col("s_suppkey") % 9 + 1).cast("double")
-    tails = s.select("s_suppkey", calibration.gamma_tail(a, x).alias("whole"), calibration.gamma_tail(a + 0.5, x).alias("above"), calibration.gamma_tail(a - 0.5, x).alias("below"))
-    between = F.when(x > 0, (F.col("above") > F.col("whole")) & (F.col("whole") > F.col("below"))).otherwise(F.col("above") + F.col("below") == 2)
-    return tails.join(s.select("s_suppkey", "s_acctbal"), "s_suppkey").select("s_suppkey", F.round("whole", 9).alias("whole"), between.alias("between"))
+    tails = s.select("s_suppkey", calibration.gamma_tails(a, x).alias("whole"), calibration.gamma_tails(a + 0.5, x).alias("above"), calibration.gamma_tails(a - 0.5, x).alias("below"))
+    above, whole, below = F.col("above"), F.col("whole"), F.col("below")
+    between = F.when(x > 0, calibration.gamma_above(above, whole) & calibration.gamma_above(whole, below)).otherwise(above["upper"] + below["upper"] == 2)
+    return tails.join(s.select("s_suppkey", "s_acctbal"), "s_suppkey").select("s_suppkey", F.round("whole.upper", 9).alias("whole"), between.alias("between"))
 
 
 QUERIES = {f.__name__: f for f in (gamma_tails, walk_horizons, stream_learner, stream_session, stream_dedupe, pchip_grid, revenue_band, pit_uniformity, pit_shape)}
