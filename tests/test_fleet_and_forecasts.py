@@ -89,6 +89,13 @@ SHAPES = {
 }
 
 
+def test_labels_have_their_colours(spark, tmp_path):
+    assert value(spark, labels.diverging(F.lit(-0.5), "#ff0000", "#000", "#00ff00", 1.0)) == "#800000"
+    assert value(spark, labels.diverging(F.lit(float("nan")), "#ff0000", "#000", "#00ff00", 1.0)) == "#000"
+    spark.createDataFrame([(1, "S", 5000.0), (2, "T", -5.0)], "s_suppkey long, s_name string, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert {r.s_suppkey: r.colour for r in plans.queries()["label_texts"](spark, f"file://{tmp_path}").collect()} == {1: "#808080", 2: "#000000"}
+
+
 def test_shapes_and_tails(spark):
     rows = spark.createDataFrame(list(SHAPES.items()), "name string, counts array<long>")
     assert all(r.name == r.found for r in rows.select("name", calibration.shape(F.col("counts"), 10).alias("found")).collect())
