@@ -1,6 +1,7 @@
 """Registry, codes, labels, calibration, revenue bands, cubic curves and learners on small cases with known answers."""
 
 import math
+import pickle
 
 import numpy as np
 import pandas as pd
@@ -213,3 +214,33 @@ def test_stream_learner_is_the_learner_in_order(spark):
 @pytest.mark.parametrize("name", ["registry_build", "walk_horizons", "pit_shape"])
 def test_queries_without_sql_run(spark, name):
     assert plans.queries()[name](spark, SF).count() > 0
+
+
+def test_keys_are_walked_in_batches_of_many(spark):
+    """Keys that are cut by Arrow batches, and several in one, give what each gives by itself."""
+    rng = np.random.default_rng(5)
+    frame = pd.DataFrame([(k, i, float(rng.integers(0, 90)), (5 * i) % 48, 100.0) for k in range(6) for i in range(30 + k)], columns=["key", "step", "value", "slot", "capacity"])
+    made = learners.walk_forward(spark.createDataFrame(frame.sample(frac=1, random_state=1)), (1, 6), 3)
+    assert "MapInArrow" in made._jdf.queryExecution().toString()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = made.toPandas().sort_values(["key", "step", "horizon"]).reset_index(drop=True)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = pd.concat([learners.walk(g, (1, 6), 3) for _, g in frame.groupby("key")]).sort_values(["key", "step", "horizon"]).reset_index(drop=True)
+    assert len(got) == len(want) and got.best.tolist() == want.best.tolist()
+    np.testing.assert_array_equal(np.stack(got["quantiles"]), np.stack(want["quantiles"]))
+    np.testing.assert_array_equal(got[["forecast", "lo80", "weight"]], want[["forecast", "lo80", "weight"]])
+
+
+def test_a_kept_learner_goes_on_and_holds_what_it_has_seen_only():
+    a = learners.Analogues(6)
+    for i in range(30):
+        a.update([i % 7, 0, 0, 0, 0, i / 30], float(i))
+    b = pickle.loads(pickle.dumps(a))
+    assert len(pickle.dumps(a)) < 30 * 7 * 8 + 600
+    for i in range(200):
+        for each in (a, b):
+            each.update([i % 5, 1, 0, 0, 0, i / 200], float(i))
+    assert a.predict([2, 1, 0, 0, 0, 0.5]) == b.predict([2, 1, 0, 0, 0, 0.5])
