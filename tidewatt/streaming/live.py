@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,14 +35,17 @@ def learn(stream: DataFrame, horizons: tuple[int, ...] = (1,), warm_up: int = 1)
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).drop_duplicates("step").sort_values("step")
+        rows = pd.concat(list(frames), ignore_index=True)
+        steps, first = np.unique(rows["step"].to_numpy(), return_index=True)  # in order, the first of repeats
         newest, kept = state.get if state.exists else (None, None)
-        learner = pickle.loads(kept) if kept else learners.Learner(float(rows["capacity"].iloc[0]), horizons, warm_up)
-        rows = rows if newest is None else rows[rows["step"] > newest]
-        out = []
-        for row, at in zip(rows.itertuples(index=False), learners.conditions_of(rows), strict=True):
-            out.extend((key[0], h, row.step, *rest) for h, *rest in learner.read(row.value, at))
-            newest = row.step
+        learner = pickle.loads(kept) if kept else learners.Learner(float(rows["capacity"].iloc[first[0]]), horizons, warm_up)
+        if newest is not None:
+            first = first[steps > newest]
+        numbers, values, at, out = rows["step"].to_numpy(), rows["value"].to_numpy(float), learners.conditions_of(rows).tolist(), []
+        for i in first.tolist():
+            step = int(numbers[i])
+            out.extend((key[0], h, step, *rest) for h, *rest in learner.read(float(values[i]), at[i]))
+            newest = step
         state.update((newest, pickle.dumps(learner)))
         if out:
             yield pd.DataFrame(out, columns=learners.COLUMNS)
