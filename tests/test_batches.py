@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from tidewatt.plans import weather
 from tidewatt.sources import batches, nested
 
 V = ["temperature_2m"]
@@ -39,6 +40,30 @@ def test_a_failed_batch_is_told_and_the_others_are_written(spark, tmp_path):
     assert rows.count() == 2 and told.count() == 7
 
 
+def test_documents_that_are_lines_have_the_same_fates_as_files(spark, tmp_path):
+    many = {
+        "a": json.dumps(doc("A", [0, 3600], [1.0, None])), "b": '{"data": [', "c": json.dumps(doc("C", [0, 3600], [1.0])), "d": '{"data": []}', "e": json.dumps(doc("E", list(range(500)), [0.0] * 500)),
+        "g": json.dumps(doc("G \u00e9\tx", [7200], [5.0], 9), ensure_ascii=False), "i": "\t",
+    }
+    for k, body in many.items():
+        put(tmp_path / "in", k, body)
+    (tmp_path / "lines").mkdir()
+    for n, names in enumerate(("abc", "degi")):
+        (tmp_path / "lines" / f"{n}.txt").write_text("".join(f"{k}\t{many[k]}\n" for k in names))
+    as_lines = nested.lines(spark, str(tmp_path / "lines"), batches.weather_schema(V), most_bytes=2000)
+    as_files = nested.documents(spark, str(tmp_path / "in"), batches.weather_schema(V), most_bytes=2000)
+    assert sorted(map(str, as_lines.collect())) == sorted(map(str, as_files.collect()))
+    rows, told = (batches.load(d, batches.weather_rows(V), f"file://{tmp_path}/{n}") for n, d in (("l", as_lines), ("f", as_files)))
+    assert {tuple(r) for r in rows[0].collect()} == {tuple(r) for r in told[0].collect()} and {tuple(r) for r in rows[1].collect()} == {tuple(r) for r in told[1].collect()}
+    (tmp_path / "bare.txt").write_text("h\n\n")
+    assert [(r.file, r.bytes, r.state) for r in nested.lines(spark, str(tmp_path / "bare.txt"), batches.weather_schema(V)).collect()] == [("h", 0, "broken"), ("", 0, "broken")]
+
+
+def test_the_weather_queries_write_fewer_files_than_documents(spark):
+    path = weather._written(spark, "/root/testdata/sf0.001")
+    assert spark.read.text(path).count() > 20 and len(spark.read.text(path).inputFiles()) <= 2 * 4
+
+
 def test_only_if_nothing_was_written_it_fails(spark, tmp_path):
     put(tmp_path / "in", "b.json", "{")
     with pytest.raises(ValueError, match="none of 1 batches"):

@@ -1,7 +1,7 @@
 """Nested JSON documents: readings of facilities, dispatch solutions, weather of stations; and the folds of their rows.
 
-A file is one document and is read within one task, so files of any number are spread over the cluster; the size of one
-file is bounded by `most_bytes`, beyond which it is reported and passed over.
+A file is one document and is read within one task, so files of any number are spread over the cluster; small documents can be
+lines of fewer files. The size of a document is bounded by `most_bytes`, beyond which it is reported and passed over.
 """
 
 from __future__ import annotations
@@ -31,7 +31,21 @@ def documents(spark: SparkSession, path: str, schema: str, since: str | None = N
     """
     name = F.array_join(F.slice(F.split("path", "/"), F.lit(-parts), F.lit(parts)), "/")
     files = spark.read.format("binaryFile").load(path).select(name.alias("file"), F.col("length").alias("bytes"), "content")
-    files = files if since is None else files.where(F.col("file") > since)
+    return _decoded(files if since is None else files.where(F.col("file") > since), schema, most_bytes)
+
+
+def lines(spark: SparkSession, path: str, schema: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """As `documents`, of text files with a document a line: its name, a tab, and its JSON without line ends.
+
+    For documents that are small and many, each of which would else be a file to make, list and open. A line has the state
+    of its own document, whatever is in others of its file.
+    """
+    name, at = F.substring_index("value", "\t", 1), F.instr("value", "\t")
+    rows = spark.read.text(path).select(name.alias("file"), F.when(at > 0, F.expr("substring(value, instr(value, '\t') + 1)")).otherwise("").alias("content"))
+    return _decoded(rows.select("file", F.octet_length("content").cast("long").alias("bytes"), "content"), schema, most_bytes)
+
+
+def _decoded(files: DataFrame, schema: str, most_bytes: int) -> DataFrame:
     fits = F.col("bytes") <= most_bytes
     # A body that can't be read is null, a body without its parts has null fields.
     body = F.when(fits, F.from_json(F.try_validate_utf8(F.col("content").cast("string")), f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
