@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatt.operators import climatology
 from tidewatt.operators.prefix import affine_prefix, rank_in_group
+from tidewatt.plans import streams
 from tidewatt.streaming import outcomes
 
 
@@ -202,3 +203,12 @@ def test_climatology_equals_a_plain_loop(spark):
     targets = spark.createDataFrame([("s", 1_700_000_000, 5.0, 1000.0), ("s", 1_690_000_000, 5.0, 1000.0), ("new", 1_700_000_000, 5.0, 3.0), ("s", 1_700_000_000, 5.0, 1.0)], "station string, at long, last double, capacity double")
     told = [r.expected for r in climatology.expected(targets, known, 720).orderBy("station", "capacity", "at").collect()]
     assert told[0] == 3.0 and told[1] == 1.0 and told[3] == pytest.approx(want["s", 11, 1][0]) and told[2] == pytest.approx(want["s", None, 0 if datetime.datetime.fromtimestamp(1_690_000_000, datetime.UTC).hour < 12 else 1][0])
+
+
+def test_a_micro_batch_of_many_files_comes_whole_and_in_order(spark):
+    """Slices of 1,000, 300 and 1 rows, of four files each: three micro-batches, each row once."""
+    rows = spark.range(1300).select((F.when(F.col("id") < 1000, F.col("id")).otherwise(F.col("id") + 200)).alias("at"), "id").unionByName(spark.createDataFrame([(2999, 2999)], "at long, id long"))
+    stream, seen = streams._stream(rows, "at", "cut", 300), []
+    query = stream.writeStream.trigger(availableNow=True).foreachBatch(lambda b, n: seen.append(sorted(r.id for r in b.collect()))).start()
+    query.awaitTermination()
+    assert seen == [list(range(1000)), list(range(1000, 1300)), [2999]]

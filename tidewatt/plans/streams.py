@@ -12,8 +12,8 @@ from ..streaming import outcomes
 from ..streaming.windows import gathered
 
 C = F.col
-#: Files of a stream, a micro-batch each, in order of time.
-FILES = 3
+#: Micro-batches of a stream, in order of time, and how many rows a file of them has about.
+SLICES, ROWS_A_FILE = 3, 1 << 18
 HOUR, DAY = 3600, 86_400
 
 
@@ -21,14 +21,22 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("sec", F.unix_timestamp("ts"))
 
 
-def _stream(rows: DataFrame, at: str, name: str) -> DataFrame:
-    """Rows as a stream that comes in FILES micro-batches, cut at quantiles of a time in seconds."""
+def _stream(rows: DataFrame, at: str, name: str, a_file: int = ROWS_A_FILE) -> DataFrame:
+    """Rows as a stream that comes in SLICES micro-batches, cut at equal widths of a time in seconds; a micro-batch is as many files as its rows need."""
     spark, path = rows.sparkSession, f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    ends = rows.agg(F.min(at).alias("lo"), F.max(at).alias("hi")).first()  # one row
-    width = max(1, -(-((ends.hi or 0) - (ends.lo or 0) + 1) // FILES))
-    for k in range(FILES):
-        rows.where(F.floor((C(at) - (ends.lo or 0)) / width) == k).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    rows.write.parquet(f"{path}-whole")  # made once, cut after
+    whole = spark.read.schema(rows.schema).parquet(f"{path}-whole")
+    ends = whole.agg(F.min(at).alias("lo"), F.max(at).alias("hi")).first()  # one row
+    lo, width = ends.lo or 0, max(1, -(-((ends.hi or 0) - (ends.lo or 0) + 1) // SLICES))
+    counts = whole.groupBy(F.floor((C(at) - lo) / width).alias("k")).agg(F.count("*").alias("n")).collect()  # a row a micro-batch
+    files = max([1, *(-(-r.n // a_file) for r in counts if r.k is not None)])
+    for k in range(SLICES):
+        part = whole.where(F.floor((C(at) - lo) / width) == k)
+        (part.repartition(files) if files > 1 else part.coalesce(1)).write.parquet(f"{path}/{k}")
+        # all micro-batches have the same number of files, as the reader takes that many at a time
+        for more in range(files - len(spark.read.schema(rows.schema).parquet(f"{path}/{k}").inputFiles())):
+            spark.createDataFrame([], rows.schema).coalesce(1).write.parquet(f"{path}/{k}-{more}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/*")
 
 
 def forecast_outcome_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
