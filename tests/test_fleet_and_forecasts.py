@@ -244,3 +244,8 @@ def test_a_kept_learner_goes_on_and_holds_what_it_has_seen_only():
         for each in (a, b):
             each.update([i % 5, 1, 0, 0, 0, i / 200], float(i))
     assert a.predict([2, 1, 0, 0, 0, 0.5]) == b.predict([2, 1, 0, 0, 0, 0.5])
+
+
+def test_a_fan_is_made_once_for_both_scores(spark):
+    plan = forecasts.walk_forward_query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("zip_with(") == 1

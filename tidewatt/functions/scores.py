@@ -36,9 +36,13 @@ def pit(quantiles: Column, actual: Column) -> Column:
     first, last = F.element_at(quantiles, 1), F.element_at(quantiles, -1)
     pairs = F.arrays_zip(F.slice(quantiles, F.lit(1), F.size(quantiles) - 1).alias("a"), F.slice(quantiles, F.lit(2), F.size(quantiles) - 1).alias("b"))
     inside = F.element_at(F.filter(pairs, lambda p: (p["a"]["v"] <= actual) & (actual <= p["b"]["v"])), -1)
-    width = inside["b"]["v"] - inside["a"]["v"]
-    between = F.when(width == 0, inside["b"]["q"]).otherwise(inside["a"]["q"] + (inside["b"]["q"] - inside["a"]["q"]) * F.try_divide(actual - inside["a"]["v"], width))
-    return F.when(actual < first["v"], first["q"] / 2).when(actual > last["v"], (1 + last["q"]) / 2).otherwise(between)
+
+    def between(p: Column) -> Column:
+        width = p["b"]["v"] - p["a"]["v"]
+        return F.when(width == 0, p["b"]["q"]).otherwise(p["a"]["q"] + (p["b"]["q"] - p["a"]["q"]) * F.try_divide(actual - p["a"]["v"], width))
+
+    found = F.get(F.transform(F.array(inside), between), F.lit(0))  # a lambda's variable, so that the search runs once
+    return F.when(actual < first["v"], first["q"] / 2).when(actual > last["v"], (1 + last["q"]) / 2).otherwise(found)
 
 
 def energy_mwh(mw: Column, minutes: float = 5.0) -> Column:

@@ -27,7 +27,8 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored(forecasts: DataFrame) -> DataFrame:
     fan = F.zip_with(F.array(*[F.lit(q) for q in LEVELS]), "quantiles", lambda q, v: F.struct(q.alias("q"), v.alias("v")))
-    return forecasts.withColumn("crps", scores.crps(fan, F.col("actual"))).withColumn("pit", scores.pit(fan, F.col("actual"))).drop("quantiles")
+    made = forecasts.withColumn("_fan", fan).drop("quantiles")  # a column, as its many uses would each make it anew
+    return made.withColumns({"crps": scores.crps(F.col("_fan"), F.col("actual")), "pit": scores.pit(F.col("_fan"), F.col("actual"))}).drop("_fan")
 
 
 def walk_forward_query(spark: SparkSession, sf_dir: str) -> DataFrame:
