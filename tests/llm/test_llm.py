@@ -10,6 +10,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,6 +232,56 @@ def test_training_is_exact_over_stretches(monkeypatch):
         assert all(np.allclose(a, b) for a, b in zip(whole, m.expected(texts), strict=True))
 
 
+def test_hmm_takes_each_text_into_words_twice_at_most(spark):
+    """Once to count, once for its classes; rounds and the scoring read classes, as words cost most of a text's seconds."""
+    taken = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def watched(text):
+        taken.add(1)
+        return text
+
+    rows = [(i, f"w{i % 7} and w{i % 5}") for i in range(100)]
+    got = hmm.hmm_scores(spark.createDataFrame(rows, "doc_id long, text string").withColumn("text", watched("text")))
+    assert len(got.collect()) == 100
+    assert 100 < taken.value <= 200
+
+
+def test_words_in_slices_are_those_of_single_texts(spark, docs, monkeypatch):
+    texts = [r[1] for r in awkward()] + ["  a\tb ", "\x00 \x1c\x85\u00a0x", "A\r\nb\vÄ\fC", " ", "É" * 3]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(texts, kind)[1:]
+        words, sizes = hmm.words_of(column)
+        assert words.to_pylist() == [w for t in texts[1:] for w in hmm.encoded(t).split()]
+        assert sizes.tolist() == [len(hmm.encoded(t).split()) for t in texts[1:]]
+        for most in (1, 500, 1 << 30):
+            parts = list(hmm.slices(column, most))
+            assert [at for at, _ in parts] == [0, *np.cumsum([len(p) for _, p in parts])[:-1]] and sum((p.to_pylist() for _, p in parts), []) == texts[1:]
+    fields = ["doc_id", "held_out", "n_tokens", "n_known", F.round("base_score", 6), F.round("score", 6)]
+    whole = pairs_of(hmm.hmm_scores(docs).select(*fields).collect())
+    for name, most in (("COUNT_BYTES", 1), ("ENCODE_BYTES", 1), ("BATCH_TEXTS", 2), ("HOT_WORDS", 7)):
+        monkeypatch.setattr(hmm, name, most)
+    assert pairs_of(hmm.hmm_scores(docs).select(*fields[:5]).collect()) == collections.Counter(r[:5] for r in whole.elements())
+    monkeypatch.setattr(hmm, "HOT_WORDS", 50_000)
+    assert pairs_of(hmm.hmm_scores(docs).select(*fields).collect()) == whole
+
+
+def test_the_least_probabilities_do_not_vanish():
+    rng = np.random.default_rng(8)
+    m = hmm.Model.initial(rng.integers(1, 50, hmm.CLASSES).astype(float))
+    m.emit[:1000] *= 1e-18
+    texts = [rng.integers(0, 1000, n).astype(np.int16) for n in (40, 3, 41, 1, 2500)]
+    likely = m.log10_likelihood(texts)
+    for s, got in zip(texts, likely, strict=True):
+        alpha, want = m.start, 0.0
+        for t, c in enumerate(s):
+            alpha = (alpha if t == 0 else alpha @ m.move) * m.emit[c]
+            want, alpha = want + np.log10(alpha.sum()), alpha / alpha.sum()
+        assert got == pytest.approx(want)
+    start, move, emit = m.expected(texts)
+    assert (start.sum(), move.sum(), emit.sum()) == pytest.approx((5, sum(map(len, texts)) - 5, sum(map(len, texts))))
+
+
 def test_the_model_beats_word_counts_on_held_out_texts(spark):
     rows = hmm.hmm_scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
     assert rows[0] / rows[2] > rows[1] / rows[2] + 0.2
